@@ -50,7 +50,7 @@ def export_name(path: ColumnOrName, step: str | Column) -> Column:
 
 def split_flags(text: ColumnOrName) -> Column:
     """Tokens between single spaces, empties dropped; NULL gives an empty array."""
-    tokens = F.filter(F.split(_col(text), " "), lambda t: t != "")
+    tokens = F.array_remove(F.split(_col(text), " "), "")
     return F.coalesce(tokens, F.array().cast("array<string>"))
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from recordflow.storage import cut, scratch_path
+from recordflow.storage import cut, cut_counted, scratch_path
 
 REQUIRES, DEPENDS = "requires", "depends"
 
@@ -26,28 +27,27 @@ def required(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
-def _peel(edges: DataFrame, run: str, front: str, back: str):
-    """Rounds of removing the nodes that have no edge coming in.
+def _peel(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
+    """Rounds of removing the edges whose ``front`` node no edge leads to any more.
 
-    Returns ``(levels or None, remaining edges)``. ``front`` and ``back`` name the edge ends,
-    so that swapping them peels from the other side.
+    Each round is one semi join of the edges left with their own ``back`` ends, written by one
+    job that also counts them. Returns all rounds, ``(src, dst, level)``, where an edge is
+    present up to the level of its front node, and the edges that never go away: a cycle and
+    what lies behind it.
     """
     spark = edges.sparkSession
-    remaining, level = cut(edges, path=f"{run}/edges/{front}-0"), 0
-    while not remaining.isEmpty():
-        heads = remaining.select(F.col(front).alias("node")).distinct()
-        inner = remaining.select(F.col(back).alias("node")).distinct()
-        free = cut(heads.join(inner, "node", "left_anti"), path=f"{run}/levels-{front}/level={level}")
-        if free.isEmpty():
-            break
+    remaining, counts = cut_counted(edges, f"{path}/level=0")
+    level, left = 0, counts["n"]
+    while left:
+        entered = remaining.select(F.col(back).alias("node")).distinct()
+        rest = remaining.join(entered, F.col(front) == F.col("node"), "left_semi")
         level += 1
-        rest = remaining.join(free, F.col(front) == F.col("node"), "left_anti")
-        remaining = cut(rest, path=f"{run}/edges/{front}-{level}")
-    if level == 0:
-        return None, remaining
-    node_type = edges.schema[front].dataType.simpleString()
-    peeled = spark.read.schema(f"node {node_type}, level long").parquet(f"{run}/levels-{front}")
-    return peeled, remaining
+        remaining, counts = cut_counted(rest, f"{path}/level={level}")
+        if counts["n"] == left:
+            break
+        left = counts["n"]
+    rounds = spark.read.schema(T.StructType(edges.schema.fields).add("level", "long")).parquet(path)
+    return rounds, remaining
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -55,32 +55,25 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     ``nodes`` (column ``node``) adds nodes without edges at level 0. Raises on a cycle.
     """
-    pairs = required(edges)
-    run = scratch_path(edges.sparkSession, "levels")
-    peeled, remaining = _peel(pairs, run, "src", "dst")
+    rounds, remaining = _peel(required(edges), scratch_path(edges.sparkSession, "levels"), "src", "dst")
     if not remaining.isEmpty():
         raise CyclicLineage("the requirements form a cycle")
-    isolated = None if nodes is None else nodes.select("node", F.lit(0).cast("long").alias("level"))
-    if peeled is None:
-        empty = pairs.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("level")).limit(0)
-        return empty if isolated is None else isolated.distinct()
-    # Nodes with nothing after them were never a source, so only their level is still open.
-    first = edges.sparkSession.read.schema(pairs.schema).parquet(f"{run}/edges/src-0")
-    reached = first.join(peeled, F.col("src") == F.col("node")).select(
-        F.col("dst").alias("node"), (F.col("level") + 1).alias("level")
+    # The last round an edge is in gives its source's level; the target lies at least one deeper.
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.col("level")), F.struct(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
     )
-    out = peeled.union(reached)
-    if isolated is not None:
-        out = out.union(isolated)
-    return out.groupBy("node").agg(F.max("level").alias("level"))
+    found = rounds.select(F.inline(ends))
+    if nodes is not None:
+        found = found.union(nodes.select("node", F.lit(0).cast("long")))
+    return found.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes left when neither end can be peeled: those on a cycle or between two."""
     run = scratch_path(edges.sparkSession, "cycles")
-    _, inner = _peel(required(edges), run, "src", "dst")
-    _, core = _peel(inner, run, "dst", "src")
-    return core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
+    _, inner = _peel(required(edges), f"{run}/forward", "src", "dst")
+    _, core = _peel(inner, f"{run}/backward", "dst", "src")
+    return core.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 def has_cycle(edges: DataFrame) -> bool:
@@ -99,29 +92,26 @@ def downstream(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = Non
     spark = edges.sparkSession
     run = scratch_path(spark, "downstream")
     pairs = cut(required(edges), path=f"{run}/edges")
-    ends = edges.select("src", "dst") if nodes is None else None
-    known = ends.select(F.explode(F.array("src", "dst")).alias("node")) if nodes is None else nodes.select("node")
-    known = known.distinct()
-    starts = seeds.select("node")
-    named = None
+    if nodes is None:
+        known = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    else:
+        known = nodes.select("node").distinct()
+    starts, scoped = seeds.select("node"), None
     if "dependency" in seeds.columns:
-        scoped = seeds.where(F.col("dependency").isNotNull())
         uses = edges.where(F.col("kind") == DEPENDS).select(F.col("src").alias("node"), F.col("dst").alias("dependency"))
-        valid = scoped.join(uses, ["node", "dependency"], "left_semi")
-        named = valid.select(F.concat_ws(".", "node", "dependency").alias("node")).distinct()
-        starts = seeds.where(F.col("dependency").isNull()).select("node").union(valid.select("node"))
-    frontier = cut(
-        starts.distinct().join(known, "node", "left_semi"), path=f"{run}/seen/round=0"
-    )
-    node_type = pairs.schema["src"].dataType.simpleString()
+        named = seeds.where(F.col("dependency").isNotNull()).join(uses, ["node", "dependency"], "left_semi")
+        scoped = named.select(F.concat_ws(".", "node", "dependency").alias("node")).distinct()
+        starts = seeds.where(F.col("dependency").isNull()).select("node").union(named.select("node"))
+    node_type = T.StructType([T.StructField("node", pairs.schema["src"].dataType)])
+    frontier, counts = cut_counted(starts.distinct().join(known, "node", "left_semi"), f"{run}/seen/round=0")
     step = 0
-    while not frontier.isEmpty():
+    while counts["n"]:
         step += 1
-        seen = spark.read.schema(f"node {node_type}").parquet(f"{run}/seen")
+        seen = spark.read.schema(node_type).parquet(f"{run}/seen").select("node")
         following = pairs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(following.join(seen, "node", "left_anti"), path=f"{run}/seen/round={step}")
-    reached = spark.read.schema(f"node {node_type}").parquet(f"{run}/seen").select("node")
-    return reached if named is None else reached.union(named)
+        frontier, counts = cut_counted(following.join(seen, "node", "left_anti"), f"{run}/seen/round={step}")
+    reached = spark.read.schema(node_type).parquet(f"{run}/seen").select("node")
+    return reached if scoped is None else reached.union(scoped)
 
 
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,12 +157,12 @@ def dependency_chain(edges: DataFrame) -> DataFrame:
         edges = edges.where(F.col("kind") == DEPENDS)
     run = scratch_path(spark, "chain")
     pairs = cut(edges.select("src", "dst").distinct(), path=f"{run}/edges")
-    frontier = cut(
-        pairs.select(F.col("src").alias("step"), F.col("dst").alias("dependency")), path=f"{run}/pairs/depth=1"
-    )
+    first = pairs.select(F.col("src").alias("step"), F.col("dst").alias("dependency"))
+    own = F.count_if(F.col("step") == F.col("dependency"))
+    frontier, counts = cut_counted(first, f"{run}/pairs/depth=1", own=own)
     depth = 1
-    while not frontier.isEmpty():
-        if not frontier.where("step = dependency").isEmpty():
+    while counts["n"]:
+        if counts["own"]:
             raise CyclicLineage("the dependencies form a cycle")
         depth += 1
         following = (
@@ -180,7 +170,6 @@ def dependency_chain(edges: DataFrame) -> DataFrame:
             .select("step", F.col("dst").alias("dependency"))
             .distinct()
         )
-        frontier = cut(following, path=f"{run}/pairs/depth={depth}")
-    node_type = pairs.schema["src"].dataType.simpleString()
-    found = spark.read.schema(f"step {node_type}, dependency {node_type}, depth long").parquet(f"{run}/pairs")
+        frontier, counts = cut_counted(following, f"{run}/pairs/depth={depth}", own=own)
+    found = spark.read.schema(T.StructType(first.schema.fields).add("depth", "long")).parquet(f"{run}/pairs")
     return found.groupBy("step", "dependency").agg(F.max("depth").alias("depth"))

@@ -17,6 +17,7 @@ from recordflow.operators.steps import map_step
 from recordflow.plans.registry import cents, query, table
 from recordflow.sources.results import (
     export_results,
+    export_steps,
     latest,
     load_results,
     purge_steps,
@@ -52,11 +53,15 @@ def _order_results(spark, sf_dir):
     grade = {"status": F.lit("large"), "grade": F.concat_ws("-", F.col("state"), F.lit("L"))}
     stepped = map_step(stepped, "Grade", run=grade, condition=F.col("price") > 20000000)
     stepped = map_step(stepped, "Bill", run={"status": F.lit("billed"), "amount": F.col("price") * 2}, condition=F.col("state") == "F")
-    return (
-        export_results(stepped, "Read", list(read), "intake", 1)
-        .union(export_results(stepped, "Grade", list(grade), "intake", 2))
-        .union(export_results(stepped, "Bill", ["status", "amount"], "billing", 1))
-    )
+    intake = export_steps(stepped, {"Read": list(read), "Grade": list(grade)}, "intake")
+    return intake.union(export_steps(stepped, {"Bill": ["status", "amount"]}, "billing"))
+
+
+def _order_store(spark, sf_dir):
+    """The same exports, written to a store and read back."""
+    path = scratch_path(spark, "results")
+    write_results(_order_results(spark, sf_dir), path)
+    return read_results(spark, path)
 
 
 _ORDERS_CTE = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_orderstatus AS state, o_orderpriority AS priority,
@@ -87,9 +92,10 @@ def load_label(spark, sf_dir):
 )
 def load_renamed(spark, sf_dir):
     spec = {"intake": ["priority", {"kind": "grade", "state": "status"}], "billing": {"amount": "amount", "state": "status"}}
-    loaded = load_results(_order_results(spark, sf_dir), spec)
+    store = _order_store(spark, sf_dir)
+    loaded = load_results(store, spec)
     # Every order has a price in ``intake``; ``amount`` covers the billed ones alone.
-    price = load_results(_order_results(spark, sf_dir), {"intake": {"price": "price"}})
+    price = load_results(store, {"intake": {"price": "price"}})
     both = loaded.join(price, KEY)
     return both.select(KEY, "priority", "kind", (F.col("price").cast("long") * 2).cast("string").alias("amount"), "state")
 

@@ -24,22 +24,31 @@ class ImproperInput(ValueError):
     """A request for results that names an unknown pipeline or label, or has another form."""
 
 
+def export_steps(records: DataFrame, exports: Mapping[str, Sequence[str]], run: str, first_no: int = 1) -> DataFrame:
+    """Long rows of the labels of several steps, in one pass over the records.
+
+    ``exports`` maps a step to its labels, in run order: step numbers count from ``first_no``.
+    A record gives rows for the steps that ran on it; a NULL value fails. ``run`` names the
+    exporting pipeline.
+    """
+    entries = []
+    for step_no, (step, labels) in enumerate(exports.items(), first_no):
+        require_labels(records, step, labels)
+        for label in labels:
+            value = F.col(f"`{step}`.`{label}`").cast("string")
+            entries += [F.lit(step), F.lit(step_no), F.lit(label), value, F.col(f"`{step}_ran`")]
+    names = ("step", "step_no", "label", "value", "ran")
+    rows = records.select(KEY, F.stack(F.lit(len(entries) // len(names)), *entries).alias(*names)).where("ran")
+    problem = F.raise_error(F.concat_ws(" ", F.lit("no value to export for"), F.col("step"), F.col("label"), F.col(KEY)))
+    filled = F.when(F.col("value").isNotNull(), F.lit(True)).otherwise(problem.cast("boolean"))
+    return rows.where(filled).select(F.lit(run).alias("pipeline"), "step", "step_no", KEY, "label", "value")
+
+
 def export_results(
     records: DataFrame, step: str, labels: Sequence[str], run: str, step_no: int
 ) -> DataFrame:
-    """Long rows of the step's labels for the records it ran on; a NULL value fails.
-
-    ``run`` is the name of the exporting pipeline.
-    """
-    require_labels(records, step, labels)
-    wide = records.where(F.col(f"`{step}_ran`")).select(
-        F.lit(run).alias("pipeline"), F.lit(step).alias("step"), F.lit(step_no).alias("step_no"), KEY,
-        *[F.col(f"`{step}`.`{label}`").cast("string").alias(label) for label in labels],
-    )
-    rows = wide.unpivot(["pipeline", "step", "step_no", KEY], list(labels), "label", "value")
-    message = F.concat(F.lit(f"step {step}: no value to export for "), F.col(KEY), F.lit(" label "), F.col("label"))
-    value = F.when(F.col("value").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("value"))
-    return rows.withColumn("value", value)
+    """Long rows of one step's labels for the records it ran on; a NULL value fails."""
+    return export_steps(records, {step: labels}, run, step_no)
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -94,7 +103,7 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
             raise ImproperInput(f"no results of {run}")
     place = F.struct("step_no", "step")
     targets: dict[str, list[Column]] = {}
-    sources: list[tuple[str, str]] = []
+    sources: dict[str, list[str]] = {}
     for run, request in spec.items():
         for target, label in _pairs(run, request, present):
             if label not in present[run]:
@@ -102,10 +111,10 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
             mine = (F.col("pipeline") == run) & (F.col("label") == label)
             value = F.max_by(F.when(mine, F.col("value")), F.when(mine, place))
             targets.setdefault(target, []).insert(0, value)
-            sources.append((run, label))
+            sources.setdefault(run, []).append(label)
     requested = F.lit(False)
-    for run, label in dict.fromkeys(sources):
-        requested = requested | ((F.col("pipeline") == run) & (F.col("label") == label))
+    for run, labels in sources.items():
+        requested = requested | ((F.col("pipeline") == run) & F.col("label").isin(labels))
     loaded = wanted.where(requested).groupBy(KEY).agg(
         *[(F.coalesce(*values) if len(values) > 1 else values[0]).alias(target) for target, values in targets.items()]
     )

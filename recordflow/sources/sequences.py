@@ -27,11 +27,11 @@ def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
     chunks = spark.read.option("lineSep", "\n>").text(paths)
     record = F.regexp_replace("value", r"^\s*>", "")
     title = F.substring_index(record, "\n", 1)
-    body = F.substr(record, F.length(title) + 1)
-    return chunks.where(F.trim(F.translate("value", "\r\n>", "   ")) != "").select(
-        F.col("_metadata.file_path").alias("file"),
-        _first_token(title).alias("id"),
-        F.regexp_replace(body, r"\s+", "").alias("seq"),
+    seq = F.substr(record, F.length(title) + 1)
+    for blank in ("\n", "\r", " ", "\t"):
+        seq = F.replace(seq, F.lit(blank), F.lit(""))
+    return chunks.where(~F.col("value").rlike(r"^\s*>?\s*$")).select(
+        F.col("_metadata.file_path").alias("file"), _first_token(title).alias("id"), seq.alias("seq")
     )
 
 
@@ -40,50 +40,51 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
 
     Files are cut at ``@`` after a line break. A quality line may begin with ``@`` too, which
     cuts its record in two: such a head of three lines is joined to the tail right after it.
-    Only these broken records are ordered, inside their own file block; a block's outer
-    pieces, one at each edge, are matched over the blocks of the file. Anything else fails.
+    Only these broken records are ordered: first inside their own file block, then the pieces
+    left at the blocks' edges, two at most for each, over the blocks of a file. Anything that
+    is not a record fails.
     """
     raw = spark.read.option("lineSep", "\n@").text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
-        F.translate("value", "\r", "").alias("chunk"),
+        F.replace(F.col("value"), F.lit("\r"), F.lit("")).alias("chunk"),
+    )
+    breaks = F.length("chunk") - F.length(F.replace(F.col("chunk"), F.lit("\n"), F.lit("")))
+    counted = raw.withColumn("breaks", breaks)
+    # The last piece of a file ends in a line break that starts no further line.
+    closing = F.col("breaks").isin(1, 4) & F.endswith(F.col("chunk"), F.lit("\n"))
+    text = F.when(closing, F.substr("chunk", F.lit(1), F.length("chunk") - 1)).otherwise(F.col("chunk"))
+    pieces = counted.select(
+        "file", "block", "place", text.alias("text"),
+        (F.col("breaks") + F.when(closing, 0).otherwise(1)).alias("n"),
     )
-    # Lines of a piece; the last piece of a file ends in a line break that starts no line.
-    split = F.split("chunk", "\n", -1)
-    n = F.size(split)
-    closed = (n > 1) & (F.element_at(split, -1) == "")
-    lines = F.when((n == 5) & closed, F.slice(split, 1, 4)).when((n == 2) & closed, F.slice(split, 1, 1)).otherwise(split)
-    pieces = raw.select("file", "block", "place", lines.alias("l"))
-    size = F.size("l")
-
-    def record(file, title, seq, plus, qual) -> list[Column]:
-        sound = F.startswith(plus, F.lit("+")) & (F.length(seq) == F.length(qual))
-        message = F.concat(F.lit("not a four-line FASTQ record: "), title)
-        title = F.when(sound, title).otherwise(F.raise_error(message).cast("string"))
-        return [file.alias("file"), _first_token(F.regexp_replace(title, "^@", "")).alias("id"), seq.alias("seq"), qual.alias("qual")]
-
-    line = [F.col("l")[i] for i in range(4)]
-    whole = pieces.where(size == 4).select(*record(F.col("file"), *line))
-
-    broken = pieces.where(size != 4).select("file", "block", "place", "l", size.alias("n"))
+    whole = pieces.where("n = 4").select("file", "text")
+
+    broken = pieces.where("n <> 4")
+    head, tail = F.col("n") == 3, F.col("n") == 1
     inside = Window.partitionBy("file", "block").orderBy("place")
-    paired = broken.select("*", F.lead("n").over(inside).alias("n2"), F.lead("l").over(inside).alias("l2"), F.lag("n").over(inside).alias("n0"))
-    is_head = F.col("n") == 3
-    joined = paired.where(is_head & (F.col("n2") == 1)).select("file", "l", F.col("l2")[0].alias("tail"))
-    # Pieces without a partner in their block: the head at its end, the tail at its start.
-    lone_head = is_head & F.coalesce(F.col("n2") != 1, F.lit(True))
-    lone_tail = (F.col("n") == 1) & F.coalesce(F.col("n0") != 3, F.lit(True))
-    odd = ~F.col("n").isin(1, 3)
-    edges = paired.where(lone_head | lone_tail | odd).select("file", "block", "place", "l", "n")
-    across = Window.partitionBy("file").orderBy("block", "place")
-    met = edges.select("*", F.lead("n").over(across).alias("n2"), F.lead("l").over(across).alias("l2"), F.lag("n").over(across).alias("n0"))
-    stray = odd | (is_head & F.coalesce(F.col("n2") != 1, F.lit(True))) | ((F.col("n") == 1) & F.coalesce(F.col("n0") != 3, F.lit(True)))
-    spanning = met.where(is_head | stray).select(
-        "file", "l", F.when(stray, F.raise_error(F.concat(F.lit("not a four-line FASTQ record: "), F.col("l")[0])).cast("string")).otherwise(F.col("l2")[0]).alias("tail")
+    before, after = F.lag("n").over(inside), F.lead("n").over(inside)
+    lone = (head & F.coalesce(after != 1, F.lit(True))) | (tail & F.coalesce(before != 3, F.lit(True)))
+    placed = broken.withColumn("lone", lone)
+    group = F.when(F.col("lone"), F.lit(-1)).otherwise(F.col("block"))
+    across = Window.partitionBy("file", group).orderBy("block", "place")
+    before, after = F.lag("n").over(across), F.lead("n").over(across)
+    matched = placed.withColumns({
+        "sound": (head & (after == 1)) | (tail & (before == 3)), "rest": F.lead("text").over(across),
+    })
+    sound = F.coalesce(F.col("sound"), F.lit(False))
+    joined = F.concat_ws("\n@", "text", F.coalesce("rest", F.lit("")))
+    mended = matched.where(head | ~sound).select("file", F.when(sound, joined).otherwise(F.col("text")).alias("text"))
+
+    line = F.split("text", "\n", -1)
+    records = whole.union(mended).select("file", "text", line.alias("line"))
+    title, seq, plus, qual = [F.get("line", F.lit(i)) for i in range(4)]
+    sound = (F.size("line") == 4) & F.startswith(plus, F.lit("+")) & (F.length(seq) == F.length(qual))
+    problem = F.raise_error(F.concat(F.lit("not a four-line FASTQ record: "), F.substring("text", 1, 200)))
+    return records.where(F.when(sound, F.lit(True)).otherwise(problem.cast("boolean"))).select(
+        "file", _first_token(F.regexp_replace(title, "^@", "")).alias("id"), seq.alias("seq"), qual.alias("qual")
     )
-    mended = joined.union(spanning).select(*record(F.col("file"), *line[:3], F.concat(F.lit("@"), F.col("tail"))))
-    return whole.union(mended)
 
 
 def read_gff3(spark: SparkSession, paths: Paths) -> DataFrame:

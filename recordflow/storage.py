@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -48,6 +48,18 @@ def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, with aggregates observed by the job that writes the table.
+
+    ``n`` counts the rows; other aggregates are named by keyword.
+    """
+    seen = Observation()
+    named = [value.alias(name) for name, value in counts.items()]
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), path=path)
+    found = seen.get
+    return table, {name: int(found.get(name) or 0) for name in ["n", *counts]}
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the measured size of ``df`` is within ``max_bytes``.
 
