@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import sys
 import time
@@ -25,9 +27,23 @@ def oracle_connection(sf_dir: str):
     return con
 
 
+# Operators that pair every row of one side with every row of the other.
+CROSS_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def plan_of(df) -> str:
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
 def compare(spark, con, name: str, sf_dir: str) -> list[str]:
-    """Differences between a query and its SQL; empty when they agree."""
+    """Differences between a query and its SQL, and cross joins in its plan; empty when fine."""
     df = entry_module.queries()[name](spark, sf_dir)
+    crossed = [x for x in CROSS_JOINS if x in plan_of(df)]
+    if crossed:
+        return [f"plan has {crossed}"]
     columns = sorted(df.columns)
     mine = sorted(map(repr, (tuple(row[c] for c in columns) for row in df.collect())))
     sql = entry_module.oracle_sql().get(name)
