@@ -28,13 +28,11 @@ def _paths(path_cols: Mapping[str, Column] | Sequence[str]) -> dict[str, Column]
 def expected_outputs(records: DataFrame, path_cols: Mapping[str, Column] | Sequence[str]) -> DataFrame:
     """``(record_id, n_expected, label, path)``, one row per non-NULL path output."""
     paths = _paths(path_cols)
+    n_expected = F.lit(0).cast("long")
+    for path in paths.values():
+        n_expected = n_expected + path.isNotNull().cast("long")
     pairs = F.array(*[F.struct(F.lit(label).alias("label"), path.alias("path")) for label, path in paths.items()])
-    present = F.filter(pairs, lambda p: p["path"].isNotNull())
-    return (
-        records.select(KEY, present.alias("pairs"))
-        .select(KEY, F.size("pairs").cast("long").alias("n_expected"), F.explode("pairs").alias("p"))
-        .select(KEY, "n_expected", F.col("p.label").alias("label"), F.col("p.path").alias("path"))
-    )
+    return records.select(KEY, n_expected.alias("n_expected"), F.inline(pairs)).where(F.col("path").isNotNull())
 
 
 def _manifest_paths(manifest: DataFrame) -> DataFrame:
@@ -48,7 +46,8 @@ def split_complete(
     expected = expected_outputs(records, path_cols)
     found = expected.join(_manifest_paths(manifest), "path", "left_semi")
     complete = (
-        found.groupBy(KEY, "n_expected").agg(F.count(F.lit(1)).alias("n_found")).where("n_found = n_expected").select(KEY)
+        found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_found"), F.max("n_expected").alias("n_expected"))
+        .where("n_found = n_expected").select(KEY)
     )
     return records.join(complete, KEY, "left_semi"), records.join(complete, KEY, "left_anti")
 
@@ -75,12 +74,9 @@ def check_outputs(
 def missing_exports(records: DataFrame, step: str, labels: Sequence[str]) -> DataFrame:
     """``(record_id, step, label)`` of exported labels that are NULL where the step ran."""
     require_labels(records, step, labels)
-    absent = F.array_compact(
-        F.array(*[F.when(F.col(f"`{step}`.`{label}`").isNull(), F.lit(label)) for label in labels])
-    )
-    return records.where(F.col(f"`{step}_ran`")).select(
-        KEY, F.lit(step).alias("step"), F.explode(absent).alias("label")
-    )
+    absent = F.array(*[F.when(F.col(f"`{step}`.`{label}`").isNull(), F.lit(label)) for label in labels])
+    ran_on = records.where(F.col(f"`{step}_ran`")).select(KEY, F.lit(step).alias("step"), F.explode(absent).alias("label"))
+    return ran_on.where(F.col("label").isNotNull())
 
 
 def check_exports(records: DataFrame, step: str, labels: Sequence[str]) -> DataFrame:

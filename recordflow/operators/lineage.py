@@ -93,9 +93,9 @@ def downstream(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = Non
     run = scratch_path(spark, "downstream")
     pairs = cut(required(edges), path=f"{run}/edges")
     if nodes is None:
-        known = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        known = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     else:
-        known = nodes.select("node").distinct()
+        known = nodes.select("node")
     starts, scoped = seeds.select("node"), None
     if "dependency" in seeds.columns:
         uses = edges.where(F.col("kind") == DEPENDS).select(F.col("src").alias("node"), F.col("dst").alias("dependency"))
@@ -103,7 +103,7 @@ def downstream(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = Non
         scoped = named.select(F.concat_ws(".", "node", "dependency").alias("node")).distinct()
         starts = seeds.where(F.col("dependency").isNull()).select("node").union(named.select("node"))
     node_type = T.StructType([T.StructField("node", pairs.schema["src"].dataType)])
-    frontier, counts = cut_counted(starts.distinct().join(known, "node", "left_semi"), f"{run}/seen/round=0")
+    frontier, counts = cut_counted(known.join(starts.distinct(), "node", "left_semi").distinct(), f"{run}/seen/round=0")
     step = 0
     while counts["n"]:
         step += 1

@@ -39,14 +39,12 @@ def key_defects(records: DataFrame, key: str = KEY) -> DataFrame:
     of the rows costs one row per task.
     """
     counts = records.groupBy(F.col(key).alias(KEY)).agg(F.count(F.lit(1)).alias("n_rows"))
-    defects = F.array_compact(
-        F.array(
-            F.when(F.col(KEY).isNull(), "missing"),
-            F.when(F.contains(F.col(KEY), F.lit(" ")), "space"),
-            F.when(F.col(KEY).isNotNull() & (F.col("n_rows") > 1), "duplicate"),
-        )
+    defects = F.array(
+        F.when(F.col(KEY).isNull(), "missing"),
+        F.when(F.contains(F.col(KEY), F.lit(" ")), "space"),
+        F.when(F.col(KEY).isNotNull() & (F.col("n_rows") > 1), "duplicate"),
     )
-    return counts.select(KEY, F.explode(defects).alias("defect"), "n_rows")
+    return counts.select(KEY, F.explode(defects).alias("defect"), "n_rows").where(F.col("defect").isNotNull())
 
 
 def check_keys(records: DataFrame, key: str = KEY, mode: str = "split"):

@@ -135,13 +135,14 @@ def set_manifest(records: DataFrame, value: Column) -> DataFrame:
 def take_while(records: DataFrame, order: str | Column, predicate: Column) -> DataFrame:
     """Records before the first one, in ``order``, where the predicate fails.
 
-    The order key must be unique. No global sort: the first failing key is one aggregate,
-    then a filter that the scan can push down. A NULL predicate fails.
+    The order key must be unique. No global sort: one aggregate job finds the first failing
+    key, a single value, and the result is a filter on a constant, which the scan uses to skip
+    what lies behind it. A NULL predicate fails.
     """
     key = F.col(order) if isinstance(order, str) else order
-    failing = records.where(~F.coalesce(predicate, F.lit(False)))
-    stop = failing.agg(F.min(key).alias("stop")).scalar()
-    return records.where((key < stop) | stop.isNull())
+    failing = records.where(~predicate | predicate.isNull())
+    stop = failing.agg(F.min(key).alias("stop")).first()["stop"]
+    return records if stop is None else records.where(key < F.lit(stop))
 
 
 def every_nth(records: DataFrame, n: int, offset: int = 0, order: str | Sequence[str] = KEY) -> DataFrame:

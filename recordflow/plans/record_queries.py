@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from recordflow.operators.records import check_keys, input_ids, keyed_records, merge_records, union_ids
+from recordflow.operators.records import KEY, check_keys, input_ids, keyed_records, merge_records, union_ids
 from recordflow.operators.sets import rollup_content
 from recordflow.plans.registry import query, table
 from recordflow.sources.files import files_to_records, stage_input
+from recordflow.sources.loader import load_records
 from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, write_lines
 from recordflow.storage import scratch_path
 
@@ -183,3 +186,19 @@ def rolled_up(spark, sf_dir):
 def rolled_up_by_source(spark, sf_dir):
     content = table(spark, sf_dir, "documents").select("source", "lang", F.col("text").alias("seq"))
     return rollup_content(content, by=["source", "lang"])
+
+
+def _pairs_of(part):
+    """Loader of one event: a record for each key of its properties."""
+    for label, number in json.loads(part["props"]).items():
+        yield {KEY: f"{part['event_id']}.{label}", "label": label, "number": number}
+
+
+@query(
+    "load_records",
+    """SELECT concat(event_id, '.', k) AS record_id, k AS label, CAST(json_extract_string(props, '$.' || k) AS BIGINT) AS number
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
+)
+def loaded(spark, sf_dir):
+    parts = table(spark, sf_dir, "events").select("event_id", "props")
+    return load_records(parts, _pairs_of, "record_id string, label string, number long")

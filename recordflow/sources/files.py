@@ -40,17 +40,13 @@ def match_suffixes(manifest: DataFrame, rules: Mapping = DEFAULT_RULES, path: st
     Rules are part of the program, so matching is a row-local expression and not a join.
     """
     name = F.substring_index(F.col(path), "/", -1)
-    matches = F.array_compact(
-        F.array(
-            *[
-                F.when(F.endswith(name, F.lit(suffix)), F.struct(strip_suffix(name, suffix).alias(KEY), F.lit(label).alias("label")))
-                for suffix, label in suffix_labels(rules).items()
-            ]
-        )
-    )
-    return manifest.select(F.col(path).alias("path"), F.explode(matches).alias("m")).select(
-        F.col(f"m.{KEY}").alias(KEY), F.col("m.label").alias("label"), "path"
-    )
+    matches = [
+        F.when(F.endswith("name", F.lit(suffix)), F.struct(strip_suffix("name", suffix).alias(KEY), F.lit(label).alias("label")))
+        for suffix, label in suffix_labels(rules).items()
+    ]
+    named = manifest.select(F.col(path).alias("path"), name.alias("name"))
+    found = named.select("path", F.explode(F.array(*matches)).alias("m")).where(F.col("m").isNotNull())
+    return found.select(F.col(f"m.{KEY}").alias(KEY), F.col("m.label").alias("label"), "path")
 
 
 def files_to_records(manifest: DataFrame, rules: Mapping = DEFAULT_RULES, path: str = "path") -> DataFrame:

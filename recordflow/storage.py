@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -66,6 +67,14 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     Beyond that the table comes back without a hint and Spark shuffles, with AQE
     splitting skewed keys. The measurement is one aggregate over ``df``.
     """
-    row_text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    size = df.agg(F.sum(F.octet_length(row_text) + F.lit(16)).alias("n")).first()["n"] or 0
+    row_size = F.lit(16)
+    for field in df.schema:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            row_size = row_size + F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            row_size = row_size + F.octet_length(F.to_json(F.struct(column)))
+        else:
+            row_size = row_size + 8
+    size = df.agg(F.sum(row_size.cast("long")).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= max_bytes else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -29,10 +30,14 @@ def run_incremental(
     if skip_done:
 
         def append_new(batch: DataFrame, _: int) -> None:
-            session = batch.sparkSession
-            session.createDataFrame([], batch.schema).write.mode("append").parquet(out)
-            done = session.read.schema(batch.schema).parquet(out).select(KEY)
-            batch.dropDuplicates([KEY]).join(done, KEY, "left_anti").write.mode("append").parquet(out)
+            new = batch.dropDuplicates([KEY])
+            try:
+                done = batch.sparkSession.read.schema(batch.schema).parquet(out).select(KEY)
+                new = new.join(done, KEY, "left_anti")
+            except AnalysisException as err:
+                if err.getCondition() != "PATH_NOT_FOUND":
+                    raise
+            new.write.mode("append").parquet(out)
 
         writer = stream.writeStream.foreachBatch(append_new)
     else:

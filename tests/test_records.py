@@ -10,6 +10,7 @@ from recordflow.operators.records import (
     merge_records,
     union_ids,
 )
+from recordflow.sources.loader import load_records
 from tests.conftest import rows
 
 
@@ -60,3 +61,15 @@ def test_views(ids10):
     records = ids10.withColumn("v", F.lit(1))
     assert input_values(records).columns == ["v"]
     assert input_items(records).columns == ["record_id", "v"]
+
+
+def test_custom_loader(spark):
+    def load(part):
+        for i in range(part["start"], part["start"] + 5):
+            yield {"record_id": i, "value": chr(65 + i)} if i % 2 else {"record_id": i}
+
+    parts = spark.createDataFrame([(0,), (5,)], "start int")
+    got = load_records(parts, load, "record_id string, value string", batch_rows=2)
+    assert rows(got) == [(str(i), chr(65 + i) if i % 2 else None) for i in range(10)]
+    with pytest.raises(ValueError):
+        load_records(parts, load, "value string")
