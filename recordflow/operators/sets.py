@@ -19,8 +19,15 @@ from recordflow.operators.steps import did_run, has_run, is_skipped
 from recordflow.storage import cut
 
 
-def set_step(records: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:
-    """One-row result of aggregates over the whole set."""
+def set_step(records: DataFrame, aggs: Mapping[str, Column], condition: Column | None = None) -> DataFrame:
+    """One-row result of aggregates over the whole set.
+
+    ``condition`` is an aggregate too; where it is false the step does not run and its labels
+    are NULL.
+    """
+    if condition is not None:
+        open_ = F.coalesce(condition, F.lit(True))
+        aggs = {label: F.when(open_, value) for label, value in aggs.items()}
     return records.agg(*[value.alias(label) for label, value in aggs.items()])
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from recordflow.operators.records import KEY, check_keys, input_ids, keyed_records, merge_records, union_ids
 from recordflow.operators.sets import rollup_content
 from recordflow.plans.registry import query, table
-from recordflow.sources.files import files_to_records, stage_input
+from recordflow.sources.files import files_to_records, list_files, stage_input
 from recordflow.sources.loader import load_records
-from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, write_lines
+from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, read_gff3, write_lines
 from recordflow.storage import scratch_path
 
 
@@ -168,6 +168,34 @@ def fastq(spark, sf_dir):
     )
 
 
+@query(
+    "read_gff3",
+    """WITH p AS (SELECT p_partkey, p_name, p_size, p_size <= 40 AS whole FROM part)
+    SELECT CAST(p_partkey AS VARCHAR) AS seqid, p_name AS kind, CAST(p_size AS BIGINT) AS ending, FALSE AS malformed,
+      concat(p_partkey, chr(9), '.', chr(9), p_name, chr(9), '1', chr(9), p_size, chr(9), '.', chr(9), '+', chr(9), '.', chr(9), 'ID=', p_partkey) AS line
+    FROM p WHERE whole
+    UNION ALL SELECT NULL, NULL, NULL, TRUE, concat(p_partkey, chr(9), p_name) FROM p WHERE NOT whole""",
+)
+def gff3(spark, sf_dir):
+    fields = ["p_partkey", F.lit("."), "p_name", F.lit("1"), "p_size", F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID="), "p_partkey")]
+    line = F.when(F.col("p_size") <= 40, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", "p_partkey", "p_name"))
+    path = scratch_path(spark, "gff3")
+    write_lines(table(spark, sf_dir, "part").select(line.alias("value")), path)
+    return read_gff3(spark, path).select(
+        "seqid", F.col("type").alias("kind"), F.col("end").cast("long").alias("ending"), "malformed", "line"
+    )
+
+
+@query("list_files", "SELECT DISTINCT concat('segment=', c_mktsegment) AS folder, TRUE AS filled FROM customer")
+def listed(spark, sf_dir):
+    path = scratch_path(spark, "listed")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    customers.write.partitionBy("segment").parquet(path)
+    manifest = list_files(spark, path, recursive=True)
+    folder = F.element_at(F.split("path", "/"), -2)
+    return manifest.groupBy(folder.alias("folder")).agg((F.min("length") > 0).alias("filled"))
+
+
 @query(
     "rollup_content",
     """SELECT CAST(conv_id AS VARCHAR) AS record_id, count(*) AS n_seqs, CAST(sum(length(text)) AS BIGINT) AS total_length

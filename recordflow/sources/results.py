@@ -17,6 +17,9 @@ from recordflow.operators.records import KEY
 RESULTS_SCHEMA = "step_no int, record_id string, label string, value string, pipeline string, step string"
 ALL = "all"
 
+# Labels are named by the steps of a program, so more than this many is a mistake.
+MAX_LABELS = 10_000
+
 Request = str | Mapping[str, str] | Sequence[str | Mapping[str, str]]
 
 
@@ -96,7 +99,10 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
     """
     wanted = results.where(F.col("pipeline").isin(list(spec)))
     present: dict[str, set[str]] = {}
-    for row in wanted.select("pipeline", "label").distinct().toLocalIterator():
+    names = wanted.select("pipeline", "label").distinct().limit(MAX_LABELS + 1).collect()
+    if len(names) > MAX_LABELS:
+        raise ImproperInput(f"more than {MAX_LABELS} labels in {sorted(spec)}")
+    for row in names:
         present.setdefault(row["pipeline"], set()).add(row["label"])
     for run in spec:
         if run not in present:

@@ -27,6 +27,9 @@ def oracle_connection(sf_dir: str):
     return con
 
 
+# Result types and their SQL names.
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 # Operators that pair every row of one side with every row of the other.
 CROSS_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
@@ -53,6 +56,10 @@ def compare(spark, con, name: str, sf_dir: str) -> list[str]:
     names = [d[0] for d in rel.description]
     if sorted(names) != columns:
         return [f"columns {columns} but SQL has {sorted(names)}"]
+    kinds = {d[0]: str(d[1]) for d in rel.description}
+    other = [(f.name, f.dataType.simpleString(), kinds[f.name]) for f in df.schema if TYPES.get(f.dataType.simpleString()) != kinds[f.name]]
+    if other:
+        return [f"types differ: {other}"]
     order = [names.index(c) for c in columns]
     theirs = sorted(repr(tuple(row[i] for i in order)) for row in rel.fetchall())
     if mine == theirs:

@@ -71,6 +71,12 @@ def test_set_value_to_all(ids10):
     assert rows(with_set_result(ids10, "Sum", total), "record_id", "Sum.total") == [(str(i), 45) for i in range(10)]
 
 
+def test_set_step_with_a_condition(ids10):
+    aggs = {"n": F.count(F.lit(1))}
+    assert rows(set_step(ids10, aggs, condition=F.count(F.lit(1)) > 10)) == [(None,)]
+    assert rows(set_step(ids10, aggs, condition=F.max("record_id") == "9")) == [(10,)]
+
+
 def test_set_value_must_be_one_row(ids10):
     with pytest.raises(Exception, match="(?i)more than one row|TOO_MANY_ROWS"):
         with_set_result(ids10, "X", ids10).collect()
