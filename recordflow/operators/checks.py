@@ -39,19 +39,32 @@ def _manifest_paths(manifest: DataFrame) -> DataFrame:
     return manifest.select("path").distinct()
 
 
-def split_complete(
+def complete_ids(
     records: DataFrame, manifest: DataFrame, path_cols: Mapping[str, Column] | Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    """``(done, todo)``: done records have at least one path output and all of them exist."""
+) -> DataFrame:
+    """Ids with at least one path output of which all exist."""
     expected = expected_outputs(records, path_cols)
     found = expected.join(_manifest_paths(manifest), "path", "left_semi")
-    complete = (
-        found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_found"), F.max("n_expected").alias("n_expected"))
-        .where("n_found = n_expected").select(KEY)
-    )
+    counts = found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_found"), F.max("n_expected").alias("n_expected"))
+    return counts.where("n_found = n_expected").select(KEY)
+
+
+def split_complete(
+    records: DataFrame, manifest: DataFrame, path_cols: Mapping[str, Column] | Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``(done, todo)`` by :func:`complete_ids`."""
+    complete = complete_ids(records, manifest, path_cols)
     return records.join(complete, KEY, "left_semi"), records.join(complete, KEY, "left_anti")
 
 
+def mark_complete(
+    records: DataFrame, manifest: DataFrame, path_cols: Mapping[str, Column] | Sequence[str], flag: str = "complete"
+) -> DataFrame:
+    """The records with a boolean ``flag`` by :func:`complete_ids`, for a step's ``complete``."""
+    done = complete_ids(records, manifest, path_cols).withColumn(flag, F.lit(True))
+    return records.join(done, KEY, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def missing_outputs(
     records: DataFrame, step: str, path_cols: Mapping[str, Column] | Sequence[str], manifest: DataFrame
 ) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A step adds one struct column named after it (its labels) and a boolean ``<step>_ran``.
 Declared labels are computed for every record; run labels only where the step's gate
-holds: its condition (NULL counts as true), its parent's gate, and no static skip.
+holds: its condition (NULL counts as true), its parent's gate, and no static skip. A record
+marked ``complete`` has its outputs from an earlier run: it counts as run, so that it is
+exported, but nothing is computed for it again.
 """
 
 from __future__ import annotations
@@ -67,6 +69,9 @@ def _gate(condition: Column | None, skip: object, gate: Column | None) -> Column
 
 def _with_gate(records, name, condition, skip, gate, depends) -> DataFrame:
     """Add ``<name>_ran`` and then what the dependencies produce under that gate."""
+    clash = [c for c in records.columns if c.lower() == name.lower() and c != name]
+    if clash:
+        raise ValueError(f"step {name!r} and label {clash[0]!r} differ by case alone")
     records = records.withColumn(ran(name), _gate(condition, skip, gate))
     for dependency in depends:
         records = use_step(
@@ -75,6 +80,12 @@ def _with_gate(records, name, condition, skip, gate, depends) -> DataFrame:
     return records
 
 
+def _open(name: str, complete: Column | None) -> Column:
+    """Where the run labels are computed."""
+    gate = F.col(f"`{ran(name)}`")
+    return gate if complete is None else gate & ~F.coalesce(complete, F.lit(False))
+
+
 def _put_step(records: DataFrame, name: str, struct: Column) -> DataFrame:
     """Add or replace the step's struct, keeping ``<name>_ran`` right after it."""
     keep = [f"`{c}`" for c in records.columns if c not in (name, ran(name))]
@@ -90,6 +101,7 @@ def map_step(
     skip: object = False,
     depends: Sequence[Dependency] = (),
     gate: Column | None = None,
+    complete: Column | None = None,
 ) -> DataFrame:
     """Step of column expressions.
 
@@ -100,7 +112,7 @@ def map_step(
     records = _with_gate(records, name, condition, skip, gate, depends)
     if not declare and not run:
         return records
-    open_ = F.col(f"`{ran(name)}`")
+    open_ = _open(name, complete)
     fields = []
     for label in list(declare) + [x for x in run if x not in declare]:
         value = declare.get(label)
@@ -125,6 +137,7 @@ def map_step_py(
     skip: object = False,
     depends: Sequence[Dependency] = (),
     gate: Column | None = None,
+    complete: Column | None = None,
 ) -> DataFrame:
     """Step of a pandas function over Arrow batches.
 
@@ -149,7 +162,7 @@ def map_step_py(
         return result
 
     columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
-    packed = F.struct(*columns, F.col(f"`{ran(name)}`").alias("__open"))
+    packed = F.struct(*columns, _open(name, complete).alias("__open"))
     return _put_step(records, name, call(packed))
 
 
@@ -163,6 +176,7 @@ def pipe_step(
     skip: object = False,
     depends: Sequence[Dependency] = (),
     gate: Column | None = None,
+    complete: Column | None = None,
 ) -> DataFrame:
     """Step of an external line-to-line command: one line in, one line out per record.
 
@@ -190,7 +204,7 @@ def pipe_step(
 
     schema = T.StructType([T.StructField(label, T.StringType())])
     inputs = [value.cast("string").alias("value")]
-    return map_step_py(records, name, call, schema, inputs, condition, skip, depends, gate)
+    return map_step_py(records, name, call, schema, inputs, condition, skip, depends, gate, complete)
 
 
 def _resolve(records: DataFrame, owner: str, label: str) -> Column:

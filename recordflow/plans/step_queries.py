@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordflow.operators.checks import drop_temp, missing_exports, missing_outputs, split_complete
+from recordflow.operators.checks import drop_temp, mark_complete, missing_exports, missing_outputs, split_complete
 from recordflow.operators.records import KEY, keyed_records
 from recordflow.operators.runlog import logged_step, run_log, split_errors
 from recordflow.operators.sets import keep_where
@@ -255,6 +255,22 @@ def done(spark, sf_dir):
     return split_complete(_outputs(spark, sf_dir), _manifest(spark, sf_dir), ["report", "detail"])[0].select(KEY, "lang")
 
 
+@query(
+    "resume_step",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, 'report' AS label, concat('out/', doc_id, '.txt') AS value, doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AS computed
+    FROM documents WHERE lang <> 'fr'""",
+)
+def resumed(spark, sf_dir):
+    records = mark_complete(_outputs(spark, sf_dir), _manifest(spark, sf_dir), ["report", "detail"])
+    stepped = map_step(
+        records, "Write", declare={"report": F.col("report")}, run={"computed": F.lit(True)},
+        condition=F.col("lang") != "fr", complete=F.col("complete"),
+    )
+    exported = export_results(stepped, "Write", ["report"], "run", 1)
+    computed = stepped.select(KEY, F.coalesce("Write.computed", F.lit(False)).alias("computed"))
+    return exported.join(computed, KEY).select(KEY, "label", "value", "computed")
+
+
 @query(
     "missing_outputs",
     """SELECT CAST(doc_id AS VARCHAR) AS record_id, 'Report' AS step, 'report' AS label, concat('out/', doc_id, '.txt') AS path

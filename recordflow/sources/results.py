@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordflow.functions.text import ROOT
 from recordflow.operators.checks import require_labels
 from recordflow.operators.lineage import downstream
 from recordflow.operators.records import KEY
@@ -93,10 +94,11 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
     """Exported labels of other pipelines as a record set, one text column per label.
 
     ``spec`` maps a pipeline to ``"all"``, a label, ``{to: from}`` or a list of these; for one
-    target requested twice the later request wins where it has a value. ``ids`` adds
-    records that exported nothing. An unknown pipeline or label is an error, found by one
+    target requested twice the later request wins where it has a value. The name ``root`` is
+    ignored. ``ids`` adds records that exported nothing. An unknown pipeline or label is an error, found by one
     aggregate of label names.
     """
+    spec = {run: request for run, request in spec.items() if run != ROOT}
     wanted = results.where(F.col("pipeline").isin(list(spec)))
     present: dict[str, set[str]] = {}
     names = wanted.select("pipeline", "label").distinct().limit(MAX_LABELS + 1).collect()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordflow.functions.text import strip_suffix
+from recordflow.operators.records import KEY
+from recordflow.sources.files import DEFAULT_RULES, suffix_labels
+
 # The nine columns of a GFF3 line and the line width of a FASTA body.
 GFF3_COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 FASTA_WIDTH = 60
@@ -18,13 +22,22 @@ def _first_token(title: Column) -> Column:
     return F.regexp_extract(title, r"^\s*(\S*)", 1)
 
 
-def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
+def _lines(spark: SparkSession, paths: Paths, glob: str | None, separator: str | None = None) -> DataFrame:
+    reader = spark.read
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    if separator is not None:
+        reader = reader.option("lineSep", separator)
+    return reader.text(paths)
+
+
+def read_fasta(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
     """``(file, id, seq)``: descriptions are dropped and body lines joined.
 
     A record starts at ``>`` after a line break, which is the reader's separator, so a ``>``
     inside a description is harmless and no ordering is needed.
     """
-    chunks = spark.read.option("lineSep", "\n>").text(paths)
+    chunks = _lines(spark, paths, glob, "\n>")
     record = F.regexp_replace("value", r"^\s*>", "")
     title = F.substring_index(record, "\n", 1)
     seq = F.substr(record, F.length(title) + 1)
@@ -35,7 +48,7 @@ def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
     """``(file, id, seq, qual)`` of four-line FASTQ records.
 
     Files are cut at ``@`` after a line break. A quality line may begin with ``@`` too, which
@@ -44,7 +57,7 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
     left at the blocks' edges, two at most for each, over the blocks of a file. Anything that
     is not a record fails.
     """
-    raw = spark.read.option("lineSep", "\n@").text(paths).select(
+    raw = _lines(spark, paths, glob, "\n@").select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
@@ -87,7 +100,7 @@ def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-def read_gff3(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_gff3(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
     """Every line as it is, its nine columns where it has them, and a ``malformed`` flag.
 
     Comment and blank lines are neither split nor malformed.
@@ -96,12 +109,35 @@ def read_gff3(spark: SparkSession, paths: Paths) -> DataFrame:
     comment = F.startswith(F.col("value"), F.lit("#")) | (F.trim("value") == "")
     is_feature = ~comment & (F.size(fields) == len(GFF3_COLUMNS))
     columns = [F.when(is_feature, fields[i]).alias(name) for i, name in enumerate(GFF3_COLUMNS)]
-    return spark.read.text(paths).select(
+    return _lines(spark, paths, glob).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), *columns,
         (~comment & ~is_feature).alias("malformed"),
     )
 
 
+# Reader of each default label.
+READERS: dict[str, Callable[..., DataFrame]] = {
+    "fasta": read_fasta, "fastq_1": read_fastq, "fastq_2": read_fastq, "gff3": read_gff3,
+}
+
+
+def read_label(
+    spark: SparkSession, directory: str, label: str, rules: Mapping = DEFAULT_RULES, reader: Callable[..., DataFrame] | None = None
+) -> DataFrame:
+    """Contents of the files of one label in a folder, with the ``record_id`` of each file.
+
+    The label's suffixes become the scan's file filter, so no list of paths is gathered.
+    """
+    suffixes = [suffix for suffix, name in suffix_labels(rules).items() if name == label]
+    if not suffixes:
+        raise ValueError(f"no rule for label {label!r}")
+    content = (reader or READERS[label])(spark, directory, glob="*{" + ",".join(suffixes) + "}")
+    name, record_id = F.element_at(F.split("file", "/"), -1), F.lit(None).cast("string")
+    for suffix in suffixes:
+        record_id = F.when(F.endswith(name, F.lit(suffix)), strip_suffix(name, suffix)).otherwise(record_id)
+    return content.select(F.url_decode(record_id).alias(KEY), "*")
+
+
 def fasta_lines(records: DataFrame, id_col: str = "id", seq_col: str = "seq", width: int = FASTA_WIDTH) -> DataFrame:
     """One text value per record, with its body wrapped, ready for ``write.text``."""
     body = F.regexp_replace(seq_col, f"(.{{{width}}})(?=.)", "$1\n")

@@ -9,6 +9,7 @@ from recordflow.operators.checks import (
     check_exports,
     check_outputs,
     drop_temp,
+    mark_complete,
     missing_outputs,
     split_complete,
 )
@@ -16,7 +17,7 @@ from recordflow.operators.records import MissingLabel
 from recordflow.operators.sets import rollup_content
 from recordflow.operators.steps import map_step
 from recordflow.sources.files import files_to_records, list_files, stage_input
-from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, read_gff3, write_lines
+from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, read_gff3, read_label, write_lines
 from tests.conftest import rows
 
 
@@ -117,6 +118,19 @@ def test_written_sequences_read_back(spark, tmp_path):
     assert max(map(len, text)) == 60
 
 
+def test_contents_of_a_folder_by_label(spark, tmp_path):
+    (tmp_path / "sample.fasta").write_text(">sample\nACTG\n")
+    (tmp_path / "a b.fa").write_text(">x\nAC\n>y\nG\n")
+    (tmp_path / "sample.gff3").write_text("free text\n")
+    (tmp_path / "s_1.fq").write_text("@r\nAC\n+\nII\n")
+    (tmp_path / "s_2.fq").write_text("@r\nGG\n+\n@@\n")
+    assert rows(rollup_content(read_label(spark, str(tmp_path), "fasta"))) == [("a b", 2, 3), ("sample", 1, 4)]
+    assert rows(read_label(spark, str(tmp_path), "gff3"), "record_id", "line", "malformed") == [("sample", "free text", True)]
+    assert rows(read_label(spark, str(tmp_path), "fastq_2"), "record_id", "id", "seq", "qual") == [("s", "r", "GG", "@@")]
+    with pytest.raises(ValueError):
+        read_label(spark, str(tmp_path), "unknown")
+
+
 def test_gff3_keeps_every_line(spark, tmp_path):
     (tmp_path / "x.gff3").write_text("##gff-version 3\nthis is not a feature\nchr1\t.\tgene\t1\t9\t.\t+\t.\tID=g1\n\n")
     got = read_gff3(spark, str(tmp_path))
@@ -144,6 +158,17 @@ def test_resume_needs_a_path_and_all_of_them(spark, outputs):
     assert rows(todo, "record_id") == [("half",), ("none",), ("nopath",)]
 
 
+def test_complete_records_count_as_run_without_running(spark, outputs):
+    marked = mark_complete(outputs, _names(spark, "a1", "a2"), ["x", "y"])
+    assert rows(marked, "record_id", "complete") == [
+        ("all", True), ("half", False), ("none", False), ("nopath", False), ("one", True)
+    ]
+    ran_on = F.when(F.col("complete"), F.raise_error("ran again").cast("string")).otherwise(F.col("record_id"))
+    stepped = map_step(marked, "S", declare={"x": F.col("x")}, run={"r": ran_on}, complete=F.col("complete"))
+    assert stepped.where("S_ran").count() == 5
+    assert rows(stepped.where("complete"), "S.x", "S.r") == [("a1", None), ("a1", None)]
+
+
 def test_missing_outputs(spark, outputs):
     manifest = _names(spark, "a1", "a2", "h1")
     assert rows(missing_outputs(outputs, "S", ["x", "y"], manifest)) == [

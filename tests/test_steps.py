@@ -62,6 +62,11 @@ def test_rerun_replaces_the_result(ids10):
     assert stepped.where("S.x = 2").count() == 10
 
 
+def test_step_and_label_may_not_differ_by_case_alone(input_other):
+    with pytest.raises(ValueError, match="case alone"):
+        map_step(input_other, "Input", run={"x": F.lit(1)})
+
+
 def test_has_run_and_did_run(ids10):
     stepped = map_step(ids10, "S", run={"x": F.lit(1)}, condition=F.expr(EVEN_SQL))
     assert stepped.where(has_run(stepped, "S")).count() == 10
