@@ -138,7 +138,7 @@ def reused_twice(spark, sf_dir):
     )
     uses_name = Dependency(_length_of_text, {"root": {"name": "text"}}, {"Length": "NameLength"})
     uses_kind = Dependency(_length_of_text, {"root": {"kind": "text"}}, {"Length": "TypeLength"})
-    stepped = map_step(parts, "Name", depends=[uses_name])
+    stepped = map_step(parts, "Measure", depends=[uses_name])
     stepped = map_step(
         stepped, "Total", run={"total": F.col("NameLength.n") + F.col("TypeLength.n")}, depends=[uses_kind],
         condition=F.col("size") > 25,

@@ -14,6 +14,7 @@ from recordflow.functions.text import ROOT
 from recordflow.operators.checks import require_labels
 from recordflow.operators.lineage import downstream
 from recordflow.operators.records import KEY
+from recordflow.storage import broadcast_if_small, cut
 
 RESULTS_SCHEMA = "step_no int, record_id string, label string, value string, pipeline string, step string"
 ALL = "all"
@@ -138,6 +139,10 @@ def remove_ids(tables: Sequence[DataFrame], ids: DataFrame) -> list[DataFrame]:
 
 
 def purge_steps(results: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
-    """Results without those of ``steps`` (column ``node``) and of every step that requires them."""
-    stale = downstream(edges, steps).select(F.col("node").alias("step")).distinct()
-    return results.join(stale, "step", "left_anti").select(*results.columns)
+    """Results without those of ``steps`` (column ``node``) and of every step that requires them.
+
+    A step may hold most of the results, so while the stale names are measured as small the
+    results are filtered where they are.
+    """
+    stale = cut(downstream(edges, steps).select(F.col("node").alias("step")).distinct(), "stale")
+    return results.join(broadcast_if_small(stale), "step", "left_anti").select(*results.columns)
