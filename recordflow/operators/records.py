@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordflow.storage import broadcast_if_small, cut
+
 KEY = "record_id"
 
 
@@ -50,15 +52,16 @@ def key_defects(records: DataFrame, key: str = KEY) -> DataFrame:
 def check_keys(records: DataFrame, key: str = KEY, mode: str = "split"):
     """``(good, bad)`` where ``bad`` is :func:`key_defects`; mode ``fail`` raises instead.
 
-    ``good`` keeps every row whose key has no defect.
+    ``good`` keeps every row whose key has no defect. The defects are written by one aggregate
+    job; while they are few, the records are filtered where they are.
     """
-    bad = key_defects(records, key)
+    bad = cut(key_defects(records, key), "bad_keys")
     if mode == "fail":
         sample = [tuple(row) for row in bad.take(5)]
         if sample:
             raise InvalidKeys(f"invalid record ids, for example {sample}")
         return records, bad
-    repeated = bad.where("defect = 'duplicate'").select(F.col(KEY).alias(key))
+    repeated = broadcast_if_small(bad.where("defect = 'duplicate'").select(F.col(KEY).alias(key)))
     good = records.where(F.col(key).isNotNull() & ~F.contains(F.col(key), F.lit(" ")))
     return good.join(repeated, key, "left_anti"), bad
 

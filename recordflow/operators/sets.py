@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from recordflow.operators.records import KEY, check_keys
 from recordflow.operators.steps import did_run, has_run, is_skipped
-from recordflow.storage import cut
+from recordflow.storage import cut, sized
 
 
 def set_step(records: DataFrame, aggs: Mapping[str, Column], condition: Column | None = None) -> DataFrame:
@@ -75,13 +75,15 @@ def attach(records: DataFrame, name: str, out: DataFrame, skip: object = False)
     )
 
 
-def keep_ids(records: DataFrame, ids: DataFrame) -> DataFrame:
+def keep_ids(records: DataFrame, ids: DataFrame, measured: bool = False) -> DataFrame:
     """Keep the records named in ``ids``; unknown ids are ignored.
 
     Ids are made distinct first: repeats of one id are folded before the shuffle, and the
-    distinct's partitioning serves the join.
+    distinct's partitioning serves the join. ``measured`` writes the distinct ids first, so that
+    wide records are not shuffled when the ids turn out to be few.
     """
-    return records.join(ids.select(KEY).distinct(), KEY, "left_semi")
+    wanted = ids.select(KEY).distinct()
+    return records.join(sized(wanted, "kept") if measured else wanted, KEY, "left_semi")
 
 
 def keep_where(records: DataFrame, predicate: Column | Callable[[pd.DataFrame], pd.Series], inputs=()) -> DataFrame:

@@ -14,7 +14,7 @@ from recordflow.functions.text import ROOT
 from recordflow.operators.checks import require_labels
 from recordflow.operators.lineage import downstream
 from recordflow.operators.records import KEY
-from recordflow.storage import broadcast_if_small, cut
+from recordflow.storage import sized
 
 RESULTS_SCHEMA = "step_no int, record_id string, label string, value string, pipeline string, step string"
 ALL = "all"
@@ -133,8 +133,11 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
 
 
 def remove_ids(tables: Sequence[DataFrame], ids: DataFrame) -> list[DataFrame]:
-    """Every table without the rows of ``ids``; unknown ids are ignored."""
-    gone = ids.select(KEY).distinct()
+    """Every table without the rows of ``ids``; unknown ids are ignored.
+
+    The ids are written once for all tables; while they are few, the tables are filtered where they are.
+    """
+    gone = sized(ids.select(KEY).distinct(), "removed")
     return [table.join(gone, KEY, "left_anti") for table in tables]
 
 
@@ -144,5 +147,5 @@ def purge_steps(results: DataFrame, edges: DataFrame, steps: DataFrame) -> DataF
     A step may hold most of the results, so while the stale names are measured as small the
     results are filtered where they are.
     """
-    stale = cut(downstream(edges, steps).select(F.col("node").alias("step")).distinct(), "stale")
-    return results.join(broadcast_if_small(stale), "step", "left_anti").select(*results.columns)
+    stale = downstream(edges, steps).select(F.col("node").alias("step")).distinct()
+    return results.join(sized(stale, "stale"), "step", "left_anti").select(*results.columns)

@@ -78,3 +78,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
             row_size = row_size + 8
     size = df.agg(F.sum(row_size.cast("long")).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def sized(df: DataFrame, name: str = "sized") -> DataFrame:
+    """``df`` written once and hinted by its measured size.
+
+    For a derived table that decides how a much larger one is joined: Spark's estimate of it
+    would be far too high, and the larger table would be shuffled for nothing.
+    """
+    return broadcast_if_small(cut(df, name))

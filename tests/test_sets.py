@@ -55,6 +55,7 @@ def test_attach_drops_and_adds_ids(spark, ids10):
 def test_keep_ids_ignores_unknown_and_repeated(spark, ids10):
     ids = spark.createDataFrame([("1",), ("1",), ("zz",)], "record_id string")
     assert rows(keep_ids(ids10, ids)) == [("1",)]
+    assert rows(keep_ids(ids10, ids, measured=True)) == [("1",)]
 
 
 def test_remap_replaces_everything(ids10):
