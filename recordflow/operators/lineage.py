@@ -30,24 +30,30 @@ def required(edges: DataFrame) -> DataFrame:
 def _peel(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
     """Rounds of removing the edges whose ``front`` node no edge leads to any more.
 
-    Each round is one semi join of the edges left with their own ``back`` ends, written by one
-    job that also counts them. Returns all rounds, ``(src, dst, level)``, where an edge is
-    present up to the level of its front node, and the edges that never go away: a cycle and
-    what lies behind it.
+    A round settles two levels in one job: a semi join of the edges left with their own
+    ``back`` ends, and, on the same partitioning, a mark on those that stay for one level more.
+    Returns all rounds, ``(src, dst, stays, level)``, where an edge is present up to the level of
+    its front node, and the edges that never go away: a cycle and what lies behind it.
     """
-    spark = edges.sparkSession
-    remaining, counts = cut_counted(edges, f"{path}/level=0")
-    level, left = 0, counts["n"]
-    while left:
-        entered = remaining.select(F.col(back).alias("node")).distinct()
-        rest = remaining.join(entered, F.col(front) == F.col("node"), "left_semi")
-        level += 1
-        remaining, counts = cut_counted(rest, f"{path}/level={level}")
-        if counts["n"] == left:
-            break
-        left = counts["n"]
-    rounds = spark.read.schema(T.StructType(edges.schema.fields).add("level", "long")).parquet(path)
-    return rounds, remaining
+
+    def entered(df: DataFrame) -> DataFrame:
+        return df.select(F.col(back).alias("node")).distinct()
+
+    def mark(df: DataFrame) -> DataFrame:
+        hit = entered(df).withColumn("hit", F.lit(True))
+        stays = F.coalesce("hit", F.lit(False)).alias("stays")
+        return df.join(hit, F.col(front) == F.col("node"), "left").select("src", "dst", stays)
+
+    stay = F.count_if("stays")
+    level = 0
+    table, counts = cut_counted(mark(edges), f"{path}/level=0", stay=stay)
+    while 0 < counts["stay"] < counts["n"]:
+        level += 2
+        alive = table.where("stays").select("src", "dst")
+        rest = alive.join(entered(alive), F.col(front) == F.col("node"), "left_semi")
+        table, counts = cut_counted(mark(rest), f"{path}/level={level}", stay=stay)
+    rounds = edges.sparkSession.read.schema(T.StructType(table.schema.fields).add("level", "long")).parquet(path)
+    return rounds, table.where("stays").select("src", "dst")
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -59,8 +65,9 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if not remaining.isEmpty():
         raise CyclicLineage("the requirements form a cycle")
     # The last round an edge is in gives its source's level; the target lies at least one deeper.
+    level = F.col("level") + F.col("stays").cast("long")
     ends = F.array(
-        F.struct(F.col("src").alias("node"), F.col("level")), F.struct(F.col("dst").alias("node"), (F.col("level") + 1).alias("level"))
+        F.struct(F.col("src").alias("node"), level.alias("level")), F.struct(F.col("dst").alias("node"), (level + 1).alias("level"))
     )
     found = rounds.select(F.inline(ends))
     if nodes is not None:

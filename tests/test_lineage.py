@@ -106,3 +106,13 @@ def test_random_graph_against_plain_search(spark):
                 reached.add(b)
                 todo.append(b)
     assert rows(downstream(edges, spark.createDataFrame([(30,)], "node long"))) == sorted(((n,) for n in reached), key=repr)
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4])
+def test_levels_and_cycles_of_chains(spark, length):
+    chain = [(i, i + 1) for i in range(length)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    assert rows(levels(edges)) == sorted(((i, i) for i in range(length + 1)), key=repr)
+    assert rows(cyclic_nodes(edges)) == []
+    ring = spark.createDataFrame(chain + [(length, 0), (length, 99), (98, 0)], "src long, dst long")
+    assert rows(cyclic_nodes(ring)) == sorted(((i,) for i in range(length + 1)), key=repr)
