@@ -68,7 +68,6 @@ def test_links_of_generated_groups(spark, monkeypatch, stream_rows):
     """Once with sorted streams alone, once with almost every bucket by aggregates and joins."""
     monkeypatch.setattr(ngram_join, "STREAM_ROWS", stream_rows)
     monkeypatch.setattr(ngram_join, "STREAM_TIMES_MEAN", 0)
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0.1)
     rows = generated(stream_rows)
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
