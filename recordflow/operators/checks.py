@@ -66,9 +66,17 @@ def mark_complete(
 
 
 def missing_outputs(
-    records: DataFrame, step: str, path_cols: Mapping[str, Column] | Sequence[str], manifest: DataFrame
+    records: DataFrame, step: str, path_cols: Mapping[str, Column] | Sequence[str], manifest: DataFrame,
+    condition: Column | None = None,
 ) -> DataFrame:
-    """``(record_id, step, label, path)`` of path outputs that do not exist."""
+    """``(record_id, step, label, path)`` of path outputs that do not exist.
+
+    Only records that the step ran on count, and of those only where ``condition``, if given, holds.
+    """
+    if f"{step}_ran" in records.columns:
+        records = records.where(F.col(f"`{step}_ran`"))
+    if condition is not None:
+        records = records.where(condition)
     expected = expected_outputs(records, path_cols)
     lost = expected.join(_manifest_paths(manifest), "path", "left_anti")
     return lost.select(KEY, F.lit(step).alias("step"), "label", "path")
@@ -123,6 +131,13 @@ def matches_template(path: Column, template: str, record_id: Column) -> Column:
     return F.regexp_like(path, F.concat(regex, ending)) if tail else path.rlike("^(?:" + glob_to_regex(head) + ")(?:/.*)?$")
 
 
+def _is_temp(templates: Sequence[str], path: str, record_id: str) -> Column:
+    hit = F.lit(False)
+    for template in templates:
+        hit = hit | matches_template(F.col(path), template, F.col(record_id))
+    return hit
+
+
 def drop_temp(
     manifest: DataFrame, templates: Sequence[str], path: str = "path", record_id: str = KEY
 ) -> DataFrame:
@@ -131,7 +146,11 @@ def drop_temp(
     The templates are part of the program, so they become one row-local predicate; a
     matching folder takes everything below it.
     """
-    hit = F.lit(False)
-    for template in templates:
-        hit = hit | matches_template(F.col(path), template, F.col(record_id))
-    return manifest.where(~hit)
+    return manifest.where(~_is_temp(templates, path, record_id))
+
+
+def temp_files(
+    manifest: DataFrame, templates: Sequence[str], path: str = "path", record_id: str = KEY
+) -> DataFrame:
+    """The files that :func:`drop_temp` leaves out: those to delete."""
+    return manifest.where(_is_temp(templates, path, record_id))

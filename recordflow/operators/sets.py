@@ -157,15 +157,15 @@ def take_while(records: DataFrame, order: str | Column, predicate: Column) -> Da
 def every_nth(records: DataFrame, n: int, offset: int = 0, order: str | Sequence[str] = KEY) -> DataFrame:
     """Records at positions ``offset, offset + n, ...`` of the whole ordered set.
 
-    A range sort spreads the set; the row number inside each sorted partition is written
-    once with the rows, and only one count for each partition is summed up to offsets, so no
-    task ever sees the whole set.
+    Only order keys and ids are sorted by range and numbered; one count for each partition is
+    summed up to offsets, so no task ever sees the whole set. The records are then filtered
+    by the kept ids, where they are while those are measured as few.
     """
     if n < 1 or not 0 <= offset < n:
         raise ValueError("need n >= 1 and 0 <= offset < n")
     keys = [order] if isinstance(order, str) else list(order)
     sort_keys = keys if KEY in keys else keys + [KEY]
-    numbered = records.sort(*sort_keys).withColumn("__row", F.monotonically_increasing_id())
+    numbered = records.select(*dict.fromkeys([KEY, *sort_keys])).sort(*sort_keys).withColumn("__row", F.monotonically_increasing_id())
     # Layout of the row number, partition above bit 33, row below it.
     part = F.shiftright("__row", 33)
     table = cut(numbered, "every_nth").withColumns(
@@ -178,4 +178,5 @@ def every_nth(records: DataFrame, n: int, offset: int = 0, order: str | Sequence
     starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     placed = table.join(F.broadcast(starts), "__part")
     position = F.col("__start") + F.col("__pos")
-    return placed.where(F.pmod(position, F.lit(n)) == offset).select(*[F.col(f"`{c}`") for c in records.columns])
+    kept = placed.where(F.pmod(position, F.lit(n)) == offset).select(KEY)
+    return records.join(sized(kept, "kept"), KEY, "left_semi").select(*[F.col(f"`{c}`") for c in records.columns])

@@ -13,10 +13,13 @@ import subprocess
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordflow.functions.text import ROOT, is_true
 from recordflow.operators.records import KEY, MissingLabel
@@ -44,7 +47,10 @@ def ran(name: str) -> str:
 
 def has_run(records: DataFrame, name: str) -> Column:
     """Whether a record has a result of the step, even one it was skipped in."""
-    return F.col(f"`{name}`").isNotNull() if name in records.columns else F.lit(False)
+    if name in records.columns:
+        return F.col(f"`{name}`").isNotNull()
+    # A step without labels is known by its flag alone.
+    return F.col(f"`{ran(name)}`").isNotNull() if ran(name) in records.columns else F.lit(False)
 
 
 def did_run(records: DataFrame, name: str) -> Column:
@@ -127,6 +133,57 @@ def _struct_type(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
+# Integers and flags stay exact beside NULLs.
+_NULLABLE = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype(),
+}
+
+
+def _to_frame(batch: pa.StructArray) -> pd.DataFrame:
+    frame = pa.Table.from_struct_array(batch).to_pandas(types_mapper=_NULLABLE.get)
+    for name, kind in zip(batch.type.names, (f.type for f in batch.type), strict=True):
+        if pa.types.is_timestamp(kind) and kind.tz:
+            frame[name] = frame[name].dt.tz_localize(None)
+    return frame
+
+
+def arrow_step(
+    records: DataFrame,
+    name: str,
+    fn: Callable[[pa.StructArray], Sequence[pa.Array]],
+    schema: str | T.StructType,
+    inputs: Sequence[str | Column],
+    condition: Column | None = None,
+    skip: object = False,
+    depends: Sequence[Dependency] = (),
+    gate: Column | None = None,
+    complete: Column | None = None,
+) -> DataFrame:
+    """Step of a function over Arrow batches of the ``inputs``, one array for each label of ``schema``.
+
+    ``fn`` gets only the rows where the gate holds; for all others a single NULL leaves the JVM.
+    """
+    struct_type = _struct_type(schema)
+    arrow_type = pa.struct(list(to_arrow_schema(struct_type)))
+    records = _with_gate(records, name, condition, skip, gate, depends)
+
+    def call(packed: pa.Array) -> pa.Array:
+        open_rows = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False))
+        made: list[pa.Array] = [pa.nulls(0, f.type) for f in arrow_type]
+        if len(open_rows):
+            made = [m.cast(f.type) for m, f in zip(fn(packed.take(pa.array(open_rows))), arrow_type, strict=True)]
+            if any(len(m) != len(open_rows) for m in made):
+                raise ValueError(f"step {name}: {len(made[0])} rows returned for {len(open_rows)} records")
+        place = np.full(len(packed), -1, dtype=np.int64)
+        place[open_rows] = np.arange(len(open_rows))
+        at = pa.array(place, mask=place < 0)
+        return pa.StructArray.from_arrays([m.take(at) for m in made], fields=list(arrow_type))
+
+    columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
+    packed = F.when(_open(name, complete), F.struct(*columns))
+    return _put_step(records, name, F.arrow_udf(call, struct_type)(packed))
+
+
 def map_step_py(
     records: DataFrame,
     name: str,
@@ -142,28 +199,17 @@ def map_step_py(
     """Step of a pandas function over Arrow batches.
 
     ``fn`` gets a batch of the ``inputs`` columns, only the rows where the gate holds, and
-    returns as many rows of ``schema``. Other columns never leave the JVM.
+    returns as many rows of ``schema``. Integers and flags have nullable types, so a NULL changes
+    no other value. Other columns, and rows behind a closed gate, never leave the JVM.
     """
     struct_type = _struct_type(schema)
-    labels = struct_type.fieldNames()
-    records = _with_gate(records, name, condition, skip, gate, depends)
+    fields = list(to_arrow_schema(struct_type))
 
-    @F.pandas_udf(struct_type)
-    def call(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = batch.index[batch["__open"].astype(bool)]
-        result = pd.DataFrame({label: pd.Series([None] * len(batch), dtype=object) for label in labels})
-        result.index = batch.index
-        if len(rows):
-            produced = fn(batch.loc[rows].drop(columns="__open").reset_index(drop=True))
-            if len(produced) != len(rows):
-                raise ValueError(f"step {name}: {len(produced)} rows returned for {len(rows)} records")
-            for label in labels:
-                result.loc[rows, label] = produced[label].astype(object).to_numpy()
-        return result
+    def call(batch: pa.StructArray) -> list[pa.Array]:
+        produced = fn(_to_frame(batch))
+        return [pa.Array.from_pandas(produced[f.name], type=f.type) for f in fields]
 
-    columns = [F.col(c) if isinstance(c, str) else c for c in inputs]
-    packed = F.struct(*columns, _open(name, complete).alias("__open"))
-    return _put_step(records, name, call(packed))
+    return arrow_step(records, name, call, struct_type, inputs, condition, skip, depends, gate, complete)
 
 
 def pipe_step(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordflow.functions.text import strip_suffix
 from recordflow.operators.records import KEY
+from recordflow.storage import write_once
 
 # Default suffixes of each label.
 DEFAULT_RULES: dict[tuple[str, ...], str] = {
@@ -57,6 +58,7 @@ def files_to_records(manifest: DataFrame, rules: Mapping = DEFAULT_RULES, path:
 
 
 def stage_input(df: DataFrame, path: str) -> DataFrame:
-    """Write a normalised copy of the input once; an existing copy is kept and read back."""
-    df.write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write a normalised copy of the input once; an existing whole copy is kept and read back."""
+    spark = df.sparkSession
+    write_once(spark, path, lambda side: df.write.parquet(side))
+    return spark.read.parquet(path)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordflow.operators.records import KEY
 
@@ -18,28 +19,31 @@ def load_records(
 
     A part describes a piece of input: a path, a shard, a date. ``load`` gets it as a dict and
     yields records as dicts with ``record_id`` and the labels of ``schema``; a label that a
-    record lacks is NULL. Parts are loaded where they are and never gathered.
+    record lacks is NULL, and a key that is None stays NULL for ``check_keys`` to see. Parts are loaded where they are and never gathered.
     """
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = struct.fieldNames()
     if KEY not in names:
         raise ValueError(f"the schema needs a {KEY} field")
 
-    def frame(rows: list[list]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names, dtype=object)
+    arrow = to_arrow_schema(struct)
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []
-        for batch in batches:
-            for part in batch.to_dict("records"):
+        for given in batches:
+            for part in given.to_pylist():
                 for record in load(part):
                     values = [record.get(name) for name in names]
-                    values[names.index(KEY)] = str(record[KEY])
+                    key = record[KEY]
+                    values[names.index(KEY)] = None if key is None else str(key)
                     rows.append(values)
                     if len(rows) >= batch_rows:
-                        yield frame(rows)
+                        yield batch(rows)
                         rows = []
         if rows:
-            yield frame(rows)
+            yield batch(rows)
 
-    return parts.mapInPandas(call, struct)
+    return parts.mapInArrow(call, struct)

@@ -5,23 +5,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordflow.functions.text import ROOT
+from recordflow.functions.text import ROOT, export_name
 from recordflow.operators.checks import require_labels
 from recordflow.operators.lineage import downstream
 from recordflow.operators.records import KEY
-from recordflow.storage import sized
+from recordflow.storage import Files, sized
 
 RESULTS_SCHEMA = "step_no int, record_id string, label string, value string, pipeline string, step string"
 ALL = "all"
 
-# Labels are named by the steps of a program, so more than this many is a mistake.
-MAX_LABELS = 10_000
-
 Request = str | Mapping[str, str] | Sequence[str | Mapping[str, str]]
 
 
@@ -29,18 +30,24 @@ class ImproperInput(ValueError):
     """A request for results that names an unknown pipeline or label, or has another form."""
 
 
-def export_steps(records: DataFrame, exports: Mapping[str, Sequence[str]], run: str, first_no: int = 1) -> DataFrame:
+def export_steps(
+    records: DataFrame, exports: Mapping[str, Sequence[str]], run: str, first_no: int = 1,
+    path_labels: Sequence[str] = (), folder: str = "",
+) -> DataFrame:
     """Long rows of the labels of several steps, in one pass over the records.
 
     ``exports`` maps a step to its labels, in run order: step numbers count from ``first_no``.
     A record gives rows for the steps that ran on it; a NULL value fails. ``run`` names the
-    exporting pipeline.
+    exporting pipeline. The value of a label in ``path_labels`` is the path of its copy in ``folder``, see
+    :func:`export_plan`.
     """
     entries = []
     for step_no, (step, labels) in enumerate(exports.items(), first_no):
         require_labels(records, step, labels)
         for label in labels:
             value = F.col(f"`{step}`.`{label}`").cast("string")
+            if label in path_labels:
+                value = exported_path(value, step, folder)
             entries += [F.lit(step), F.lit(step_no), F.lit(label), value, F.col(f"`{step}_ran`")]
     names = ("step", "step_no", "label", "value", "ran")
     rows = records.select(KEY, F.stack(F.lit(len(entries) // len(names)), *entries).alias(*names)).where("ran")
@@ -56,12 +63,56 @@ def export_results(
     return export_steps(records, {step: labels}, run, step_no)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Store results; only the partitions of the written pipelines and steps are replaced."""
-    (
-        results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("pipeline", "step").parquet(path)
-    )
+def _partitions(store: Files) -> list[tuple[str, str]]:
+    """Folders ``(pipeline=..., step=...)`` of a store: the steps of programs, not data."""
+    return [(p, s) for p in store.folders() if p.startswith("pipeline=") for s in store.at(p).folders() if s.startswith("step=")]
+
+
+def _named(partition: tuple[str, str]) -> tuple[str | None, str | None]:
+    """Pipeline and step of a partition's folders."""
+    values = [unquote(folder.partition("=")[2]) for folder in partition]
+    return tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values)
+
+
+def _swap(store: Files, new: Files, drop: Sequence[tuple[str, str]] = ()) -> None:
+    """Put the partitions of ``new`` in place of the store's, and drop others.
+
+    Whole folders are renamed; what they replace is deleted last, so a failure half way loses nothing.
+    """
+    old = store.beside("replaced")
+    for p, s in _partitions(new):
+        target = store.at(p).at(s)
+        if target.exists():
+            target.move_to(old.at(p).at(s))
+        new.at(p).at(s).move_to(target)
+    for p, s in drop:
+        target = store.at(p).at(s)
+        if target.exists():
+            target.move_to(old.at(p).at(s))
+    if old.exists():
+        old.delete()
+    new.delete()
+
+
+def write_results(results: DataFrame, path: str, pipeline: str | None = None, steps: Sequence[str] | None = None) -> None:
+    """Store results; the partitions of the written pipelines and steps are replaced as a whole.
+
+    Results are written beside the store and moved into it. With ``pipeline``, stored steps of that
+    pipeline without rows in ``results`` go too: all of them, or those of ``steps``. So a re-run leaves
+    nothing of steps that no longer run.
+    """
+    spark = results.sparkSession
+    store = Files(spark, path)
+    new = store.beside("writing")
+    results.write.partitionBy("pipeline", "step").parquet(new.name)
+    written = set(_partitions(new))
+    drop = []
+    if pipeline is not None:
+        for partition in _partitions(store):
+            run, step = _named(partition)
+            if partition not in written and run == pipeline and (steps is None or step in steps):
+                drop.append(partition)
+    _swap(store, new, drop)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -91,25 +142,49 @@ def _pairs(run: str, request: Request, present: Mapping[str, set[str]]) -> list[
     return out
 
 
+def _asked(run: str, request: Request) -> set[str]:
+    """Labels that a request names; :data:`ALL` among them if it asks for all."""
+    if isinstance(request, str):
+        return {request}
+    return {label for _, label in _pairs(run, request, _Everything())}
+
+
+class _Everything(dict):
+    """Stands for the labels of any pipeline while only the named ones are read off a request."""
+
+    def __missing__(self, run: str) -> set[str]:
+        return {ALL}
+
+
+def _present(wanted: DataFrame, spec: Mapping[str, Request]) -> dict[str, set[str]]:
+    """Labels by pipeline, of those asked for."""
+    named = F.lit(False)
+    for run, request in spec.items():
+        asked = _asked(run, request)
+        mine = F.col("pipeline") == run
+        named = named | (mine if ALL in asked else mine & F.col("label").isin(sorted(asked)))
+    present: dict[str, set[str]] = {}
+    for row in wanted.where(named).select("pipeline", "label").distinct().collect():
+        present.setdefault(row["pipeline"], set()).add(row["label"])
+    for run in spec:
+        if run not in present:
+            if wanted.where(F.col("pipeline") == run).isEmpty():
+                raise ImproperInput(f"no results of {run}")
+            present[run] = set()
+    return present
+
+
 def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame | None = None) -> DataFrame:
     """Exported labels of other pipelines as a record set, one text column per label.
 
     ``spec`` maps a pipeline to ``"all"``, a label, ``{to: from}`` or a list of these; for one
     target requested twice the later request wins where it has a value. The name ``root`` is
     ignored. ``ids`` adds records that exported nothing. An unknown pipeline or label is an error, found by one
-    aggregate of label names.
+    aggregate of the names that are asked for; only ``"all"`` needs those of a whole pipeline.
     """
     spec = {run: request for run, request in spec.items() if run != ROOT}
     wanted = results.where(F.col("pipeline").isin(list(spec)))
-    present: dict[str, set[str]] = {}
-    names = wanted.select("pipeline", "label").distinct().limit(MAX_LABELS + 1).collect()
-    if len(names) > MAX_LABELS:
-        raise ImproperInput(f"more than {MAX_LABELS} labels in {sorted(spec)}")
-    for row in names:
-        present.setdefault(row["pipeline"], set()).add(row["label"])
-    for run in spec:
-        if run not in present:
-            raise ImproperInput(f"no results of {run}")
+    present = _present(wanted, spec)
     place = F.struct("step_no", "step")
     targets: dict[str, list[Column]] = {}
     sources: dict[str, list[str]] = {}
@@ -149,3 +224,79 @@ def purge_steps(results: DataFrame, edges: DataFrame, steps: DataFrame) -> DataF
     """
     stale = downstream(edges, steps).select(F.col("node").alias("step")).distinct()
     return results.join(sized(stale, "stale"), "step", "left_anti").select(*results.columns)
+
+
+def purge_store(spark: SparkSession, path: str, edges: DataFrame, steps: DataFrame) -> list[tuple[str, str]]:
+    """Delete the results of ``steps`` (column ``node``) and of every step that requires them.
+
+    Whole partitions go, nothing is read or written; returns the ``(pipeline, step)`` deleted.
+    """
+    store = Files(spark, path)
+    partitions = _partitions(store)
+    stored = spark.createDataFrame([(_named(p)[1],) for p in partitions], "step string")
+    stale = downstream(edges, steps).select(F.col("node").cast("string").alias("step")).distinct()
+    # At most one name for each partition.
+    gone = {row["step"] for row in stored.distinct().join(stale, "step", "left_semi").collect()}
+    dropped = [p for p in partitions if _named(p)[1] in gone]
+    for p, s in dropped:
+        store.at(p).at(s).delete()
+    return [_named(p) for p in dropped]
+
+
+def remove_from_store(spark: SparkSession, path: str, ids: DataFrame) -> list[tuple[str, str]]:
+    """Remove all results of ``ids`` from the store; returns the ``(pipeline, step)`` it touched.
+
+    Only partitions with such ids are written anew; those that end up empty are dropped.
+    """
+    store = Files(spark, path)
+    gone = sized(ids.select(KEY).distinct(), "removed")
+    results = read_results(spark, path)
+    # One row for each partition at most.
+    touched = [tuple(r) for r in results.join(gone, KEY, "left_semi").select("pipeline", "step").distinct().collect()]
+    if not touched:
+        return []
+    folders = {_named(p): p for p in _partitions(store)}
+    mine = F.lit(False)
+    for run, step in touched:
+        mine = mine | (F.col("pipeline").eqNullSafe(F.lit(run)) & F.col("step").eqNullSafe(F.lit(step)))
+    new = store.beside("writing")
+    results.where(mine).join(gone, KEY, "left_anti").write.partitionBy("pipeline", "step").parquet(new.name)
+    left = set(_partitions(new))
+    _swap(store, new, [folders[t] for t in touched if folders[t] not in left])
+    return touched
+
+
+def export_plan(records: DataFrame, step: str, labels: Sequence[str], folder: str) -> DataFrame:
+    """``(record_id, label, source, target)`` of exported path labels: ``folder/base.STEP.ext`` for each path."""
+    require_labels(records, step, labels)
+    entries = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"`{step}`.`{x}`").alias("source")) for x in labels])
+    rows = records.where(F.col(f"`{step}_ran`")).select(KEY, F.inline(entries)).where(F.col("source").isNotNull())
+    return rows.withColumn("target", exported_path("source", step, folder))
+
+
+def exported_path(path: str | Column, step: str, folder: str) -> Column:
+    return F.concat(F.lit(folder.rstrip("/") + "/"), export_name(path, step))
+
+
+def copy_files(plan: DataFrame) -> DataFrame:
+    """Copy ``source`` to ``target`` in the tasks; ``(record_id, label, target, bytes)`` of the copies.
+
+    A copy is written beside its target and renamed, so a repeated task is harmless.
+    """
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [_copy(s, t) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64())],
+                                             names=[KEY, "label", "target", "bytes"])
+
+    return plan.select(KEY, "label", "source", "target").mapInArrow(copy, f"{KEY} string, label string, target string, bytes long")
+
+
+def _copy(source: str, target: str) -> int:
+    from_fs, from_path = fs.FileSystem.from_uri(source)
+    to_fs, to_path = fs.FileSystem.from_uri(target)
+    side = f"{to_path}.{uuid.uuid4().hex}"
+    to_fs.create_dir(to_path.rpartition("/")[0], recursive=True)
+    fs.copy_files(from_path, side, source_filesystem=from_fs, destination_filesystem=to_fs)
+    to_fs.move(side, to_path)
+    return to_fs.get_file_info(to_path).size

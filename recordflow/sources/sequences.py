@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordflow.functions.text import strip_suffix
 from recordflow.operators.records import KEY
 from recordflow.sources.files import DEFAULT_RULES, suffix_labels
+from recordflow.storage import write_once
 
 # The nine columns of a GFF3 line and the line width of a FASTA body.
 GFF3_COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
@@ -132,10 +133,12 @@ def read_label(
     if not suffixes:
         raise ValueError(f"no rule for label {label!r}")
     content = (reader or READERS[label])(spark, directory, glob="*{" + ",".join(suffixes) + "}")
-    name, record_id = F.element_at(F.split("file", "/"), -1), F.lit(None).cast("string")
+    # Spark encodes file names, and a plus sign in one is no blank.
+    name = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    record_id = F.lit(None).cast("string")
     for suffix in suffixes:
         record_id = F.when(F.endswith(name, F.lit(suffix)), strip_suffix(name, suffix)).otherwise(record_id)
-    return content.select(F.url_decode(record_id).alias(KEY), "*")
+    return content.select(record_id.alias(KEY), "*")
 
 
 def fasta_lines(records: DataFrame, id_col: str = "id", seq_col: str = "seq", width: int = FASTA_WIDTH) -> DataFrame:
@@ -152,5 +155,5 @@ def fastq_lines(records: DataFrame, id_col: str = "id", seq_col: str = "seq", qu
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Write text values once; an existing copy is kept."""
-    lines.write.mode("ignore").text(path)
+    """Write text values once; an existing whole copy is kept."""
+    write_once(lines.sparkSession, path, lambda side: lines.write.text(side))

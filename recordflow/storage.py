@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="recordflow-")
     if sc.getCheckpointDir() is None:
@@ -32,9 +33,72 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder that holds all intermediate tables of this session's application."""
+    return f"{shared_dir(spark)}/recordflow/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is ever overwritten there."""
-    return f"{shared_dir(spark)}/recordflow/{name}-{uuid.uuid4().hex}"
+    """A new path in the run's folder; nothing is ever overwritten there."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the run's intermediate tables. DataFrames that still read them fail from now on."""
+    files = Files(spark, run_dir(spark))
+    if files.exists():
+        files.delete()
+
+
+class Files:
+    """A path in the file system Spark sees it in: a few metadata calls on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.name = spark, path.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(self.name)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, child: str) -> Files:
+        return Files(self.spark, f"{self.name}/{child}")
+
+    def beside(self, name: str) -> Files:
+        """A new path in the same folder, hidden from readers."""
+        parent, _, last = self.name.rpartition("/")
+        return Files(self.spark, f"{parent}/_{name}-{last}-{uuid.uuid4().hex}")
+
+    def exists(self) -> bool:
+        return self.system.exists(self.path)
+
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
+
+    def move_to(self, target: Files) -> None:
+        """Rename; the target's parent is made, the target must not exist."""
+        self.system.mkdirs(target.path.getParent())
+        if not self.system.rename(self.path, target.path):
+            raise OSError(f"cannot move {self.name} to {target.name}")
+
+    def folders(self) -> list[str]:
+        """Names of the visible folders inside."""
+        if not self.exists():
+            return []
+        found = [x.getPath().getName() for x in self.system.listStatus(self.path) if x.isDirectory()]
+        return sorted(n for n in found if not n.startswith(("_", ".")))
+
+
+def write_once(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """``write`` a table beside ``path`` and move it there, unless a whole copy is there already.
+
+    A copy is whole if it has the mark of a committed job; a broken one is replaced.
+    """
+    target = Files(spark, path)
+    if target.at("_SUCCESS").exists():
+        return
+    side = target.beside("writing")
+    write(side.name)
+    if target.exists():
+        target.delete()
+    side.move_to(target)
 
 
 def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:

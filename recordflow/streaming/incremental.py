@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from recordflow.operators.records import KEY
 
 
+class _RowCounter(StreamingQueryListener):
+    """Rows of every batch of the query with this name, however many batches there are."""
+
+    def __init__(self, name: str):
+        self.name, self.rows, self.run_id, self.ended = name, 0, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        if event.name == self.name:
+            self.run_id = event.runId
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.name == self.name:
+            self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.runId == self.run_id:
+            self.ended.set()
+
+
+def _one_version(batch: DataFrame) -> DataFrame:
+    """One row of each id, the same in every run: that with the least hash of all its columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    return batch.groupBy(KEY).agg(F.min_by(whole, F.xxhash64(whole)).alias("r")).select("r.*")
+
+
 def run_incremental(
     spark: SparkSession,
     source: str,
@@ -19,29 +50,41 @@ def run_incremental(
     out: str,
     checkpoint: str,
     skip_done: bool = False,
+    max_files: int | None = None,
 ) -> int:
     """Apply per-record ``steps`` to the files that came since the last run; returns the rows read.
 
-    The stream's checkpoint remembers the files, so calling this again takes up only new ones.
-    ``skip_done`` also leaves out records whose id is already in ``out``, which makes a
-    repeated batch harmless. Set steps look at a whole set and belong in a batch run.
+    The stream's checkpoint remembers the files, so calling this again takes up only new ones, at
+    most ``max_files`` in each batch. ``skip_done`` leaves out records whose id is already in ``out``
+    before the steps run, which makes a repeated batch harmless; of several rows of one id in a batch
+    one is taken. Set steps look at a whole set and belong in a batch run.
     """
-    stream = steps(spark.readStream.schema(schema).parquet(source))
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source)
     if skip_done:
 
         def append_new(batch: DataFrame, _: int) -> None:
-            new = batch.dropDuplicates([KEY])
+            new = _one_version(batch)
             try:
-                done = batch.sparkSession.read.schema(batch.schema).parquet(out).select(KEY)
-                new = new.join(done, KEY, "left_anti")
+                done = batch.sparkSession.read.schema(f"{KEY} string").parquet(out)
+                new = new.join(done, KEY, "left_anti").select(*batch.columns)
             except AnalysisException as err:
                 if err.getCondition() != "PATH_NOT_FOUND":
                     raise
-            new.write.mode("append").parquet(out)
+            steps(new).write.mode("append").parquet(out)
 
         writer = stream.writeStream.foreachBatch(append_new)
     else:
-        writer = stream.writeStream.format("parquet").option("path", out)
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+        writer = steps(stream).writeStream.format("parquet").option("path", out)
+    counter = _RowCounter(f"incremental-{id(stream)}")
+    spark.streams.addListener(counter)
+    try:
+        query = writer.queryName(counter.name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        # The end is the last event of a query, behind the progress of all its batches.
+        counter.ended.wait()
+    finally:
+        spark.streams.removeListener(counter)
+    return counter.rows
