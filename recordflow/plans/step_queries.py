@@ -46,17 +46,17 @@ def mapped(spark, sf_dir):
     "map_step_py",
     """SELECT CAST(o_orderkey AS VARCHAR) AS record_id,
       CASE WHEN o_orderstatus = 'F'
-        THEN CAST(list_sum(list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: ascii(c))) + 1 AS BIGINT) END AS result
+        THEN CAST(list_sum(list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c, i: i * CAST(c AS BIGINT))) AS BIGINT) END AS weight
     FROM orders""",
 )
 def mapped_py(spark, sf_dir):
-    def code_points(batch):
-        return batch[[]].assign(result=batch[KEY].map(lambda key: sum(map(ord, key)) + 1))
+    def weights(batch):
+        return batch[[]].assign(weight=batch[KEY].map(lambda key: sum(i * int(c) for i, c in enumerate(key, 1))))
 
     stepped = map_step_py(
-        _orders(spark, sf_dir), "ComplexTask", code_points, "result long", [KEY], condition=F.col("status") == "F"
+        _orders(spark, sf_dir), "DigitWeight", weights, "weight long", [KEY], condition=F.col("status") == "F"
     )
-    return stepped.select(KEY, "ComplexTask.result")
+    return stepped.select(KEY, "DigitWeight.weight")
 
 
 @query(
@@ -148,21 +148,21 @@ def reused_twice(spark, sf_dir):
     )
 
 
-def _level_three(records, gate):
-    return map_step(records, "LevelThree", declare={"seen": F.col("amount")}, run={"value": F.col("amount") + 3}, gate=gate)
+def _surcharge(records, gate):
+    return map_step(records, "Surcharge", declare={"seen": F.col("amount")}, run={"value": F.col("amount") + 3}, gate=gate)
 
 
-def _level_two(records, gate):
-    below = Dependency(_level_three)
+def _doubled(records, gate):
+    below = Dependency(_surcharge)
     return map_step(
-        records, "LevelTwo", run={"value": F.col("LevelThree.value") * 2}, depends=[below], gate=gate
+        records, "Doubled", run={"value": F.col("Surcharge.value") * 2}, depends=[below], gate=gate
     )
 
 
-def _level_one(records, gate):
-    below = Dependency(_level_two)
+def _billed(records, gate):
+    below = Dependency(_doubled)
     return map_step(
-        records, "LevelOne", declare={"amount": F.col("amount")}, run={"value": F.col("LevelTwo.value") + 1},
+        records, "Billed", declare={"amount": F.col("amount")}, run={"value": F.col("Doubled.value") + 1},
         depends=[below], gate=gate,
     )
 
@@ -170,21 +170,21 @@ def _level_one(records, gate):
 @query(
     "use_step_chain",
     """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST(round(o_totalprice * 100) AS BIGINT) AS p, o_orderstatus = 'F' AS ran FROM orders)
-    SELECT record_id, p AS declared, p AS deepest_declared, CASE WHEN ran THEN p + 3 END AS level_three,
-      CASE WHEN ran THEN (p + 3) * 2 END AS level_two, CASE WHEN ran THEN (p + 3) * 2 + 1 END AS level_one,
+    SELECT record_id, p AS declared, p AS deepest_declared, CASE WHEN ran THEN p + 3 END AS surcharge,
+      CASE WHEN ran THEN (p + 3) * 2 END AS doubled, CASE WHEN ran THEN (p + 3) * 2 + 1 END AS billed,
       CASE WHEN ran THEN (p + 3) * 2 + 1 - p END AS result, ran FROM o""",
 )
 def chain(spark, sf_dir):
-    stepped = map_step(_orders(spark, sf_dir), "Initial", run={"price": F.col("price")})
-    uses = Dependency(_level_one, {"Initial": {"price": "amount"}})
+    stepped = map_step(_orders(spark, sf_dir), "Priced", run={"price": F.col("price")})
+    uses = Dependency(_billed, {"Priced": {"price": "amount"}})
     stepped = map_step(
-        stepped, "Change", run={"result": F.col("LevelOne.value") - F.col("LevelOne.amount")}, depends=[uses],
+        stepped, "Change", run={"result": F.col("Billed.value") - F.col("Billed.amount")}, depends=[uses],
         condition=F.col("status") == "F",
     )
     return stepped.select(
-        KEY, F.col("LevelOne.amount").alias("declared"), F.col("LevelThree.seen").alias("deepest_declared"),
-        F.col("LevelThree.value").alias("level_three"), F.col("LevelTwo.value").alias("level_two"),
-        F.col("LevelOne.value").alias("level_one"), "Change.result", F.col("LevelThree_ran").alias("ran"),
+        KEY, F.col("Billed.amount").alias("declared"), F.col("Surcharge.seen").alias("deepest_declared"),
+        F.col("Surcharge.value").alias("surcharge"), F.col("Doubled.value").alias("doubled"),
+        F.col("Billed.value").alias("billed"), "Change.result", F.col("Surcharge_ran").alias("ran"),
     )
 
 
@@ -295,28 +295,33 @@ def lost_exports(spark, sf_dir):
 
 
 # Globs of temporary files, as a step would declare them.
-TEMPORARY = ["wdir", "*tmp.out", "{record_id}.deferred.out", "keep/file.out", "keep/{record_id}.deferred.out"]
+TEMPORARY = ["scratch", "*cache.bin", "{record_id}.swap.db", "out/index.db", "out/{record_id}.swap.db"]
 
 
 @query(
     "drop_temp",
     """WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, unnest([
-        concat(doc_id, '.txt'), concat(doc_id, 'tmp.out'), concat(doc_id, '.deferred.out'), concat(doc_id, '0.deferred.out'),
-        'wdir/part.log', 'keep/file.out', concat('keep/', doc_id, '.deferred.out'), concat('keep/', lang, '.tmp'), '.tmp.out'
+        concat(doc_id, '.txt'), concat(doc_id, 'cache.bin'), concat(doc_id, '.swap.db'), concat(doc_id, '0.swap.db'),
+        'scratch/part.log', 'out/index.db', concat('out/', doc_id, '.swap.db'), concat('out/', lang, '.tmp'), '.cache.bin'
       ]) AS path FROM documents)
     SELECT record_id, path FROM m
-    WHERE NOT (path LIKE 'wdir/%' OR path = 'wdir' OR regexp_full_match(path, '[^./][^/]*tmp\\.out|tmp\\.out')
-      OR path = concat(record_id, '.deferred.out') OR path = 'keep/file.out' OR path = concat('keep/', record_id, '.deferred.out'))""".replace("\\\\", "\\"),
+    WHERE NOT (path LIKE 'scratch/%' OR path = 'scratch' OR regexp_full_match(path, '[^./][^/]*cache\\.bin|cache\\.bin')
+      OR path = concat(record_id, '.swap.db') OR path = 'out/index.db' OR path = concat('out/', record_id, '.swap.db'))""".replace("\\\\", "\\"),
 )
 def cleaned(spark, sf_dir):
+    return drop_temp(temporary_manifest(spark, sf_dir), TEMPORARY)
+
+
+def temporary_manifest(spark, sf_dir):
+    """Files of each document, those of ``TEMPORARY`` among them."""
     names = F.array(
-        F.concat("doc_id", F.lit(".txt")), F.concat("doc_id", F.lit("tmp.out")), F.concat("doc_id", F.lit(".deferred.out")),
-        F.concat("doc_id", F.lit("0.deferred.out")), F.lit("wdir/part.log"), F.lit("keep/file.out"),
-        F.concat(F.lit("keep/"), "doc_id", F.lit(".deferred.out")), F.concat(F.lit("keep/"), "lang", F.lit(".tmp")),
-        F.lit(".tmp.out"),
+        F.concat("doc_id", F.lit(".txt")), F.concat("doc_id", F.lit("cache.bin")), F.concat("doc_id", F.lit(".swap.db")),
+        F.concat("doc_id", F.lit("0.swap.db")), F.lit("scratch/part.log"), F.lit("out/index.db"),
+        F.concat(F.lit("out/"), "doc_id", F.lit(".swap.db")), F.concat(F.lit("out/"), "lang", F.lit(".tmp")),
+        F.lit(".cache.bin"),
     )
     manifest = keyed_records(table(spark, sf_dir, "documents"), "doc_id", {"path": names})
-    return drop_temp(manifest.select(KEY, F.explode("path").alias("path")), TEMPORARY)
+    return manifest.select(KEY, F.explode("path").alias("path"))
 
 
 def _strict_half(values):

@@ -61,14 +61,14 @@ def test_fasta(spark, tmp_path):
     assert read_fasta(spark, str(path)).count() == 0
 
 
-FASTQ = "@SEQ_ID\nGATTTGGGGTTCAAAGCAGTATCGATCAAATAGTAAATCCATTTGTTCAACTCACAGTTT\n+\n!''*((((***+))%%%++)(%%%%).1***-+*''))**55CCF>>>>>>CCCCCCC65\n"
+FASTQ = "@read.7\n" + "ACGTN" * 12 + "\n+\n" + "*+%>@I" * 10 + "\n"
 
 
 def test_fastq(spark, tmp_path):
     path = tmp_path / "sample.fastq"
     path.write_text(FASTQ * 3)
     got = read_fastq(spark, str(path))
-    assert rows(got, "id", F.length("seq"), F.length("qual")) == [("SEQ_ID", 60, 60)] * 3
+    assert rows(got, "id", F.length("seq"), F.length("qual")) == [("read.7", 60, 60)] * 3
     assert files_to_records(_names(spark, str(path))).count() == 0
     path.write_text("")
     assert read_fastq(spark, str(path)).count() == 0
@@ -194,16 +194,16 @@ def test_missing_exports(ids10):
 
 def test_clean_up_of_templated_globs(spark):
     def files(i):
-        return [f"{i}.txt", f"{i}tmp.out", f"{i}.deferred.out", "wdir/a/b", "keep/file.out", f"keep/{i}.deferred.out", "keep/x"]
+        return [f"{i}.txt", f"{i}cache.bin", f"{i}.swap.db", "scratch/a/b", "out/index.db", f"out/{i}.swap.db", "out/x"]
 
     manifest = spark.createDataFrame(
-        [(str(i), path) for i in range(10) for path in files(i)] + [("1", "10.deferred.out"), ("a.c", "abc.deferred.out")],
+        [(str(i), path) for i in range(10) for path in files(i)] + [("1", "10.swap.db"), ("a.c", "abc.swap.db")],
         "record_id string, path string",
     )
-    templates = ["wdir", "*tmp.out", "{record_id}.deferred.out", "keep/file.out", "keep/{record_id}.deferred.out"]
+    templates = ["scratch", "*cache.bin", "{record_id}.swap.db", "out/index.db", "out/{record_id}.swap.db"]
     kept = drop_temp(manifest, templates)
     assert rows(kept) == sorted(
-        [(str(i), p) for i in range(10) for p in (f"{i}.txt", "keep/x")] + [("1", "10.deferred.out"), ("a.c", "abc.deferred.out")],
+        [(str(i), p) for i in range(10) for p in (f"{i}.txt", "out/x")] + [("1", "10.swap.db"), ("a.c", "abc.swap.db")],
         key=repr,
     )
 

@@ -21,8 +21,8 @@ EVEN_SQL = "cast(record_id as int) % 2 = 0"
 
 def test_declared_labels_everywhere_run_labels_where_it_ran(ids10):
     number = F.col("record_id").cast("int")
-    stepped = map_step(ids10, "InitialTask", declare={"id": number}, run={"twice": number * 2}, condition=F.expr(EVEN_SQL))
-    assert rows(stepped, "record_id", "InitialTask.id", "InitialTask.twice", "InitialTask_ran") == [
+    stepped = map_step(ids10, "Number", declare={"id": number}, run={"twice": number * 2}, condition=F.expr(EVEN_SQL))
+    assert rows(stepped, "record_id", "Number.id", "Number.twice", "Number_ran") == [
         (str(i), i, i * 2 if i % 2 == 0 else None, i % 2 == 0) for i in range(10)
     ]
 
@@ -75,13 +75,13 @@ def test_has_run_and_did_run(ids10):
 
 
 def test_pandas_step_sees_only_gated_rows_and_inputs(ids10):
-    def code_points(batch):
+    def weights(batch):
         assert list(batch.columns) == ["record_id"]
         assert all(int(x) % 2 == 0 for x in batch["record_id"])
-        return batch[[]].assign(result=[sum(map(ord, x)) + 1 for x in batch["record_id"]])
+        return batch[[]].assign(weight=[7 * int(x) + 2 for x in batch["record_id"]])
 
-    stepped = map_step_py(ids10.withColumn("v", F.lit(1)), "C", code_points, "result long", ["record_id"], condition=F.expr(EVEN_SQL))
-    assert rows(stepped, "record_id", "C.result") == [(str(i), ord(str(i)) + 1 if i % 2 == 0 else None) for i in range(10)]
+    stepped = map_step_py(ids10.withColumn("v", F.lit(1)), "C", weights, "weight long", ["record_id"], condition=F.expr(EVEN_SQL))
+    assert rows(stepped, "record_id", "C.weight") == [(str(i), 7 * i + 2 if i % 2 == 0 else None) for i in range(10)]
 
 
 def test_pandas_step_must_keep_rows(ids10):
@@ -168,20 +168,20 @@ def test_gate_reaches_through_three_levels(ids10):
 
     def three(records, gate):
         refuses_odd = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.raise_error("odd").cast("int"))
-        return map_step(records, "LevelThree", declare={"id": F.col("id")}, run={"half": refuses_odd / 2}, gate=gate)
+        return map_step(records, "Third", declare={"id": F.col("id")}, run={"half": refuses_odd / 2}, gate=gate)
 
     def two(records, gate):
-        return map_step(records, "LevelTwo", run={"half": F.col("LevelThree.half")}, depends=[Dependency(three)], gate=gate)
+        return map_step(records, "Second", run={"half": F.col("Third.half")}, depends=[Dependency(three)], gate=gate)
 
     def one(records, gate):
-        return map_step(records, "LevelOne", declare={"id": F.col("id")}, run={"half": F.col("LevelTwo.half")}, depends=[Dependency(two)], gate=gate)
+        return map_step(records, "First", declare={"id": F.col("id")}, run={"half": F.col("Second.half")}, depends=[Dependency(two)], gate=gate)
 
-    stepped = map_step(ids10, "InitialTask", declare={"id": number}, condition=F.expr(EVEN_SQL))
+    stepped = map_step(ids10, "Number", declare={"id": number}, condition=F.expr(EVEN_SQL))
     stepped = map_step(
-        stepped, "MultiplyByTwo", declare={"byTwo": F.col("InitialTask.id") * 2}, condition=F.expr(EVEN_SQL),
-        depends=[Dependency(one, {"InitialTask": ["id"]})],
+        stepped, "Doubled", declare={"twice": F.col("Number.id") * 2}, condition=F.expr(EVEN_SQL),
+        depends=[Dependency(one, {"Number": ["id"]})],
     )
-    got = rows(stepped, "record_id", "MultiplyByTwo.byTwo", "LevelThree.id", "LevelThree.half", "LevelOne.half", "LevelThree_ran")
+    got = rows(stepped, "record_id", "Doubled.twice", "Third.id", "Third.half", "First.half", "Third_ran")
     assert got == [(str(i), 2 * i, i, i / 2 if i % 2 == 0 else None, i / 2 if i % 2 == 0 else None, i % 2 == 0) for i in range(10)]
 
 
