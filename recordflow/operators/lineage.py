@@ -27,33 +27,30 @@ def required(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
-def _peel(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
-    """Rounds of removing the edges whose ``front`` node no edge leads to any more.
+def _settle(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
+    """Rounds that settle the nodes all of whose edges from ``front`` come from settled nodes.
 
-    A round settles two levels in one job: a semi join of the edges left with their own
-    ``back`` ends, and, on the same partitioning, a mark on those that stay for one level more.
-    Returns all rounds, ``(src, dst, stays, level)``, where an edge is present up to the level of
-    its front node, and the edges that never go away: a cycle and what lies behind it.
+    Every edge is followed once, in the round after its front node is settled; a round writes only the nodes it
+    touches: those settled now, and those that still wait for more edges. Returns ``(node, level)`` of
+    the settled nodes and ``(node)`` of the others: a cycle and what lies behind it.
     """
-
-    def entered(df: DataFrame) -> DataFrame:
-        return df.select(F.col(back).alias("node")).distinct()
-
-    def mark(df: DataFrame) -> DataFrame:
-        hit = entered(df).withColumn("hit", F.lit(True))
-        stays = F.coalesce("hit", F.lit(False)).alias("stays")
-        return df.join(hit, F.col(front) == F.col("node"), "left").select("src", "dst", stays)
-
-    stay = F.count_if("stays")
+    spark = edges.sparkSession
+    pairs = cut(edges.select(F.col(front).alias("front"), F.col(back).alias("back")), path=f"{path}/edges")
+    need = cut(pairs.groupBy(F.col("back").alias("node")).agg(F.count(F.lit(1)).alias("need")), path=f"{path}/need")
+    free = pairs.select(F.col("front").alias("node")).distinct().join(need, "node", "left_anti")
+    touched = free.select("node", F.lit(0).cast("long").alias("got"), F.lit(True).alias("ready"))
+    table, counts = cut_counted(touched, f"{path}/rounds/level=0", ready=F.count_if("ready"))
     level = 0
-    table, counts = cut_counted(mark(edges), f"{path}/level=0", stay=stay)
-    while 0 < counts["stay"] < counts["n"]:
-        level += 2
-        alive = table.where("stays").select("src", "dst")
-        rest = alive.join(entered(alive), F.col(front) == F.col("node"), "left_semi")
-        table, counts = cut_counted(mark(rest), f"{path}/level={level}", stay=stay)
-    rounds = edges.sparkSession.read.schema(T.StructType(table.schema.fields).add("level", "long")).parquet(path)
-    return rounds, table.where("stays").select("src", "dst")
+    while counts["ready"]:
+        level += 1
+        settled, waiting = table.where("ready").select("node"), table.where(~F.col("ready")).select("node", "got")
+        followed = pairs.join(settled, F.col("front") == F.col("node")).select(F.col("back").alias("node"), F.lit(1).cast("long").alias("got"))
+        got = followed.union(waiting).groupBy("node").agg(F.sum("got").alias("got"))
+        touched = got.join(need, "node").select("node", "got", (F.col("got") == F.col("need")).alias("ready"))
+        table, counts = cut_counted(touched, f"{path}/rounds/level={level}", ready=F.count_if("ready"))
+    rounds = spark.read.schema(T.StructType(table.schema.fields).add("level", "long")).parquet(f"{path}/rounds")
+    settled = rounds.where("ready").select("node", "level")
+    return settled, need.join(settled, "node", "left_anti").select("node")
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -61,31 +58,28 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     ``nodes`` (column ``node``) adds nodes without edges at level 0. Raises on a cycle.
     """
-    rounds, remaining = _peel(required(edges), scratch_path(edges.sparkSession, "levels"), "src", "dst")
+    settled, remaining = _settle(required(edges), scratch_path(edges.sparkSession, "levels"), "src", "dst")
     if not remaining.isEmpty():
         raise CyclicLineage("the requirements form a cycle")
-    # The last round an edge is in gives its source's level; the target lies at least one deeper.
-    level = F.col("level") + F.col("stays").cast("long")
-    ends = F.array(
-        F.struct(F.col("src").alias("node"), level.alias("level")), F.struct(F.col("dst").alias("node"), (level + 1).alias("level"))
-    )
-    found = rounds.select(F.inline(ends))
     if nodes is not None:
-        found = found.union(nodes.select("node", F.lit(0).cast("long")))
-    return found.groupBy("node").agg(F.max("level").alias("level"))
+        settled = settled.union(nodes.select("node", F.lit(0).cast("long")))
+    return settled.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes left when neither end can be peeled: those on a cycle or between two."""
+    """Nodes that neither direction settles: those on a cycle or between two."""
     run = scratch_path(edges.sparkSession, "cycles")
-    _, inner = _peel(required(edges), f"{run}/forward", "src", "dst")
-    _, core = _peel(inner, f"{run}/backward", "dst", "src")
-    return core.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    pairs = cut(required(edges), path=f"{run}/edges")
+    _, behind = _settle(pairs, f"{run}/forward", "src", "dst")
+    # What is not settled lies behind a cycle; the edges between such nodes are settled from their ends.
+    inner = pairs.join(behind.withColumnRenamed("node", "src"), "src", "left_semi")
+    _, core = _settle(inner, f"{run}/backward", "dst", "src")
+    return core
 
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether the requirements form a cycle."""
-    _, remaining = _peel(required(edges), scratch_path(edges.sparkSession, "cycle"), "src", "dst")
+    _, remaining = _settle(required(edges), scratch_path(edges.sparkSession, "cycle"), "src", "dst")
     return not remaining.isEmpty()
 
 
@@ -153,10 +147,11 @@ def mixed_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def dependency_chain(edges: DataFrame) -> DataFrame:
+def dependency_chain(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """``(step, dependency, depth)``: all transitive dependencies, the deepest run first.
 
-    Edges run from the owner (``src``) to its dependency (``dst``). Depth is the longest way
+    ``seeds`` (column ``node``) names the steps wanted: the work is then bounded by what they depend on.
+    Without it every step is followed, and a deep graph gives up to a row for each pair of nodes. Edges run from the owner (``src``) to its dependency (``dst``). Depth is the longest way
     from the step to the dependency. Raises on a cycle.
     """
     spark = edges.sparkSession
@@ -165,6 +160,8 @@ def dependency_chain(edges: DataFrame) -> DataFrame:
     run = scratch_path(spark, "chain")
     pairs = cut(edges.select("src", "dst").distinct(), path=f"{run}/edges")
     first = pairs.select(F.col("src").alias("step"), F.col("dst").alias("dependency"))
+    if seeds is not None:
+        first = first.join(seeds.select(F.col("node").alias("step")).distinct(), "step", "left_semi")
     own = F.count_if(F.col("step") == F.col("dependency"))
     frontier, counts = cut_counted(first, f"{run}/pairs/depth=1", own=own)
     depth = 1

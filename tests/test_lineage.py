@@ -116,3 +116,27 @@ def test_levels_and_cycles_of_chains(spark, length):
     assert rows(cyclic_nodes(edges)) == []
     ring = spark.createDataFrame(chain + [(length, 0), (length, 99), (98, 0)], "src long, dst long")
     assert rows(cyclic_nodes(ring)) == sorted(((i,) for i in range(length + 1)), key=repr)
+
+
+def test_a_long_chain_stores_each_edge_a_few_times(spark, monkeypatch):
+    """No round writes again what it does not touch."""
+    from recordflow.operators import lineage
+
+    stored = []
+    real = lineage.cut_counted
+
+    def counted(*args, **kwargs):
+        table, counts = real(*args, **kwargs)
+        stored.append(counts["n"])
+        return table, counts
+
+    monkeypatch.setattr(lineage, "cut_counted", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(0, 40)], "src long, dst long")
+    assert {r["node"]: r["level"] for r in levels(edges).collect()} == {i: i for i in range(41)}
+    assert sum(stored) <= 3 * 41
+
+
+def test_chain_of_seeds_only(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("unknown",)], "node string")
+    assert rows(dependency_chain(edges, seeds)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
