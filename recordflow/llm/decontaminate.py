@@ -271,21 +271,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "matches", max
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
-    table = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.array().cast(MATCHES).alias(name))
+    column = "text" if "text" in keep else "__text"
+    table = docs.withColumn(column, F.col("text")).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, column])], F.array().cast(MATCHES).alias(name))
     for block in range(blocks):
         # A block's expected size is BLOCK_BYTES: nothing larger reaches the driver at a time.
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct().collect()
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(sorted(map(tuple, rows)), max_rate))
-        table = _search_block(table, index, [*keep, *(["__text"] if block + 1 < blocks else [])], name)
+        more = [column] if column not in keep and block + 1 < blocks else []
+        table = _search_block(table, index, column, [*keep, *more], name)
     return table
 
 
-def _search_block(table: DataFrame, index, keep: list[str], name: str) -> DataFrame:
+def _search_block(table: DataFrame, index, column: str, keep: list[str], name: str) -> DataFrame:
     def match(texts: pa.Array) -> list[pa.Array]:
         named = [[{"item_id": i, "distance": d, "start": s, "end": e} for i, d, s, e in found] for found in search(index.value, texts)]
         return [pa.array(named, _MATCH)]
 
-    searched = map_column(table, "__text", [*keep, name], {"__new": MATCHES}, match)
+    searched = map_column(table, column, [*keep, name], {"__new": MATCHES}, match)
     return searched.withColumn(name, F.array_sort(F.concat(name, "__new"))).drop("__new")
 
 

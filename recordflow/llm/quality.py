@@ -125,8 +125,7 @@ def classify(docs: DataFrame, model: Forest, keep: list[str] | None = None, min_
     def score(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(model.scores(features(texts)))]
 
-    table = docs.withColumn("__text", F.col("text"))
-    scored = map_column(table, "__text", keep, {"score": "double"}, score)
+    scored = map_column(docs, "text", keep, {"score": "double"}, score)
     return scored.select(
         *[F.col(f"`{c}`") for c in keep], held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= min_score).cast("int").alias("predicted"),

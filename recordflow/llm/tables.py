@@ -16,17 +16,20 @@ def map_column(docs: DataFrame, column: str, keep: Sequence[str], results: dict[
                fn: Callable[[pa.Array], list[pa.Array]], key: str = "__in") -> DataFrame:
     """``keep`` columns and the arrays ``fn`` makes of each batch of ``column``, by Arrow batches.
 
-    Only ``keep`` and ``column`` reach Python; order and number of rows stay.
+    Only ``keep`` and ``column`` reach Python, each once; order and number of rows stay.
     """
     names = list(keep)
-    picked = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").cast("string").alias(key))
+    own = column in names and dict(docs.dtypes)[column] == "string"
+    place = names.index(column) if own else len(names)
+    extra = [] if own else [F.col(f"`{column}`").cast("string").alias(key)]
+    picked = docs.select(*[F.col(f"`{c}`") for c in names], *extra)
     added = T.StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in results.items()))
     schema = T.StructType([*[picked.schema[c] for c in names], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = fn(batch.column(len(names)))
+                made = fn(batch.column(place))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *results])
 
     return picked.mapInArrow(run, schema)
