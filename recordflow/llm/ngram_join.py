@@ -11,13 +11,14 @@ of the set. Two nodes link when ``100 * intersection >= percent * union``.
 3. A prefix shingle's nodes are its *bucket*. The smallest node leads; all others are compared with
    it and not with one another. Length, positional and suffix filters first, then one exact
    verification for each pair, whichever buckets it is in.
-4. Only nodes that stay apart from their leader need more. By the triangle inequality of the
-   Jaccard distance most of those are far from all that linked with the leader; the rest is verified.
-   The nodes apart form smaller buckets with new leaders, until they are few enough for all their
-   pairs. No link is lost: each pair of one bucket is verified, connected already, or shown to be
-   too far apart.
-
-So a group of thousands of near copies costs one comparison each, not one for each pair. Buckets
+4. Two nodes that meet in a bucket both meet its leader. So what is left to compare are nodes apart from
+   their leader, each with the other nodes of that leader. First with a few of them, chosen by
+   hash, for some rounds: this joins most near copies to their class. Then with all the rest that is
+   of another class and not ruled out, by length, by the triangle inequality of the Jaccard distance to the
+   leader, or by the suffix filter, which compares how many shingles both have in each range of the hash. No
+   link is lost: each pair that meets is verified, connected already, or shown to be too far apart.
+
+So a group of thousands of near copies costs a few comparisons each, not one for each pair. Buckets
 that the sketch proves small are walked by a sorted stream; frequent shingles, whose bucket may
 be of any size, go through aggregates and joins that Spark splits.
 
@@ -48,9 +49,10 @@ SKETCH_PART = 4096
 # Buckets up to this many nodes, or up to some times the mean counter, are walked in one stream.
 STREAM_ROWS = 2_000
 STREAM_TIMES_MEAN = 4
-RANGES = 64
-# The rest of the nodes apart is compared pair by pair once it makes fewer pairs than this for each bucket row.
-PAIRS_PER_ROW = 20
+RANGES = 128
+# Nodes of each leader that those apart from it are compared with in a round; rounds end once they help little.
+PROBES = 4
+PROBE_SHRINK = 0.7
 
 _SKETCH = 1 << SKETCH_BITS
 
@@ -92,8 +94,9 @@ def _counters(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(2 * _SKETCH, dtype=np.int64)
     names = ["doc_id", "n", "node", "part", "counts"]
+    id_type = None
     for batch in batches:
-        keys, sizes, n = [], [], batch.num_rows
+        keys, sizes, n, id_type = [], [], batch.num_rows, batch.column(0).type
         for s in shingle_sets(batch.column(1)):
             for counter in _counters(s):
                 np.add.at(sketch, counter, 1)
@@ -102,11 +105,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()),
              pa.nulls(n, pa.list_(pa.int64()))], names=names)
+    if id_type is None:
+        return
     parts = [k for k in range(2 * _SKETCH // SKETCH_PART) if sketch[k * SKETCH_PART : (k + 1) * SKETCH_PART].any()]
     n, none = len(parts), pa.nulls(len(parts), pa.int64())
     rows = [sketch[k * SKETCH_PART : (k + 1) * SKETCH_PART] for k in parts]
     yield pa.RecordBatch.from_arrays(
-        [none, none, none, pa.array(parts, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=names)
+        [pa.nulls(n, id_type), none, none, pa.array(parts, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=names)
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +124,6 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["part", "counts"])
 
 
-def _overlap_needed(a: Column, b: Column, percent: int) -> Column:
-    """Least intersection of two sets of these sizes that link."""
-    return F.ceil((F.lit(percent) * (a + b)) / F.lit(100 + percent))
-
-
 def _prefixes(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix shingles and their counts, rare first."""
     first, second = _counters(shingles)
@@ -134,6 +134,20 @@ def _prefixes(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[n
     return shingles[order], rarity[order]
 
 
+def range_counts(shingles: np.ndarray) -> np.ndarray:
+    """Shingles of a sorted set in each of ``RANGES`` equal ranges of the hash."""
+    edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+    cuts = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
+    return np.diff(cuts).astype(np.int32)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def _stream_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node of a bucket beside the bucket's first; rows come sorted by shingle, size and node."""
     names = ["token", "node", "n", "pos", "leader", "ln", "lpos"]
@@ -168,7 +182,7 @@ class NgramJoin:
             raise ValueError(f"shingles have {SHINGLE} words")
         self.spark, self.percent = docs.sparkSession, percent
         self.docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-        self.docs_of_nodes, self.links = self._run()
+        self.docs_of_nodes, self.classes = self._run()
 
     def _run(self) -> tuple[DataFrame, DataFrame]:
         id_type = self.docs.schema["doc_id"].dataType.simpleString()
@@ -182,11 +196,10 @@ class NgramJoin:
         self.sets = docs.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
         self.sets = cut(self.sets.where(F.col("first_id").isNotNull()), "sets")
         nodes = self._nodes(counts)
-        found = self._links(nodes)
-        return docs, found
+        return docs, self._links(nodes)
 
     def _nodes(self, counts: np.ndarray) -> DataFrame:
-        """``(node, n, tokens, light, ranges)``: prefix, which of it is proven rare, counts by hash range."""
+        """``(node, n, tokens, n_light, ranges)``: prefix, how many of it are proven rare, counts by hash range."""
         percent = self.percent
         shared = self.spark.sparkContext.broadcast(counts)
         self.stream_rows = max(STREAM_ROWS, int(STREAM_TIMES_MEAN * counts.mean()))
@@ -195,23 +208,19 @@ class NgramJoin:
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, tokens, heavy, ranges = [], [], [], []
+                keys, tokens, light, ranges = [], [], [], []
                 for s in shingle_sets(batch.column(1)):
                     if not len(s):
-                        keys.append(0), tokens.append(None), heavy.append(None), ranges.append(None)
+                        keys.append(0), tokens.append(None), light.append(None), ranges.append(None)
                         continue
                     prefix, rarity = _prefixes(s, shared.value, percent)
                     keys.append(_set_key(s))
                     tokens.append(prefix.astype(np.int64))
-                    heavy.append(int((rarity <= most).sum()))
-                    # Sorted by hash, so ranges of the hash are runs.
-                    edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58))
-                    cuts = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-                    ranges.append(np.diff(cuts).astype(np.int32))
+                    light.append(int((rarity <= most).sum()))
+                    ranges.append(range_counts(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                     pa.array(heavy, pa.int32()), pa.array(ranges, pa.list_(pa.int32()))],
-                    names=["doc_id", "node", "tokens", "n_light", "ranges"])
+                    [batch.column(0), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(light, pa.int32()),
+                     pa.array(ranges, pa.list_(pa.int32()))], names=["doc_id", "node", "tokens", "n_light", "ranges"])
 
         made = self.docs.mapInArrow(prefixes, f"doc_id {id_type}, node long, tokens array<long>, n_light int, ranges array<int>")
         made = made.where(F.col("tokens").isNotNull())
@@ -219,12 +228,17 @@ class NgramJoin:
         joined = made.join(one_each, ["node", "doc_id"]).dropDuplicates(["node", "doc_id"])
         return cut(joined.select("node", "n", "tokens", "n_light", "ranges"), "nodes")
 
-    def _stars(self, nodes: DataFrame) -> DataFrame:
+    def _star_pairs(self, nodes: DataFrame) -> DataFrame:
+        """``(leader, node, ln, n, most)``: every node with the leaders of its buckets, once for each."""
         rows = nodes.select("node", "n", "n_light", F.posexplode("tokens").alias("pos", "token"))
         light = rows.where(F.col("pos") < F.col("n_light")).select("token", "node", "n", "pos")
         light = light.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_stream_stars, _STAR)
         heavy = rows.where(F.col("pos") >= F.col("n_light")).select("token", "node", "n", "pos")
-        return cut(light.union(self._joined_stars(heavy)), "stars")
+        stars = light.union(self._joined_stars(heavy))
+        before = F.least("pos", "lpos")
+        after = F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) - 1
+        stars = stars.withColumn("most", (before + 1 + after).cast("long"))
+        return cut(stars.groupBy("leader", "node", "ln", "n").agg(F.min("most").alias("most")), "star-pairs")
 
     @staticmethod
     def _joined_stars(rows: DataFrame) -> DataFrame:
@@ -234,75 +248,103 @@ class NgramJoin:
         joined = rows.join(lead, "token").where(F.col("node") != F.col("leader"))
         return joined.select("token", "node", "n", "pos", "leader", "ln", "lpos")
 
-    def _at_most(self, n: str, pos: str, ln: str, lpos: str) -> Column:
-        """Most shingles two sets can share that meet at these places of their orders."""
-        before = F.least(F.col(pos), F.col(lpos))
-        after = F.least(F.col(n) - F.col(pos), F.col(ln) - F.col(lpos)) - 1
-        return before + 1 + after
-
     def _links(self, nodes: DataFrame) -> DataFrame:
-        stars, verified, last_pairs = self._stars(nodes), None, None
+        """Classes of nodes ``(u, v)`` after all links; see the module text."""
+        met = self._star_pairs(nodes)
+        self.texts = self._texts(met)
+        need = F.ceil(F.lit(self.percent) * (F.col("ln") + F.col("n")) / F.lit(100 + self.percent))
+        opened = self._verify(met.where(F.col("most") >= need).select(F.col("leader").alias("x"), F.col("node").alias("y"), "ln", "n"))
+        closed = met.where(F.col("most") < need).select(F.col("leader").alias("x"), F.col("node").alias("y"), "ln", "n", F.lit(None).cast("long").alias("same"), "most")
+        stars = cut(opened.withColumn("most", F.col("same")).unionByName(closed), "stars")
+        judged = [stars.select("x", "y", F.expr("ln + n").alias("total"), "same")]
+        classes = components(self._linked(judged))
+        apart = self._apart(stars, nodes, classes)
+        last, turn = None, 0
         while True:
-            pairs = stars.select("leader", "node", "ln", "n", self._at_most("n", "pos", "ln", "lpos").alias("most"))
-            pairs = pairs.groupBy("leader", "node", "ln", "n").agg(F.min("most").alias("most"))
-            pairs = pairs.select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y"),
-                                 (F.col("ln") + F.col("n")).alias("total"), "most")
-            judged = self._judge(nodes, pairs, verified)
-            verified = judged if verified is None else verified.unionByName(judged)
-            verified = cut(verified, "verified")
-            classes = self._classes(verified)
-            left, cross = self._apart(stars, verified, classes)
-            verified = self._add(nodes, cross, verified)
-            # Pairs of nodes apart from one leader that would be left to compare one by one.
-            sizes = left.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-            found = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-            n_pairs, n_rows = float(found["pairs"] or 0), float(found["rows"] or 0)
-            if not n_pairs:
-                break
-            if n_pairs <= PAIRS_PER_ROW * n_rows or (last_pairs is not None and n_pairs > last_pairs / 2):
-                verified = self._add(nodes, self._all_pairs(left), verified)
-                break
-            stars, last_pairs = cut(self._joined_stars(left), "stars"), n_pairs
+            left = apart.where(F.col("lc") != F.col("nc"))
+            n_left = left.select("node").distinct().count()
+            if not n_left:
+                return classes
+            done = last is not None and n_left > PROBE_SHRINK * last
+            found = self._judge(self._rest(left, apart) if done else self._probes(left, apart, turn), judged)
+            if found:
+                classes = components(self._linked(judged))
+            if done:
+                return classes
+            apart = self._marked(apart.drop("lc", "nc"), classes)
+            last, turn = n_left, turn + 1
+
+    def _linked(self, judged: list[DataFrame]) -> DataFrame:
         linked = 100 * F.col("same") >= self.percent * (F.col("total") - F.col("same"))
-        return cut(verified.where(F.col("same").isNotNull() & linked).select("x", "y"), "links")
-
-    def _add(self, nodes: DataFrame, pairs: DataFrame, verified: DataFrame) -> DataFrame:
-        return cut(verified.unionByName(self._judge(nodes, pairs, verified)), "verified")
-
-    def _all_pairs(self, rows: DataFrame) -> DataFrame:
-        a = rows.select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("comp").alias("xc"))
-        b = rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("comp").alias("yc"))
-        need = _overlap_needed(F.col("xn"), F.col("yn"), self.percent)
-        joined = a.join(b, "token").where(
-            (F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & (self._at_most("xn", "xpos", "yn", "ypos") >= need))
-        return joined.select("x", "y", (F.col("xn") + F.col("yn")).alias("total"), self._at_most("xn", "xpos", "yn", "ypos").alias("most")).groupBy(
-            "x", "y", "total").agg(F.min("most").alias("most"))
-
-    def _judge(self, nodes: DataFrame, pairs: DataFrame, verified: DataFrame | None) -> DataFrame:
-        """``(x, y, total, same, most)``: exact intersection ``same``, or NULL where ``most`` rules a link out.
-
-        Length and positional filters are in ``most``; the suffix filter compares how many shingles
-        each set has in every range of the hash. Pairs verified before are left out.
-        """
-        if verified is not None:
-            pairs = pairs.join(verified.select("x", "y"), ["x", "y"], "left_anti")
-        total = F.col("total").cast("long")
-        need = F.ceil(F.lit(self.percent) * total / F.lit(100 + self.percent))
-        pairs = cut(pairs.select("x", "y", total.alias("total"), F.col("most").cast("long").alias("most")), "pairs")
-        open_ = pairs.where(F.col("most") >= need)
-        ranges = nodes.select("node", "ranges")
-        wide = open_.join(ranges.withColumnsRenamed({"node": "x", "ranges": "xr"}), "x").join(
-            ranges.withColumnsRenamed({"node": "y", "ranges": "yr"}), "y")
-        shared = F.aggregate(F.zip_with("xr", "yr", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
-        wide = cut(wide.select("x", "y", "total", F.least("most", shared).alias("most")), "filtered")
-        exact = self._verify(wide.where(F.col("most") >= need))
-        refused = pairs.where(F.col("most") < need).union(wide.where(F.col("most") < need).select("x", "y", "total", "most"))
-        return exact.unionByName(refused.withColumn("same", F.lit(None).cast("long")))
+        return _union(judged).where(F.col("same").isNotNull() & linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    def _marked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """``pairs`` with the class of leader and node."""
+        of = lambda name, out: classes.select(F.col("u").alias(name), F.col("v").alias(out))
+        marked = pairs.join(of("leader", "lc"), "leader", "left").join(of("node", "nc"), "node", "left")
+        return cut(marked.withColumns({"lc": F.coalesce("lc", "leader"), "nc": F.coalesce("nc", "node")}), "marked")
+
+    def _apart(self, stars: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs with a leader that a node of another class is apart from: bounds of their distance, and ranges."""
+        far = lambda same: 1 - same / (F.col("ln") + F.col("n") - same)
+        pairs = stars.select(F.col("x").alias("leader"), F.col("y").alias("node"), "n", far(F.col("most")).alias("low"),
+                             F.coalesce(far(F.col("same")), F.lit(1.0)).alias("high"))
+        marked = self._marked(pairs, classes)
+        leaders = marked.where(F.col("lc") != F.col("nc")).select("leader").distinct()
+        return cut(marked.join(leaders, "leader", "left_semi").join(nodes.select("node", "ranges"), "node"), "apart")
+
+    def _near(self, other: str) -> Column:
+        """Whether a node apart and another one of its leader, with fields of the struct ``other``, may link."""
+        reach = 1 - self.percent / 100 + 1e-9
+        o = F.col(other)
+        short, long = F.least(F.col("n"), o["n"]), F.greatest(F.col("n"), o["n"])
+        return ((F.col("node") != o["node"]) & (F.col("nc") != o["nc"]) & (100 * short >= self.percent * long)
+                & (F.col("low") - o["high"] <= reach) & (o["low"] - F.col("high") <= reach))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Exact intersections of pairs, from the whole texts of their nodes."""
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-        ids = broadcast_if_small(cut(wanted.join(self.sets, "node").select("node", F.col("first_id").alias("doc_id")), "wanted"))
+    @staticmethod
+    def _pairs(joined: DataFrame, other: str) -> DataFrame:
+        o = F.col(other)
+        first = F.col("node") < o["node"]
+        return joined.select(F.least("node", o["node"]).alias("x"), F.greatest("node", o["node"]).alias("y"),
+                             F.when(first, F.col("n")).otherwise(o["n"]).alias("ln"), F.when(first, o["n"]).otherwise(F.col("n")).alias("n"))
+
+    def _probes(self, left: DataFrame, apart: DataFrame, turn: int) -> DataFrame:
+        """Nodes apart beside a few others of their leader: some of its own class and some that are not."""
+        entry = F.struct("node", "n", "low", "high", "nc")
+        own = F.col("lc") == F.col("nc")
+        picks = [F.min_by(entry, F.when(own if side else ~own, F.xxhash64("node", F.lit(turn * PROBES + k)))) for k in range(PROBES) for side in (True, False)]
+        chosen = apart.groupBy("leader").agg(F.array_distinct(F.array_compact(F.array(*picks))).alias("__o"))
+        joined = left.join(chosen, "leader").withColumn("o", F.explode("__o")).where(self._near("o"))
+        return self._pairs(joined, "o")
+
+    def _rest(self, left: DataFrame, apart: DataFrame) -> DataFrame:
+        """Nodes apart beside all others of their leader that are of another class and not ruled out."""
+        entry = F.struct("node", "n", "low", "high", "nc").alias("o")
+        ranges = [F.col("ranges")[k] for k in range(RANGES)]
+        mine = left.select("leader", "node", "n", "low", "high", "nc", *[r.alias(f"r{k}") for k, r in enumerate(ranges)])
+        others = apart.select("leader", entry, (F.col("lc") == F.col("nc")).alias("own"), *[r.alias(f"s{k}") for k, r in enumerate(ranges)])
+        # Leaders' own classes reach no farther than this towards the nearest node apart.
+        nearest = left.groupBy("leader").agg(F.min("low").alias("least"))
+        others = others.join(nearest, "leader").where(F.col("o.high") >= F.col("least") - (1 - self.percent / 100) - 1e-9)
+        shared = sum((F.least(f"r{k}", f"s{k}") for k in range(1, RANGES)), F.least("r0", "s0"))
+        enough = (100 + self.percent) * shared >= self.percent * (F.col("n") + F.col("o.n"))
+        once = F.col("own") | (F.col("node") < F.col("o.node"))
+        return self._pairs(mine.join(others, (mine["leader"] == others["leader"]) & once & self._near("o") & enough), "o")
+
+    def _judge(self, pairs: DataFrame, judged: list[DataFrame]) -> bool:
+        """Verify new pairs ``(x, y, ln, n)`` and add them to ``judged``; whether there are any."""
+        known = _union(judged).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = cut(pairs.distinct().join(known, ["x", "y"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return False
+        judged.append(cut(self._verify(pairs).select("x", "y", F.expr("ln + n").alias("total"), "same"), "verified"))
+        return True
+
+    def _texts(self, met: DataFrame) -> DataFrame:
+        """``(node, text)`` of all nodes that meet another one."""
+        wanted = met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()
+        ids = wanted.join(self.sets, "node").select("node", F.col("first_id").alias("doc_id"))
+        ids = broadcast_if_small(cut(ids, "wanted"))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -312,52 +354,23 @@ class NgramJoin:
 
         texts = self.docs.join(ids, "doc_id").select("node", "text").mapInArrow(check, "node long, text string")
         # The same id twice with the same text is one node.
-        texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+        return cut(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the exact intersection ``same``, from the whole texts of their nodes."""
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                same = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(shingle_sets(batch.column(3)), shingle_sets(batch.column(4)), strict=True)]
-                same = pa.array(same, pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], same, same], names=["x", "y", "total", "same", "most"])
+                sets = zip(shingle_sets(batch.column(4)), shingle_sets(batch.column(5)), strict=True)
+                same = pa.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], same], names=["x", "y", "ln", "n", "same"])
 
-        both = pairs.join(texts.withColumnsRenamed({"node": "x", "text": "xt"}), "x").join(
-            texts.withColumnsRenamed({"node": "y", "text": "yt"}), "y")
-        return both.select("x", "y", "total", "xt", "yt").mapInArrow(intersect, "x long, y long, total long, same long, most long")
-
-    def _classes(self, verified: DataFrame) -> DataFrame:
-        linked = 100 * F.col("same") >= self.percent * (F.col("total") - F.col("same"))
-        return components(verified.where(F.col("same").isNotNull() & linked).select(F.col("x").alias("u"), F.col("y").alias("v")))
-
-    def _apart(self, stars: DataFrame, verified: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Bucket rows of nodes apart from their leader, and the pairs they may still link by."""
-        comp = lambda name: classes.select(F.col("u").alias(name), F.col("v").alias(f"{name}_c"))
-        marked = verified.join(comp("x"), "x", "left").join(comp("y"), "y", "left")
-        marked = marked.select("x", "y", F.coalesce("x_c", "x").alias("xc"), F.coalesce("y_c", "y").alias("yc"),
-                               (1 - F.col("most") / (F.col("total") - F.col("most"))).alias("low"),
-                               F.when(F.col("same").isNull(), 1.0).otherwise(1 - F.col("same") / (F.col("total") - F.col("same"))).alias("high"))
-        marked = cut(marked, "distances")
-        rows = stars.withColumns({"x": F.least("leader", "node"), "y": F.greatest("leader", "node")})
-        far = marked.where(F.col("xc") != F.col("yc"))
-        left = rows.join(far, ["x", "y"]).select(
-            "token", "node", "n", "pos", F.when(F.col("node") == F.col("x"), F.col("xc")).otherwise(F.col("yc")).alias("comp"), "low", "high")
-        left = cut(left, "apart")
-        reach = 1 - self.percent / 100 + 1e-9
-        least = left.groupBy("token").agg(F.min("low").alias("least"))
-        # Only such nodes of the leader's class as are far enough from it can be near to one apart.
-        near = marked.where(F.col("xc") == F.col("yc"))
-        tied = rows.join(least, "token").join(near, ["x", "y"]).where(F.col("high") >= F.col("least") - reach).select(
-            "token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("xc").alias("comp2"))
-        cross = left.join(tied, "token").where(
-            (F.col("comp") != F.col("comp2")) & (F.col("low") - F.col("high2") <= reach) & (F.col("low2") - F.col("high") <= reach))
-        cross = cross.where(self._at_most("n", "pos", "n2", "pos2") >= _overlap_needed(F.col("n"), F.col("n2"), self.percent))
-        cross = cross.select(F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y"), (F.col("n") + F.col("n2")).alias("total"),
-                             self._at_most("n", "pos", "n2", "pos2").alias("most"))
-        return left, cross.groupBy("x", "y", "total").agg(F.min("most").alias("most"))
+        both = pairs.join(self.texts.withColumnsRenamed({"node": "x", "text": "xt"}), "x").join(
+            self.texts.withColumnsRenamed({"node": "y", "text": "yt"}), "y")
+        return both.select("x", "y", "ln", "n", "xt", "yt").mapInArrow(intersect, "x long, y long, ln int, n int, same long")
 
     def result(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id)`` of every document, repeated rows included."""
-        classes = components(self.links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        comp = self.sets.join(classes.withColumnRenamed("u", "node"), "node", "left").select(
+        comp = self.sets.join(self.classes.withColumnRenamed("u", "node"), "node", "left").select(
             "node", "first_id", F.coalesce("v", "node").alias("comp"))
         least = comp.groupBy("comp").agg(F.min("first_id").alias("component_id"))
         ids = cut(comp.join(least, "comp").select("node", "component_id"), "node-components")
