@@ -5,10 +5,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_module
 from recordflow.llm import ngram_join
 from recordflow.llm.components import components
 from recordflow.llm.ngram_join import keep_first, near_duplicates
+from tests.oracle_check import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,6 +97,5 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 160)}
 
 
-def test_query(spark):
-    docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
-    assert got(entry_module.queries()["op6_ngram_join"](spark, SF_DIR)) == brute(docs)
+def test_query_agrees_with_its_sql(spark):
+    assert compare(spark, oracle_connection(SF_DIR), "op6_ngram_join", SF_DIR) == []
