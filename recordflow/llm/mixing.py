@@ -26,7 +26,7 @@ from recordflow.storage import broadcast_if_small, cut
 
 SEED = 20_240_501
 MAX_REPEATS = 3
-LEAST_BUCKET = 4_096
+LEAST_BUCKET = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 RESULTS = ["size", "source_size", "target", "taken"]
