@@ -6,8 +6,11 @@ symbol), so that two windows few edits apart mostly show the same symbol at the
 repetition of the search takes a few random steps of the walk as its key (bit sampling) and meets
 the items with an equal key at those steps. Windows begin at every word and are as long as the items
 of a length class; those with too few words of the class within an item's length cannot match and
-are left out first. What meets is verified by exact edit distance over words, so nothing that is
-reported is a chance hit. A match has at most ``max_rate`` edits for each word of the item, rounded down.
+are left out first. An item of more than SEGMENT words is searched by its segments, each at its own
+place: if each were further from its part of a passage than ``max_rate`` allows for its length, so
+would the item be from the whole; so one at least is near. What meets is verified on the whole item
+by exact edit distance over words, so nothing that is reported is a chance hit. A match has at most
+``max_rate`` edits for each word of the item, rounded down.
 
 The benchmark is cut in blocks of bounded size; each is one pass over the documents, which are never
 shuffled. Within a pass every text is searched from end to end.
@@ -32,7 +35,8 @@ MAX_RATE = 0.2
 SAMPLED = 3
 # Recall of windows at the largest distance: 0.99 (0.2 edits a word), 1.00 at half of it.
 REPETITIONS = 32
-MAX_STEPS = 128
+# A walk covers all words of what it searches for; items of more words are cut in equal segments.
+SEGMENT = 60
 CLASS_RATIO = 1.15
 # Items of a length class that share a filter; larger benchmarks make at most about CLASSES classes.
 CLASS_ITEMS = 16
@@ -51,14 +55,14 @@ class _Repetition:
     steps: list[int]
     first: np.ndarray  # symbols that any item of the class shows at the first step
     keys: np.ndarray
-    items: list[list[int]]
+    segments: list[list[int]]
 
 
 @dataclass
 class _Class:
     shortest: int
     longest: int
-    known: np.ndarray  # symbols of the class's items
+    known: np.ndarray  # symbols of the class's segments
     repetitions: list[_Repetition]
 
 
@@ -74,20 +78,27 @@ class ItemIndex:
         self.pad = len(self.vocabulary) + 1
         self.words = [self.symbols(h) for h in hashed]
         self.masks = [_masks(w) for w in self.words]
+        # Segments as (item, first word, word after); most items are one.
+        self.segments = [(i, start, stop) for i, w in enumerate(self.words) for start, stop in _segments(len(w))]
         self.classes: list[_Class] = []
         self._bits: dict[tuple[int, int], np.ndarray] = {}
         rng = np.random.default_rng(seed)
-        order = sorted((i for i in range(len(items)) if len(self.words[i])), key=lambda i: len(self.words[i]))
+        length = [stop - start for _, start, stop in self.segments]
+        order = sorted(range(len(length)), key=lambda s: length[s])
         while order:
-            shortest = len(self.words[order[0]])
-            members = [i for i in order if len(self.words[i]) <= shortest * CLASS_RATIO]
-            members = members[: max(CLASS_ITEMS, len(items) // CLASSES)]
+            shortest = length[order[0]]
+            members = [s for s in order if length[s] <= shortest * CLASS_RATIO]
+            members = members[: max(CLASS_ITEMS, len(length) // CLASSES)]
             order = order[len(members) :]
             known = np.zeros(self.pad + 1, dtype=bool)
-            known[np.concatenate([self.words[i] for i in members])] = True
-            n_steps = min(MAX_STEPS, max(1, int(1.6 * shortest)))
+            known[np.concatenate([self._symbols_of(s) for s in members])] = True
+            n_steps = max(1, int(1.6 * shortest))
             made = [self._repetition(r, sorted(rng.integers(0, n_steps, sampled).tolist()), members) for r in range(repetitions)]
-            self.classes.append(_Class(shortest, len(self.words[members[-1]]), known, made))
+            self.classes.append(_Class(shortest, length[members[-1]], known, made))
+
+    def _symbols_of(self, segment: int) -> np.ndarray:
+        item, start, stop = self.segments[segment]
+        return self.words[item][start:stop]
 
     def edits(self, n: int) -> int:
         return int(self.max_rate * n + 1e-9)
@@ -119,21 +130,23 @@ class ItemIndex:
 
     def _repetition(self, r: int, steps: list[int], members: list[int]) -> _Repetition:
         by_key: dict[int, list[int]] = {}
+        parts = [np.append(self._symbols_of(s), self.pad) for s in members]
+        symbols = np.concatenate(parts)
+        at, begin = np.cumsum([0, *map(len, parts[:-1])]), 0
         first = np.zeros(self.pad + 1, dtype=bool)
-        for i in members:
-            symbols, at, begin, key = np.append(self.words[i], self.pad), np.zeros(1, np.int64), 0, 0
-            for k, step in enumerate(steps):
-                at, begin = self.walk(symbols, at, r, begin, step), step
-                symbol = int(symbols[at[0]])
-                if k == 0:
-                    first[symbol] = True
-                key = (key * (self.pad + 1) + symbol) & 0xFFFFFFFFFFFFFFFF
-            by_key.setdefault(key, []).append(i)
+        key = np.zeros(len(members), dtype=np.uint64)
+        for k, step in enumerate(steps):
+            at, begin = self.walk(symbols, at, r, begin, step), step
+            if k == 0:
+                first[symbols[at]] = True
+            key = key * np.uint64(self.pad + 1) + symbols[at].astype(np.uint64)
+        for s, k in zip(members, key.tolist(), strict=True):
+            by_key.setdefault(k, []).append(s)
         keys = np.array(sorted(by_key), dtype=np.uint64)
         return _Repetition(steps, first, keys, [by_key[int(k)] for k in keys])
 
     def candidates(self, symbols: np.ndarray) -> set[tuple[int, int]]:
-        """``(place, item)`` of windows that meet an item; texts in ``symbols`` end with the end symbol."""
+        """``(place, segment)`` of windows that meet a segment; texts in ``symbols`` end with the end symbol."""
         met: set[tuple[int, int]] = set()
         known = np.zeros(len(symbols) + 1, dtype=np.int32)
         places = np.arange(len(symbols))
@@ -157,40 +170,49 @@ class ItemIndex:
                 found = np.minimum(np.searchsorted(rep.keys, key), len(rep.keys) - 1)
                 hit = np.flatnonzero(rep.keys[found] == key)
                 for place, f in zip(start[hit].tolist(), found[hit].tolist(), strict=True):
-                    met.update((place, item) for item in rep.items[f])
+                    met.update((place, segment) for segment in rep.segments[f])
         return met
 
     def matches(self, symbols: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
         """Verified matches of each text, best place of each item; ``ends`` are the places of end symbols."""
         out: dict[int, list[tuple[int, int, int, int]]] = {}
-        by_text: dict[tuple[int, int], list[int]] = {}
+        by_text: dict[tuple[int, int], list[tuple[int, int]]] = {}
         met = self.candidates(symbols)
         places = np.array([p for p, _ in met], dtype=np.int64)
         texts = np.searchsorted(ends, places, side="left").tolist()
-        for (place, item), text in zip(met, texts, strict=True):
-            by_text.setdefault((text, item), []).append(place)
+        for (place, segment), text in zip(met, texts, strict=True):
+            item, start, stop = self.segments[segment]
+            # Edits move the item's place; a window may also begin some words off its segment.
+            spare = self.edits(len(self.words[item])) + (self.edits(stop - start) if stop - start < len(self.words[item]) else 0)
+            by_text.setdefault((text, item), []).append((place - start - spare, place - start + len(self.words[item]) + spare))
         for (text, item), found in by_text.items():
             n = len(self.words[item])
             k = self.edits(n)
             low, high = (int(ends[text - 1]) + 1 if text else 0), int(ends[text])
             best, begin, stop = None, None, -1
             found.sort()
-            for place in [*found, None]:
-                if begin is not None and (place is None or place - k > stop):
+            for area in [*found, None]:
+                if begin is not None and (area is None or area[0] > stop):
                     got = edit_match(self.masks[item], n, symbols[begin:stop].tolist())
                     if got[0] <= k and (best is None or (got[0], begin + got[1]) < best):
                         best = (got[0], begin + got[1])
                     begin = None
-                if place is None:
+                if area is None:
                     break
-                begin = max(low, place - k) if begin is None else begin
-                stop = min(high, place + n + k)
+                begin = max(low, area[0]) if begin is None else begin
+                stop = max(stop, min(high, area[1]))
             if best is not None:
                 start = _start(self.words[item], symbols[max(low, best[1] - n - best[0]) : best[1]], best[0])
                 out.setdefault(text, []).append((self.ids[item], best[0], best[1] - start - low, best[1] - low))
         return out
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Equal cuts of ``n`` words, none longer than SEGMENT."""
+    count = -(-n // SEGMENT)
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)]
+
+
 def _hashed_words(texts: pa.Array) -> list[np.ndarray]:
     out = []
     for chunk in tb.chunks(texts):

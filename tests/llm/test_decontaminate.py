@@ -56,6 +56,33 @@ def test_recall_at_the_largest_distance_and_no_chance_hits():
             assert least(pattern, words[start:end]) == distance
 
 
+def edited_at(words, k, where, kind, rng):
+    """Exactly ``k`` edits of one kind at the head, the tail, evenly or at random words."""
+    n = len(words)
+    at = {"head": range(k), "tail": range(n - k, n), "even": [j * n // k for j in range(k)], "random": rng.choice(n, k, replace=False)}[where]
+    chosen, out = set(map(int, at)), []
+    for i, w in enumerate(words):
+        out += {"replace": ["zzz"], "drop": [], "insert": ["yyy", w]}[kind] if i in chosen else [w]
+    return out
+
+
+def test_recall_of_long_items_wherever_the_edits_are():
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate([61, 80, 100, 200, 300, 400, 600] * 5)]
+    index = ItemIndex(items)
+    for where in ("head", "tail", "even", "random"):
+        for kind in ("replace", "drop", "insert"):
+            texts = []
+            for _, t in items:
+                words = t.split()
+                texts.append(" ".join([*rng.choice(vocabulary, 40), *edited_at(words, index.edits(len(words)), where, kind, rng), *rng.choice(vocabulary, 40)]))
+            found = search(index, pa.array(texts))
+            hits = [any(m[0] == i for m in f) for (i, _), f in zip(items, found, strict=True)]
+            assert np.mean(hits) >= 0.95, (where, kind)
+            assert all(m[1] <= index.edits(len(items[m[0]][1].split())) for f in found for m in f)
+
+
 def test_edges(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
     texts = ["", None, item, f"x {item.upper()}! y", "alpha beta", (item + ". ") * 500, "pad " * 20000 + item, item]
