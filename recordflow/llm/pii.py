@@ -1,18 +1,20 @@
 """Personal data replaced by surrogates of the same kind and format.
 
 Entities: e-mail addresses, phone, card and social security numbers, IPv4 addresses, IBANs, access keys,
-secrets behind names such as ``password=``, and names of persons behind a title. What is replaced
-is a *unit*: the whole entity, or one word of a name. A unit's surrogate follows from a secret key, its kind
+secrets behind names such as ``password=``, and names of persons behind a title, with every other
+capitalised mention of the same name words in that text. What is replaced is a *unit*: the whole entity, or one word of a name. A unit's surrogate follows from a secret key, its kind
 and its normal form, so every mention of it, in any document and layout, gets the same one.
 
 * Numbers keep layout, length, country code and (cards) a valid check digit; addresses of private
   networks stay private; secrets keep their letter cases and digits.
-* Given names keep gender (from the title) and script, family names script; both keep upper and title case.
+* Names keep script and upper and title case. A name word is one unit, whatever titles and places it has: it is a
+  given name if it ever stands before another name word behind a title, with the gender these titles tell in all
+  texts together (none if they differ), else a family name.
 * Collision check: all distinct units and their surrogates are compared. A surrogate that another unit has, or that
   is a unit of the texts itself, is drawn again, until none is left; so distinct units stay distinct.
 
-Only units, and of those only the few that were drawn again, are shuffled; texts are read twice and never
-moved unless these few are too many to broadcast. Only built-in functions run.
+Only units, and of those only the few that were drawn again or whose role their text alone does not tell, are
+shuffled; texts are read twice and never moved unless these few are too many to broadcast. Only built-in functions run.
 
 NULL texts stay NULL and empty ones empty; repeated rows get the same surrogates; an empty table gives an
 empty result; all other columns stay as they are.
@@ -32,7 +34,9 @@ TITLES = {
     "u": ["Dr", "Prof"],
 }
 _TITLE = "(?:" + "|".join(t for group in TITLES.values() for t in group) + ")"
-_NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
+# No title, and without a possessive 's.
+_NAME_WORD = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|['’-](?![sS](?!\p{{L}}))(?=\p{{L}}))+"
+_TITLES = rf"(?:{_TITLE}\.? )++"
 
 PATTERNS = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -45,7 +49,7 @@ PATTERNS = [
     r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    rf"(?<!\p{{L}}){_TITLE}\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
+    rf"(?<!\p{{L}}){_TITLES}{_NAME_WORD}(?: {_NAME_WORD}){{0,2}}",
 ]
 ENTITY = "|".join(PATTERNS)
 # No entity is without one of these.
@@ -67,14 +71,53 @@ def _mentions(text: Column) -> Column:
     return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
 
 
+def _titled_words(mentions: Column) -> Column:
+    """Name words behind titles, with a bit for the gender that a given name's title tells."""
+    def words(mention: Column) -> Column:
+        found, bit = _name_words(mention), _gender_bit(mention)
+        return F.transform(found, lambda w, k: F.struct(F.lower(w).alias("value"), F.when(k == F.size(found) - 1, F.lit(0)).otherwise(bit).alias("bits")))
+
+    return F.flatten(F.transform(F.filter(mentions, _titled), words))
+
+
+def _known_names(words: Column) -> Column:
+    """Each name word of a text with the bits of all its mentions."""
+    values = F.array_distinct(F.transform(words, lambda w: w["value"]))
+    def bits(value: Column) -> Column:
+        return F.aggregate(F.filter(words, lambda w: w["value"] == value), F.lit(0), lambda s, w: s.bitwiseOR(w["bits"]))
+
+    return F.map_from_entries(F.transform(values, lambda v: F.struct(v, bits(v))))
+
+
+def _with_names(names: Column) -> Column:
+    """Pattern of entities and of all capitalised mentions of the text's name words, longer words first."""
+    words = F.array_join(F.sort_array(F.map_keys(names), asc=False), "|")
+    word = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), words, F.lit(r")(?![\p{L}\p{N}_])"))
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])"), word, F.lit("(?: "), word, F.lit(")*"))
+
+
+def _found(docs: DataFrame, body: Column) -> DataFrame:
+    """``docs`` with ``__mentions`` in order and ``__names``, the name words known in the text."""
+    out = docs.withColumn("__mentions", _mentions(body)).withColumn("__words", _titled_words(F.col("__mentions")))
+    out = out.withColumn("__names", _known_names(F.col("__words"))).drop("__words")
+    every = F.regexp_extract_all(body, _with_names(F.col("__names")), F.lit(0))
+    return out.withColumn("__mentions", F.when(F.size("__names") > 0, every).otherwise(F.col("__mentions")))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _kind(mention: Column) -> Column:
+def _titled(mention: Column) -> Column:
+    return mention.rlike(rf"^{_TITLE}\.? ")
+
+
+def _kind(mention: Column, names: Column) -> Column:
     has = mention.rlike
+    known = F.map_keys(names)
     return (
-        F.when(has(rf"^{_TITLE}\.? "), "name")
+        F.when(_titled(mention), "name")
+        .when((F.size(names) > 0) & F.forall(F.split(mention, " "), lambda w: F.array_contains(known, F.lower(w))), "name")
         .when(has(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), "email")
         .when(has(r"^AKIA[0-9A-Z]{16}$"), "key")
         .when(has(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -87,32 +130,49 @@ def _kind(mention: Column) -> Column:
     )
 
 
-def _gender(mention: Column) -> Column:
-    out = F.lit("u")
-    for gender in ("f", "m"):
-        out = F.when(mention.rlike(rf"^(?:{'|'.join(TITLES[gender])})\.? "), F.lit(gender)).otherwise(out)
+def _gender_bit(mention: Column) -> Column:
+    """1 behind a woman's title, 2 behind a man's, 4 behind others."""
+    out = F.lit(4)
+    for gender, bit in (("m", 2), ("f", 1)):
+        out = F.when(_title(mention).rlike(rf"(?:^| )(?:{'|'.join(TITLES[gender])})\.? "), F.lit(bit)).otherwise(out)
     return out
 
 
+def _title(mention: Column) -> Column:
+    return F.regexp_extract(mention, rf"^(?:{_TITLE}\.? )*", 0)
+
+
 def _name_words(mention: Column) -> Column:
-    words = F.split(mention, " ")
-    return F.slice(words, F.lit(2), F.size(words) - 1)
+    return F.split(F.regexp_replace(mention, rf"^(?:{_TITLE}\.? )+", ""), " ")
+
 
+def _settled(kind: Column, bits: Column) -> Column:
+    """Kind of a unit; that of a name tells its role by the bits of all its mentions."""
+    gender = bits.bitwiseAND(F.lit(3))
+    role = F.when(bits == 0, "name_family").when(gender == 1, "name_f").when(gender == 2, "name_m").otherwise("name_u")
+    return F.when(kind == "name", role).otherwise(kind)
 
-def _units(mention: Column) -> Column:
+
+def _space(kind: Column) -> Column:
+    """Units of one space differ by value alone: names are one, whatever their role."""
+    return F.when(kind.startswith("name"), "name").otherwise(kind)
+
+
+def _units(mention: Column, names: Column) -> Column:
     """Units of a mention in normal form: numbers as digits, the rest in lower case where case does not tell."""
-    kind = _kind(mention)
+    kind = _kind(mention, names)
     value = (
-        F.when(kind.isin("email", "name"), F.lower(mention))
+        F.when(kind == "email", F.lower(mention))
         .when(kind == "phone", F.right(_digits(mention), F.lit(10)))
         .when(kind.isin("card", "ssn"), _digits(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(mention)
     )
-    words, gender = _name_words(mention), _gender(mention)
-    named = F.transform(words, lambda w, k: F.struct(
-        F.when((k == F.size(words) - 1), F.lit("family")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(w).alias("value")))
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("value"))))
+    def unit(kind: Column, value: Column, bits: Column) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), F.coalesce(bits, F.lit(0)).alias("bits"))
+
+    named = F.transform(_name_words(mention), lambda w: unit(F.lit("name"), F.lower(w), F.element_at(names, F.lower(w))))
+    return F.when(kind == "name", named).otherwise(F.array(unit(kind, value, F.lit(0))))
 
 
 def _draw(seed: Column, k: Column | int, n: int) -> Column:
@@ -181,7 +241,7 @@ def _script(value: Column) -> Column:
 
 def _name(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
     """Syllables and an ending of the gender; later draws are longer, so names never run out."""
-    role = F.when(kind == "family", "family").otherwise(F.right(kind, F.lit(1)))
+    role = F.substring(kind, F.lit(6), F.length(kind))
     out = None
     for script, consonants in _CONSONANTS.items():
         count = F.lit(2) + F.floor(attempt / 4).cast("int")
@@ -205,13 +265,13 @@ def _surrogate(unit: Column, key: str) -> Column:
         .when(kind == "key", F.concat(F.lit("AKIA"), _same_classes(F.substring(value, 5, 16), seed)))
         .when(kind == "iban", F.concat(F.left(value, F.lit(2)), _same_classes(F.substring(value, F.lit(3), F.length(value)), seed)))
         .when((kind == "secret") & hexadecimal, _same_classes(value, seed, "abcdef"))
-        .when((kind == "family") | kind.startswith("given"), _name(kind, value, seed, attempt))
+        .when(kind.startswith("name_"), _name(kind, value, seed, attempt))
         .otherwise(_same_classes(value, seed))
     )
 
 
 def _seeded(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
+    seed = F.sha2(F.concat_ws("|", F.lit(key), _space(kind), value, attempt.cast("string")), 256)
     return F.struct(kind.alias("kind"), value.alias("value"), attempt.alias("attempt"), seed.alias("seed"))
 
 
@@ -227,19 +287,19 @@ def redrawn(units: DataFrame, key: str) -> DataFrame:
     A surrogate must differ from all units of its kind and, of units with one surrogate, the least keeps it.
     Each round settles the winners and draws again for the rest.
     """
-    real = units.select(F.col("kind").alias("k"), F.col("value").alias("v"))
+    real = units.select(_space(F.col("kind")).alias("k"), F.col("value").alias("v"))
     open_, settled = units.withColumn("attempt", F.lit(0)), None
     while True:
-        drawn = _drawn(open_, key)
-        drawn = drawn.join(real, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("v")), "left").withColumn("taken", F.col("v").isNotNull()).drop("k", "v")
+        drawn = _drawn(open_, key).withColumn("space", _space(F.col("kind")))
+        drawn = drawn.join(real, (F.col("space") == F.col("k")) & (F.col("made") == F.col("v")), "left").withColumn("taken", F.col("v").isNotNull()).drop("k", "v")
         if settled is not None:
-            used = settled.select(F.col("kind").alias("k"), F.col("made").alias("m"))
-            drawn = drawn.join(used, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("m")), "left")
+            used = settled.select(_space(F.col("kind")).alias("k"), F.col("made").alias("m"))
+            drawn = drawn.join(used, (F.col("space") == F.col("k")) & (F.col("made") == F.col("m")), "left")
             drawn = drawn.withColumn("taken", F.col("taken") | F.col("m").isNotNull()).drop("k", "m")
         drawn = cut(drawn, "drawn")
         free = drawn.where(~F.col("taken"))
-        first = free.groupBy("kind", "made").agg(F.min("value").alias("value"))
-        won = free.join(first, ["kind", "made", "value"], "left_semi").select("kind", "value", "attempt", "made")
+        first = free.groupBy("space", "made").agg(F.min("value").alias("value"))
+        won = free.join(first, ["space", "made", "value"], "left_semi").select("kind", "value", "attempt", "made")
         settled = won if settled is None else settled.unionByName(won)
         settled = cut(settled, "settled")
         lost = cut(drawn.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "lost")
@@ -274,17 +334,17 @@ def _spaced(mention: Column, made: Column) -> Column:
     return F.array_join(F.transform(chars, other), "")
 
 
-def _replacement(mention: Column, attempts: Column | None, key: str) -> Column:
+def _replacement(mention: Column, names: Column, changed: Column | None, key: str) -> Column:
     def drawn(u: Column) -> Column:
-        attempt = F.lit(0)
-        if attempts is not None:
-            attempt = F.coalesce(F.element_at(attempts, F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
-        return _seeded(u["kind"], u["value"], attempt, key)
-
-    made = F.transform(F.transform(_units(mention), drawn), lambda u: _surrogate(u, key))
-    kind, first = _kind(mention), F.element_at(made, 1)
-    title = F.split_part(mention, F.lit(" "), F.lit(1))
-    named = F.concat_ws(" ", title, F.array_join(F.zip_with(_name_words(mention), made, _cased), " "))
+        kind, attempt = _settled(u["kind"], u["bits"]), F.lit(0)
+        if changed is not None:
+            other = F.element_at(changed, F.concat_ws("|", u["kind"], u["value"]))
+            kind, attempt = F.coalesce(other["kind"], kind), F.coalesce(other["attempt"], attempt)
+        return _seeded(kind, u["value"], attempt, key)
+
+    made = F.transform(F.transform(_units(mention, names), drawn), lambda u: _surrogate(u, key))
+    kind, first = _kind(mention, names), F.element_at(made, 1)
+    named = F.concat(_title(mention), F.array_join(F.zip_with(_name_words(mention), made, _cased), " "))
     return (F.when(kind == "name", named).when(kind.isin("phone", "card", "ssn"), _fill(mention, first))
             .when(kind == "iban", _spaced(mention, first)).otherwise(first))
 
@@ -292,21 +352,31 @@ def _replacement(mention: Column, attempts: Column | None, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", report: bool = False) -> DataFrame:
     """``docs`` with surrogates in the text column; with ``report`` also ``n_entities`` and ``entity_kinds``."""
     body = F.col(f"`{text}`")
-    found = docs.select(F.xxhash64(body).alias("h"), F.explode(F.transform(_mentions(body), _units)).alias("us"))
-    found = cut(found.select("h", F.explode("us").alias("u")).select("h", "u.kind", "u.value").distinct(), "units")
-    again = redrawn(cut(found.select("kind", "value").distinct(), "distinct-units"), key)
-    again = cut(again, "redrawn")
-    attempts, table = None, docs
-    if not again.isEmpty():
-        # Units drawn again, by the texts that hold them; a text's set is bounded by the text.
-        entry = F.struct(F.concat_ws("|", "kind", "value").alias("k"), F.col("attempt").alias("v"))
-        by_text = found.join(again, ["kind", "value"]).groupBy("h").agg(F.map_from_entries(F.collect_set(entry)).alias("__attempts"))
-        by_text = broadcast_if_small(cut(by_text.withColumnRenamed("h", "__h"), "redrawn-by-text"))
+    names = F.col("__names")
+    found = _found(docs.select(body.alias("__text")), F.col("__text"))
+    found = found.select(F.xxhash64("__text").alias("h"), F.explode(F.transform("__mentions", lambda m: _units(m, names))).alias("us"))
+    found = cut(found.select("h", F.explode("us").alias("u")).select("h", "u.kind", "u.value", "u.bits").distinct(), "units")
+    units = found.groupBy("kind", "value").agg(F.bit_or("bits").alias("bits"))
+    units = cut(units.select(_settled(F.col("kind"), F.col("bits")).alias("kind"), "value"), "distinct-units")
+    again = cut(redrawn(units, key), "redrawn")
+    # Units drawn again and names of another role than their text alone tells, by the texts that hold them; a text's
+    # set is bounded by the text.
+    persons = units.where(_space(F.col("kind")) == "name").join(again, ["kind", "value"], "left")
+    persons = persons.select("value", F.col("kind").alias("as"), F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    persons = found.where(F.col("kind") == "name").join(persons, "value")
+    persons = persons.where((F.col("attempt") > 0) | (F.col("as") != _settled(F.col("kind"), F.col("bits"))))
+    others = found.where(F.col("kind") != "name").join(again, ["kind", "value"]).withColumn("as", F.col("kind"))
+    entry = F.struct(F.concat_ws("|", "kind", "value").alias("k"), F.struct(F.col("as").alias("kind"), "attempt").alias("v"))
+    changes = cut(persons.select("h", entry.alias("e")).unionByName(others.select("h", entry.alias("e"))), "changed-units")
+    changed, table = None, docs
+    if not changes.isEmpty():
+        by_text = changes.groupBy("h").agg(F.map_from_entries(F.collect_set("e")).alias("__changed"))
+        by_text = broadcast_if_small(cut(by_text.withColumnRenamed("h", "__h"), "changed-by-text"))
         table = docs.join(by_text, F.xxhash64(body) == F.col("__h"), "left")
-        attempts = F.col("__attempts")
-    table = table.withColumn("__mentions", _mentions(body))
-    gaps = F.split(body, ENTITY, -1)
-    new = F.transform("__mentions", lambda m: _replacement(m, attempts, key))
+        changed = F.col("__changed")
+    table = _found(table, body)
+    gaps = F.when(F.size(names) > 0, F.split(body, _with_names(names), -1)).otherwise(F.split(body, ENTITY, -1))
+    new = F.transform("__mentions", lambda m: _replacement(m, names, changed, key))
     padded = F.concat(new, F.array(F.lit("")))
     joined = F.array_join(F.zip_with(gaps, padded, lambda g, m: F.concat(g, m)), "")
     columns = [
@@ -314,6 +384,6 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", report: bool = F
         if not (report and c in ("n_entities", "entity_kinds"))
     ]
     if report:
-        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__mentions", _kind))), ",")
+        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("__mentions", lambda m: _kind(m, names)))), ",")
         columns += [F.greatest(F.size("__mentions"), F.lit(0)).cast("long").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("entity_kinds")]
     return table.select(*columns)

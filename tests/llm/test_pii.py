@@ -68,6 +68,33 @@ def test_names_of_one_gender_and_script_stay_distinct(spark):
     assert len(set(made)) == len(texts) and all(re.fullmatch(r"Frau [A-Z][a-z]+", m) for m in made)
 
 
+def test_bare_mentions_of_a_named_person_get_the_same_surrogates(spark):
+    texts = [
+        "Smith: Mr John Smith came. Smith said so; SMITH's book, John, John Smith and Smith-Jones. smith Smithson Johnny",
+        "Mr Smith’s house, Smith wrote to Smith@mail.example.com", "Smith and John, named by nobody here",
+        "Frau Dr. Anna O'Neil and O'Neil, Prof. Dr. Braun, Braun", "Господин Иван Иванов. Иванов, ИВАНОВ",
+    ]
+    got = run(spark, texts, report=True)
+    form = r"(\w+): Mr (\w+) (\w+) came\. (\w+) said so; (\w+)'s book, (\w+), (\w+) (\w+) and (\w+)-Jones\. smith Smithson Johnny"
+    w = re.fullmatch(form, got[0]["text"]).groups()
+    assert w[0] == w[2] == w[3] == w[7] == w[8] == w[4].title() and w[4].isupper() and w[1] == w[5] == w[6]
+    assert not {"John", "Smith", "SMITH"} & set(w) and got[0]["n_entities"] == 7
+    assert re.fullmatch(rf"{w[2]}", re.fullmatch(r"Mr (\w+)’s house, (\w+) wrote to \S+@\S+", got[1]["text"])[1]) and got[1]["text"].count(w[2]) == 2
+    assert got[2]["text"] == texts[2]
+    a = re.fullmatch(r"Frau Dr\. (\w+) (\w+) and (\w+), Prof\. Dr\. (\w+), (\w+)", got[3]["text"]).groups()
+    assert a[1] == a[2] and a[3] == a[4] and not {"Anna", "Braun"} & set(a)
+    c = re.fullmatch(r"Господин (\w+) (\w+)\. (\w+), (\w+)", got[4]["text"]).groups()
+    assert c[1] == c[2] == c[3].title() and "Иванов" not in c
+
+
+def test_a_name_word_has_one_surrogate_whatever_its_title_and_place(spark):
+    texts = ["Mr John Smith", "Dr John Smith", "Mr John", "Frau Anna", "Prof Anna Weber", "Frau Anna Weber", "Mr Robin May", "Mrs Robin May"]
+    got = {i: r["text"].split()[1:] for i, r in run(spark, texts).items()}
+    assert got[0] == got[1] and got[2] == got[0][:1] and got[4] == got[5] and got[3] == got[4][:1] and got[6] == got[7]
+    assert re.search("(o|us|an|ek)$", got[0][0]) and re.search("(a|elle)$", got[3][0]) and re.search("(y|is|en|el)$", got[6][0])
+    assert len({got[0][0], got[0][1], got[3][0], got[4][1], got[6][0], got[6][1]}) == 6
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a.b@c.example", 1), (1, "a.b@c.example", 2), (1, "a.b@c.example", 2), (2, "x" * 300000 + " 10.0.0.1", 3)],
                                  "doc_id long, text string, n_entities int")
