@@ -38,10 +38,14 @@ _TITLE = "(?:" + "|".join(t for group in TITLES.values() for t in group) + ")"
 _NAME_WORD = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|['’-](?![sS](?!\p{{L}}))(?=\p{{L}}))+"
 _TITLES = rf"(?:{_TITLE}\.? )++"
 
+_SECRET = r"(?i:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]{1,3}\s{0,2}"
+
 PATTERNS = [
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    r"(?<=(?i:password|passwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'=:]{6,}",
+    # To the closing quote, else to the next blank; what has no letter or digit is no secret.
+    *(rf"(?<={_SECRET}{q})(?=[^{q}\n]*[\p{{L}}0-9])[^{q}\n]+(?:(?<=\\){q}[^{q}\n]+)*(?={q})" for q in "\"'"),
+    rf"(?<={_SECRET}[\"']?)(?![=:])(?=[^\s\"']*[\p{{L}}0-9])[^\s\"']+(?:[\"'](?=[\p{{L}}0-9])[^\s\"']+)*",
     r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)",
     r"(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
@@ -121,10 +125,10 @@ def _kind(mention: Column, names: Column) -> Column:
         .when(has(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), "email")
         .when(has(r"^AKIA[0-9A-Z]{16}$"), "key")
         .when(has(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(has(r"^\+|\(") & has(r"^[+0-9 ().-]+$"), "phone")
+        .when(has(r"^\+|\(") & has(r"^[+0-9 ().-]+$") & (F.length(_digits(mention)) >= 5), "phone")
         .when(has(r"^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "phone")
         .when(has(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
-        .when(has(r"^[0-9][0-9 -]+$"), "card")
+        .when(has(r"^(?:[0-9][ -]?){12,18}[0-9]$"), "card")
         .when(has(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$"), "iban")
         .otherwise("secret")
     )
@@ -188,7 +192,7 @@ def _same_classes(value: Column, seed: Column, lower: str = "abcdefghijklmnopqrs
     """Digits for digits, letters for letters of the same case."""
     def other(c: Column, k: Column) -> Column:
         return (F.when(c.rlike("[0-9]"), _pick("0123456789", seed, k)).when(c.rlike("[a-z]"), _pick(lower, seed, k))
-                .when(c.rlike("[A-Z]"), _pick(lower.upper(), seed, k)).otherwise(c))
+                .when(c.rlike("[A-Z]"), _pick(lower.upper(), seed, k)).when(c.rlike(r"\p{L}"), _pick(lower, seed, k)).otherwise(c))
 
     return F.array_join(F.transform(F.split(value, ""), other), "")
 
@@ -259,12 +263,14 @@ def _surrogate(unit: Column, key: str) -> Column:
     """Normal form of the surrogate of ``unit`` with fields kind, value, seed, attempt."""
     kind, value, seed, attempt = unit["kind"], unit["value"], unit["seed"], unit["attempt"]
     hexadecimal = value.rlike("^[0-9a-f]+$")
+    # Short secrets can run out: later draws are longer.
+    more = F.substring(seed, F.lit(1), F.floor(attempt / 4).cast("int"))
     return (
         F.when(kind == "email", _email(value, seed, key)).when(kind == "phone", _phone(value, seed))
         .when(kind == "card", _card(value, seed)).when(kind == "ip", _ip(value, seed))
         .when(kind == "key", F.concat(F.lit("AKIA"), _same_classes(F.substring(value, 5, 16), seed)))
         .when(kind == "iban", F.concat(F.left(value, F.lit(2)), _same_classes(F.substring(value, F.lit(3), F.length(value)), seed)))
-        .when((kind == "secret") & hexadecimal, _same_classes(value, seed, "abcdef"))
+        .when(kind == "secret", F.concat(F.when(hexadecimal, _same_classes(value, seed, "abcdef")).otherwise(_same_classes(value, seed)), more))
         .when(kind.startswith("name_"), _name(kind, value, seed, attempt))
         .otherwise(_same_classes(value, seed))
     )

@@ -95,6 +95,22 @@ def test_a_name_word_has_one_surrogate_whatever_its_title_and_place(spark):
     assert len({got[0][0], got[0][1], got[3][0], got[4][1], got[6][0], got[6][1]}) == 6
 
 
+def test_secrets_are_taken_whole(spark):
+    texts = ["password=ab12x end", "password=a:b=c9 end", "password=Abcdef:9Kq2 end", 'token = "two words:9=x" end', "secret: 'ab' end", 'x "password=q7" end',
+             'password="open end', "password=ab\"cd9 end", "password=***** end", "password==Zq81 end", "password=пароль end", "passwd=18 passwd=(1)4567 end"]
+    texts += [f"password={k}" for k in range(10)]
+    got = {i: r["text"] for i, r in run(spark, texts).items()}
+    forms = [r"password=[a-z]{2}\d\d[a-z] end", r"password=[a-z]:[a-z]=[a-z]\d end", r"password=[A-Z][a-z]{5}:\d[A-Z][a-z]\d end", r'token = "[a-z]{3} [a-z]{5}:\d=[a-z]" end',
+             r"secret: '[a-z]{2}' end", r'x "password=[a-z]\d" end', r'password="[a-z]{4} end', r'password=[a-z]{2}"[a-z]{2}\d end', r"password=\*{5} end",
+             r"password==[A-Z][a-z]\d\d end", r"password=[a-z]{6} end", r"passwd=\d\d passwd=\(\d\)\d{4} end"]
+    for i, form in enumerate(forms):
+        assert re.fullmatch(form, got[i]) and (got[i] != texts[i]) == (i != 8), (got[i], texts[i])
+    for part in ("9Kq2", "words", "cd9"):
+        assert not any(part in t for t in got.values())
+    short = {got[i] for i in range(len(forms), len(texts))}
+    assert len(short) == 10 and not short & set(texts)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a.b@c.example", 1), (1, "a.b@c.example", 2), (1, "a.b@c.example", 2), (2, "x" * 300000 + " 10.0.0.1", 3)],
                                  "doc_id long, text string, n_entities int")
