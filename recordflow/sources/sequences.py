@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import strip_suffix
 from recordflow.operators.records import KEY
+from recordflow.sources.fastq import FastqSource
 from recordflow.sources.files import DEFAULT_RULES, suffix_labels
 from recordflow.storage import write_once
 
@@ -49,56 +52,22 @@ def read_fasta(spark: SparkSession, paths: Paths, glob: str | None = None) -> Da
     )
 
 
-def read_fastq(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
-    """``(file, id, seq, qual)`` of four-line FASTQ records.
+def read_fastq(spark: SparkSession, paths: Paths, glob: str | None = None, split_bytes: int | None = None) -> DataFrame:
+    """``(file, id, seq, qual)`` of four-line FASTQ records; anything else fails.
 
-    Files are cut at ``@`` after a line break. A quality line may begin with ``@`` too, which
-    cuts its record in two: such a head of three lines is joined to the tail right after it.
-    Only these broken records are ordered: first inside their own file block, then the pieces
-    left at the blocks' edges, two at most for each, over the blocks of a file. Anything that
-    is not a record fails.
+    One pass: each task reads a byte range of at most ``split_bytes`` (the session's file split size) and the
+    end of its last record, see :mod:`recordflow.sources.fastq`. Compressed files are read whole, one for each task.
     """
-    raw = _lines(spark, paths, glob, "\n@").select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-        F.replace(F.col("value"), F.lit("\r"), F.lit("")).alias("chunk"),
-    )
-    breaks = F.length("chunk") - F.length(F.replace(F.col("chunk"), F.lit("\n"), F.lit("")))
-    counted = raw.withColumn("breaks", breaks)
-    # The last piece of a file ends in a line break that starts no further line.
-    closing = F.col("breaks").isin(1, 4) & F.endswith(F.col("chunk"), F.lit("\n"))
-    text = F.when(closing, F.substr("chunk", F.lit(1), F.length("chunk") - 1)).otherwise(F.col("chunk"))
-    pieces = counted.select(
-        "file", "block", "place", text.alias("text"),
-        (F.col("breaks") + F.when(closing, 0).otherwise(1)).alias("n"),
-    )
-    whole = pieces.where("n = 4").select("file", "text")
-
-    broken = pieces.where("n <> 4")
-    head, tail = F.col("n") == 3, F.col("n") == 1
-    inside = Window.partitionBy("file", "block").orderBy("place")
-    before, after = F.lag("n").over(inside), F.lead("n").over(inside)
-    lone = (head & F.coalesce(after != 1, F.lit(True))) | (tail & F.coalesce(before != 3, F.lit(True)))
-    placed = broken.withColumn("lone", lone)
-    group = F.when(F.col("lone"), F.lit(-1)).otherwise(F.col("block"))
-    across = Window.partitionBy("file", group).orderBy("block", "place")
-    before, after = F.lag("n").over(across), F.lead("n").over(across)
-    matched = placed.withColumns({
-        "sound": (head & (after == 1)) | (tail & (before == 3)), "rest": F.lead("text").over(across),
-    })
-    sound = F.coalesce(F.col("sound"), F.lit(False))
-    joined = F.concat_ws("\n@", "text", F.coalesce("rest", F.lit("")))
-    mended = matched.where(head | ~sound).select("file", F.when(sound, joined).otherwise(F.col("text")).alias("text"))
-
-    line = F.split("text", "\n", -1)
-    records = whole.union(mended).select("file", "text", line.alias("line"))
-    title, seq, plus, qual = [F.get("line", F.lit(i)) for i in range(4)]
-    sound = (F.size("line") == 4) & F.startswith(plus, F.lit("+")) & (F.length(seq) == F.length(qual))
-    problem = F.raise_error(F.concat(F.lit("not a four-line FASTQ record: "), F.substring("text", 1, 200)))
-    return records.where(F.when(sound, F.lit(True)).otherwise(problem.cast("boolean"))).select(
-        "file", _first_token(F.regexp_replace(title, "^@", "")).alias("id"), seq.alias("seq"), qual.alias("qual")
-    )
+    spark.dataSource.register(FastqSource)
+    size = split_bytes or byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    options = {"paths": json.dumps([paths] if isinstance(paths, str) else list(paths)), "split": str(size)}
+    return spark.read.format("fastq").options(**options, **({} if glob is None else {"glob": glob})).load()
+
+
+def byte_size(setting: str) -> int:
+    """Bytes of a setting such as ``128MB``, ``64k`` or ``4096``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
 
 
 def read_gff3(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
