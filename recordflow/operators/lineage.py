@@ -1,20 +1,28 @@
 """Graph operators on an edge table ``(src, dst[, kind])``: ``dst`` requires ``src``.
 
-Every round works on written tables: the lineage of a long loop stays flat, and the
-known size of a round's frontier lets Spark broadcast it while it is small and shuffle it
-once it is not, with AQE splitting a node that holds a large part of the edges.
+Loops work on written tables, so the lineage of a long loop stays flat. Edges are written once by bucket of
+the node they are followed from, sorted in it; a round reads only the buckets its frontier is in, and the known size of the frontier
+lets Spark broadcast it while it is small and shuffle it once it is not, with AQE splitting a node that holds a large
+part of the edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordflow.storage import cut, cut_counted, scratch_path
+from recordflow.storage import cut, cut_counted, cut_observed, scratch_path
 
 REQUIRES, DEPENDS = "requires", "depends"
 
+# Edges of a bucket, about, and the most buckets there are.
+BUCKET_EDGES, MOST_BUCKETS = 250_000, 1024
+# Rounds of one step before paths are doubled, and how far the paths of a length may outnumber the edges.
+NEAR_ROUNDS, PATH_GROWTH = 4, 2
+
 
 class CyclicLineage(ValueError):
     """Requirements that form a cycle."""
@@ -27,30 +35,85 @@ def required(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
+def _bucket(node: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
+
+
+class _Layout:
+    """Edges ``(front, back, ...)`` in buckets of their front node."""
+
+    def __init__(self, edges: DataFrame, n_edges: int, path: str):
+        self.buckets = max(1, min(MOST_BUCKETS, -(-n_edges // BUCKET_EDGES)))
+        self.path, self.schema = path, edges.schema
+        if self.buckets == 1:
+            self.table = cut(edges, path=path)
+            return
+        # Rebalancing splits the bucket of a node with a large part of the edges.
+        dealt = edges.withColumn("bucket", _bucket("front", self.buckets)).hint("rebalance", "bucket")
+        dealt.sortWithinPartitions("bucket", "front").write.partitionBy("bucket").parquet(path)
+        schema = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        self.table = edges.sparkSession.read.schema(schema).parquet(path)
+
+    def of(self, buckets: Iterable[int] | None) -> DataFrame:
+        """The edges of some buckets; the folders of others are not read."""
+        names = self.schema.names
+        if self.buckets == 1 or buckets is None or len(set(buckets)) == self.buckets:
+            return self.table.select(*names)
+        return self.table.where(F.col("bucket").isin(sorted(set(buckets)))).select(*names)
+
+    def bucket_set(self, node: Column) -> Column:
+        """Aggregate: the buckets that nodes are in, NULLs left out."""
+        return F.collect_set(F.when(node.isNotNull(), _bucket(node, self.buckets)))
+
+
 def _settle(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
     """Rounds that settle the nodes all of whose edges from ``front`` come from settled nodes.
 
-    Every edge is followed once, in the round after its front node is settled; a round writes only the nodes it
-    touches: those settled now, and those that still wait for more edges. Returns ``(node, level)`` of
-    the settled nodes and ``(node)`` of the others: a cycle and what lies behind it.
+    Every edge is followed once, in the round after its front node is settled. An edge carries how many its back node
+    waits for, so a node that gets them all in one round is settled there and then. Others leave a running
+    total in the bucket of waiting nodes, which is read only for the buckets of nodes that a round leaves
+    waiting: what a round writes are the nodes it touches. Returns ``(node, level)`` of the settled nodes and ``(node)`` of
+    the others: a cycle and what lies behind it.
     """
     spark = edges.sparkSession
-    pairs = cut(edges.select(F.col(front).alias("front"), F.col(back).alias("back")), path=f"{path}/edges")
-    need = cut(pairs.groupBy(F.col("back").alias("node")).agg(F.count(F.lit(1)).alias("need")), path=f"{path}/need")
-    free = pairs.select(F.col("front").alias("node")).distinct().join(need, "node", "left_anti")
-    touched = free.select("node", F.lit(0).cast("long").alias("got"), F.lit(True).alias("ready"))
-    table, counts = cut_counted(touched, f"{path}/rounds/level=0", ready=F.count_if("ready"))
-    level = 0
-    while counts["ready"]:
+    raw, size = cut_counted(edges.select(F.col(front).alias("front"), F.col(back).alias("back")), f"{path}/edges")
+    need = cut(raw.groupBy("back").agg(F.count(F.lit(1)).alias("need")), path=f"{path}/need")
+    layout = _Layout(raw.join(need, "back").select("front", "back", "need"), size["n"], f"{path}/layout")
+    node_type = raw.schema["front"].dataType
+    ready, waits = F.col("got") == F.col("need"), F.col("got") < F.col("need")
+    free = raw.select(F.col("front").alias("node")).distinct().join(need.withColumnRenamed("back", "node"), "node", "left_anti")
+    frontier, found = cut_observed(free, f"{path}/free", n=F.count(F.lit(1)), buckets=layout.bucket_set(F.col("node")))
+    settled, level, any_waiting = [frontier.select("node", F.lit(0).cast("long").alias("level"))], 0, False
+    waiting_schema = T.StructType().add("node", node_type).add("got", "long").add("need", "long").add("level", "integer").add("bucket", "integer")
+    while found["n"]:
         level += 1
-        settled, waiting = table.where("ready").select("node"), table.where(~F.col("ready")).select("node", "got")
-        followed = pairs.join(settled, F.col("front") == F.col("node")).select(F.col("back").alias("node"), F.lit(1).cast("long").alias("got"))
-        got = followed.union(waiting).groupBy("node").agg(F.sum("got").alias("got"))
-        touched = got.join(need, "node").select("node", "got", (F.col("got") == F.col("need")).alias("ready"))
-        table, counts = cut_counted(touched, f"{path}/rounds/level={level}", ready=F.count_if("ready"))
-    rounds = spark.read.schema(T.StructType(table.schema.fields).add("level", "long")).parquet(f"{path}/rounds")
-    settled = rounds.where("ready").select("node", "level")
-    return settled, need.join(settled, "node", "left_anti").select("node")
+        followed = layout.of(found["buckets"]).join(frontier.select(F.col("node").alias("front")), "front")
+        got = followed.groupBy(F.col("back").alias("node"), "need").agg(F.count(F.lit(1)).alias("got")).select("node", "got", "need")
+        whole, part = F.when(ready, F.col("node")), F.when(waits, F.col("node"))
+        touched, found = cut_observed(
+            got, f"{path}/touched/level={level}", n=F.count_if(ready), buckets=layout.bucket_set(whole), waiting=layout.bucket_set(part))
+        frontier = touched.where(ready).select("node")
+        if not found["waiting"]:
+            continue
+        rest = touched.where(waits)
+        if any_waiting:
+            before = spark.read.schema(waiting_schema).parquet(f"{path}/waiting")
+            before = before.where(F.col("bucket").isin(sorted(found["waiting"]))).groupBy("node").agg(F.max("got").alias("before"))
+            rest = rest.join(before, "node", "left").select("node", (F.col("got") + F.coalesce("before", F.lit(0))).alias("got"), "need")
+        totals, ended = cut_observed(rest, f"{path}/totals/level={level}", n=F.count_if(ready), buckets=layout.bucket_set(F.when(ready, F.col("node"))))
+        totals.where(waits).withColumn("bucket", _bucket("node", layout.buckets)).write.partitionBy("bucket").parquet(f"{path}/waiting/level={level}")
+        any_waiting = True
+        frontier = frontier.union(totals.where(ready).select("node"))
+        found = {"n": found["n"] + ended["n"], "buckets": [*found["buckets"], *ended["buckets"]]}
+    # Every round's nodes, from the folders the rounds wrote.
+    rounds = T.StructType().add("node", node_type).add("got", "long").add("need", "long").add("level", "long")
+    for folder, there in (("touched", level > 0), ("totals", any_waiting)):
+        if there:
+            settled.append(spark.read.schema(rounds).parquet(f"{path}/{folder}").where(ready).select("node", "level"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out, need.select(F.col("back").alias("node")).join(out, "node", "left_anti")
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -89,10 +152,13 @@ def downstream(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = Non
     ``seeds`` has a column ``node`` and optionally ``dependency``: a change of a step's
     dependency affects ``node.dependency`` and the step. Unknown seeds give nothing; nodes
     are known from the edges, or from ``nodes``. Works on cyclic graphs as well.
+
+    What is near is followed edge by edge, from the frontier's buckets alone. What lies deeper is reached over
+    paths of doubled length, so the number of rounds is logarithmic in the depth; see :func:`_reach_far`.
     """
     spark = edges.sparkSession
     run = scratch_path(spark, "downstream")
-    pairs = cut(required(edges), path=f"{run}/edges")
+    pairs, size = cut_counted(required(edges).select(F.col("src").alias("front"), F.col("dst").alias("back")), f"{run}/edges")
     if nodes is None:
         known = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     else:
@@ -103,18 +169,65 @@ def downstream(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = Non
         named = seeds.where(F.col("dependency").isNotNull()).join(uses, ["node", "dependency"], "left_semi")
         scoped = named.select(F.concat_ws(".", "node", "dependency").alias("node")).distinct()
         starts = seeds.where(F.col("dependency").isNull()).select("node").union(named.select("node"))
-    node_type = T.StructType([T.StructField("node", pairs.schema["src"].dataType)])
-    frontier, counts = cut_counted(known.join(starts.distinct(), "node", "left_semi").distinct(), f"{run}/seen/round=0")
-    step = 0
-    while counts["n"]:
-        step += 1
-        seen = spark.read.schema(node_type).parquet(f"{run}/seen").select("node")
-        following = pairs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
-        frontier, counts = cut_counted(following.join(seen, "node", "left_anti"), f"{run}/seen/round={step}")
-    reached = spark.read.schema(node_type).parquet(f"{run}/seen").select("node")
+    seen = _Seen(spark, run, pairs.schema["front"].dataType)
+    layout = _Layout(pairs, size["n"], f"{run}/layout")
+    at = layout.bucket_set(F.col("node"))
+    frontier, found = seen.add(known.join(starts.distinct(), "node", "left_semi").distinct(), buckets=at)
+    while found["n"] and seen.rounds <= NEAR_ROUNDS:
+        frontier, found = seen.step(layout.of(found["buckets"]), frontier, buckets=at)
+    if found["n"]:
+        _reach_far(pairs, size["n"], frontier, seen, run)
+    reached = seen.table()
     return reached if scoped is None else reached.union(scoped)
 
 
+class _Seen:
+    """Nodes reached so far, a folder for each round."""
+
+    def __init__(self, spark, run: str, node_type: T.DataType):
+        self.spark, self.path, self.rounds = spark, f"{run}/seen", 0
+        self.schema = T.StructType([T.StructField("node", node_type)])
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select("node")
+
+    def add(self, new: DataFrame, **observed: Column) -> tuple[DataFrame, dict]:
+        table, found = cut_observed(new, f"{self.path}/round={self.rounds}", n=F.count(F.lit(1)), **observed)
+        self.rounds += 1
+        return table, found
+
+    def step(self, paths: DataFrame, start: DataFrame, **observed: Column) -> tuple[DataFrame, dict]:
+        """Follow paths ``(front, back)`` from ``start``; the nodes not seen before."""
+        ends = paths.join(start.select(F.col("node").alias("front")), "front").select(F.col("back").alias("node")).distinct()
+        return self.add(ends.join(self.table(), "node", "left_anti"), **observed)
+
+
+def _reach_far(pairs: DataFrame, n_edges: int, frontier: DataFrame, seen: _Seen, run: str) -> None:
+    """Complete ``seen``, which holds all nodes within some steps, over paths of 2, 4, 8 ... edges.
+
+    Where all nodes within r steps are seen and r is at least 2^k - 1, following the paths of 2^k edges from all of them adds those
+    within r + 2^k steps; when that adds none, none is left. Paths are joined to themselves for as long as they
+    stay within ``PATH_GROWTH`` times the edges, which trees, chains and the like always do. In a graph where
+    they would not, the longest made so far are followed from each round's new nodes.
+    """
+    k, paths = 0, pairs
+    while True:
+        ends = paths.groupBy(F.col("back").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
+        starts = paths.groupBy(F.col("front").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
+        longer = ends.join(starts, "node").agg(F.sum(F.col("ins") * F.col("outs")).alias("n")).first()["n"] or 0
+        if longer > PATH_GROWTH * n_edges:
+            break
+        k += 1
+        first = paths.select("front", F.col("back").alias("middle"))
+        paths = cut(first.join(paths.select(F.col("front").alias("middle"), "back"), "middle").select("front", "back").distinct(), path=f"{run}/paths-{1 << k}")
+        frontier, found = seen.step(paths, seen.table())
+        if not found["n"]:
+            return
+    found = {"n": 1}
+    while found["n"]:
+        frontier, found = seen.step(paths, frontier)
+
+
 def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(step, missing, kind)``: requirements and dependencies that name an unknown step.
 
@@ -151,29 +264,45 @@ def dependency_chain(edges: DataFrame, seeds: DataFrame | None = None) -> DataFr
     """``(step, dependency, depth)``: all transitive dependencies, the deepest run first.
 
     ``seeds`` (column ``node``) names the steps wanted: the work is then bounded by what they depend on.
-    Without it every step is followed, and a deep graph gives up to a row for each pair of nodes. Edges run from the owner (``src``) to its dependency (``dst``). Depth is the longest way
-    from the step to the dependency. Raises on a cycle.
+    Without it every step is followed, and a deep graph gives up to a row for each pair of nodes. Edges run
+    from the owner (``src``) to its dependency (``dst``). Depth is the longest way from the step to the dependency. Raises on a cycle.
+
+    Dependencies are taken in their topological order, one level at a time: all that leads to them is settled then, so a pair is
+    written once, with its final depth. A level reads only the pairs that end where its edges begin.
     """
     spark = edges.sparkSession
     if "kind" in edges.columns:
         edges = edges.where(F.col("kind") == DEPENDS)
     run = scratch_path(spark, "chain")
-    pairs = cut(edges.select("src", "dst").distinct(), path=f"{run}/edges")
-    first = pairs.select(F.col("src").alias("step"), F.col("dst").alias("dependency"))
+    pairs = edges.select("src", "dst").distinct()
     if seeds is not None:
-        first = first.join(seeds.select(F.col("node").alias("step")).distinct(), "step", "left_semi")
-    own = F.count_if(F.col("step") == F.col("dependency"))
-    frontier, counts = cut_counted(first, f"{run}/pairs/depth=1", own=own)
-    depth = 1
-    while counts["n"]:
-        if counts["own"]:
-            raise CyclicLineage("the dependencies form a cycle")
-        depth += 1
-        following = (
-            frontier.join(pairs, F.col("dependency") == F.col("src"))
-            .select("step", F.col("dst").alias("dependency"))
-            .distinct()
-        )
-        frontier, counts = cut_counted(following, f"{run}/pairs/depth={depth}", own=own)
-    found = spark.read.schema(T.StructType(first.schema.fields).add("depth", "long")).parquet(f"{run}/pairs")
-    return found.groupBy("step", "dependency").agg(F.max("depth").alias("depth"))
+        wanted = cut(downstream(pairs, seeds.select("node")), path=f"{run}/wanted")
+        pairs = pairs.join(wanted.withColumnRenamed("node", "src"), "src", "left_semi")
+    pairs = cut(pairs, path=f"{run}/edges")
+    level = levels(pairs)
+    placed = pairs.join(level.select(F.col("node").alias("src"), F.col("level").alias("from_level")), "src").join(
+        level.select(F.col("node").alias("dst"), F.col("level").alias("level")), "dst")
+    placed.select("src", "dst", "from_level", "level").write.partitionBy("level").parquet(f"{run}/by-level")
+    placed = spark.read.schema(T.StructType([*pairs.schema.fields]).add("from_level", "long").add("level", "long")).parquet(f"{run}/by-level")
+    found_schema = T.StructType().add("step", pairs.schema["src"].dataType).add("dependency", pairs.schema["dst"].dataType).add("depth", "long")
+    leveled = T.StructType([*found_schema.fields]).add("level", "long")
+    # Levels and the levels that their edges come from: small numbers, a few for each level.
+    froms: dict[int, list[int]] = {}
+    for row in placed.select("level", "from_level").distinct().collect():
+        froms.setdefault(row["level"], []).append(row["from_level"])
+    for now in sorted(froms):
+        here = placed.where(F.col("level") == now).select("src", "dst")
+        direct = here
+        if seeds is not None:
+            direct = here.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        ways = direct.select(F.col("src").alias("step"), F.col("dst").alias("dependency"), F.lit(1).cast("long").alias("depth"))
+        before = [x for x in froms[now] if x in froms]
+        if before:
+            done = spark.read.schema(leveled).parquet(f"{run}/pairs")
+            done = done.where(F.col("level").isin(before)).select("step", F.col("dependency").alias("src"), "depth")
+            longer = done.join(here, "src").select("step", F.col("dst").alias("dependency"), (F.col("depth") + 1).alias("depth"))
+            ways = ways.union(longer)
+        cut_counted(ways.groupBy("step", "dependency").agg(F.max("depth").alias("depth")), f"{run}/pairs/level={now}")
+    if not froms:
+        return spark.createDataFrame([], found_schema)
+    return spark.read.schema(found_schema).parquet(f"{run}/pairs").select("step", "dependency", "depth")

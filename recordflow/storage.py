@@ -113,15 +113,19 @@ def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_observed(df: DataFrame, path: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, with aggregates observed by the job that writes the table, as they are."""
+    seen = Observation()
+    table = cut(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), path=path)
+    return table, dict(seen.get)
+
+
 def cut_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """:func:`cut`, with aggregates observed by the job that writes the table.
+    """:func:`cut`, with counts observed by the job that writes the table.
 
     ``n`` counts the rows; other aggregates are named by keyword.
     """
-    seen = Observation()
-    named = [value.alias(name) for name, value in counts.items()]
-    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *named), path=path)
-    found = seen.get
+    table, found = cut_observed(df, path, n=F.count(F.lit(1)), **counts)
     return table, {name: int(found.get(name) or 0) for name in ["n", *counts]}
 
 

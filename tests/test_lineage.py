@@ -118,22 +118,107 @@ def test_levels_and_cycles_of_chains(spark, length):
     assert rows(cyclic_nodes(ring)) == sorted(((i,) for i in range(length + 1)), key=repr)
 
 
-def test_a_long_chain_stores_each_edge_a_few_times(spark, monkeypatch):
+@pytest.fixture
+def stored(monkeypatch):
+    """Rows written by each loop table, in order."""
+    from recordflow.operators import lineage
+
+    counts = []
+    real = lineage.cut_observed
+
+    def counted(df, path, **kwargs):
+        table, found = real(df, path, **{**kwargs, "all_rows": F.count(F.lit(1))})
+        counts.append((path.rpartition("/")[0].rpartition("/")[2], found["all_rows"]))
+        return table, found
+
+    monkeypatch.setattr(lineage, "cut_observed", counted)
+    return counts
+
+
+def written(stored):
+    return sum(n for _, n in stored)
+
+
+def test_a_long_chain_stores_each_edge_a_few_times(spark, stored):
     """No round writes again what it does not touch."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(0, 40)], "src long, dst long")
+    assert {r["node"]: r["level"] for r in levels(edges).collect()} == {i: i for i in range(41)}
+    assert written(stored) <= 3 * 41
+
+
+@pytest.mark.parametrize("bucket_edges", [250_000, 7])
+def test_waiting_nodes_are_not_written_again(spark, monkeypatch, stored, bucket_edges):
+    """200 nodes wait for both ends of a chain: a round writes what it touches and no more."""
     from recordflow.operators import lineage
 
-    stored = []
+    monkeypatch.setattr(lineage, "BUCKET_EDGES", bucket_edges)
+    chain = [(i, i + 1) for i in range(20)]
+    waiting = [(end, 100 + k) for end in (0, 20) for k in range(200)]
+    edges = spark.createDataFrame(chain + waiting, "src long, dst long")
+    got = {r["node"]: r["level"] for r in levels(edges).collect()}
+    assert got == {**{i: i for i in range(21)}, **{100 + k: 21 for k in range(200)}}
+    assert written(stored) <= 3 * len(chain + waiting)
+
+
+def test_a_round_reads_the_buckets_of_its_frontier(spark, monkeypatch):
+    from recordflow.operators import lineage
+
+    monkeypatch.setattr(lineage, "BUCKET_EDGES", 10)
+    asked = []
+    real = lineage._Layout.of
+    monkeypatch.setattr(lineage._Layout, "of", lambda self, buckets: (asked.append(len(set(buckets))), real(self, buckets))[1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    assert downstream(edges, spark.createDataFrame([(50,)], "node long")).count() == 11
+    assert levels(edges.where("src < 12")).count() == 13
+    assert max(asked) == 1
+    plan = real(lineage._Layout(edges.toDF("front", "back"), 60, lineage.scratch_path(spark, "t")), [1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.partition("PartitionFilters")[2].partition("]")[0]
+
+
+@pytest.mark.parametrize("growth", [2, 0])
+def test_deep_chains_end_in_few_rounds(spark, monkeypatch, stored, growth):
+    """1,000 edges in at most 15 rounds; without doubled paths the result is the same."""
+    from recordflow.operators import lineage
+
+    monkeypatch.setattr(lineage, "PATH_GROWTH", growth)
+    length = 1000 if growth else 12
+    edges = spark.createDataFrame([(i, i + 1) for i in range(length)] + [(length, 3), (5, -5), (-7, 0)], "src long, dst long")
+    got = downstream(edges, spark.createDataFrame([(0,)], "node long"))
+    assert got.count() == got.distinct().count() == length + 2
+    assert got.where("node = -7").count() == 0
+    rounds = [n for name, n in stored if name == "seen"]
+    assert not growth or len(rounds) <= 15
+
+
+def test_a_pair_of_a_chain_is_written_once(spark, monkeypatch):
+    from recordflow.operators import lineage
+
+    kept = []
     real = lineage.cut_counted
 
-    def counted(*args, **kwargs):
-        table, counts = real(*args, **kwargs)
-        stored.append(counts["n"])
-        return table, counts
+    def counted(df, path, **kwargs):
+        table, found = real(df, path, **kwargs)
+        if "/pairs/level=" in path:
+            kept.append(found["n"])
+        return table, found
 
     monkeypatch.setattr(lineage, "cut_counted", counted)
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(0, 40)], "src long, dst long")
-    assert {r["node"]: r["level"] for r in levels(edges).collect()} == {i: i for i in range(41)}
-    assert sum(stored) <= 3 * 41
+    rng = random.Random(4)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(70)) if a < b})
+    longest = {}
+    for a in range(29, -1, -1):
+        for x, b in pairs:
+            if x == a:
+                longest[a, b] = max(longest.get((a, b), 0), 1)
+                for (c, d), n in list(longest.items()):
+                    if c == b:
+                        longest[a, d] = max(longest.get((a, d), 0), n + 1)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    assert rows(dependency_chain(edges)) == sorted(((*k, v) for k, v in longest.items()), key=repr)
+    assert sum(kept) == len(longest)
+    seeds = spark.createDataFrame([(3,), (9,), (3,)], "node long")
+    assert rows(dependency_chain(edges, seeds)) == sorted(((*k, v) for k, v in longest.items() if k[0] in (3, 9)), key=repr)
+    assert rows(dependency_chain(edges.limit(0))) == []
 
 
 def test_chain_of_seeds_only(spark):
