@@ -294,36 +294,37 @@ def lost_exports(spark, sf_dir):
     return missing_exports(stepped, "Grade", ["size_class", "lang"])
 
 
-# Globs of temporary files, as a step would declare them.
-TEMPORARY = ["scratch", "*cache.bin", "{record_id}.swap.db", "out/index.db", "out/{record_id}.swap.db"]
+# Globs of what an indexing step leaves behind: numbered spills, the postings of a document, locks of all but one source.
+TEMPORARY = ["spill-??.part", "postings/*/{record_id}/[0-9].idx", "lock-{record_id}-src[!5]*"]
+
+
+def temporary_manifest(spark, sf_dir):
+    """Files of each document, those of ``TEMPORARY`` among them."""
+    places = {
+        "spill-%02d.part": F.col("doc_id") % 100, "spill-%03d.part": F.col("doc_id") % 1000, "table-%d.parquet": F.col("doc_id"),
+        "postings/x/%d/7.idx": F.col("doc_id"), "postings/x/%d/a.idx": F.col("doc_id"), "postings/y/%d/7.idx": F.col("doc_id") + 1,
+    }
+    names = [F.format_string(form, number) for form, number in places.items()]
+    names.append(F.concat(F.lit("lock-"), F.col("doc_id").cast("string"), F.lit("-"), "source"))
+    manifest = keyed_records(table(spark, sf_dir, "documents"), "doc_id", {"path": F.array(*names)})
+    return manifest.select(KEY, F.explode("path").alias("path"))
 
 
 @query(
     "drop_temp",
     """WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, unnest([
-        concat(doc_id, '.txt'), concat(doc_id, 'cache.bin'), concat(doc_id, '.swap.db'), concat(doc_id, '0.swap.db'),
-        'scratch/part.log', 'out/index.db', concat('out/', doc_id, '.swap.db'), concat('out/', lang, '.tmp'), '.cache.bin'
+        concat('spill-', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0'), '.part'), concat('spill-', lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0'), '.part'),
+        concat('table-', doc_id, '.parquet'), concat('postings/x/', doc_id, '/7.idx'), concat('postings/x/', doc_id, '/a.idx'),
+        concat('postings/y/', doc_id + 1, '/7.idx'), concat('lock-', doc_id, '-', source)
       ]) AS path FROM documents)
     SELECT record_id, path FROM m
-    WHERE NOT (path LIKE 'scratch/%' OR path = 'scratch' OR regexp_full_match(path, '[^./][^/]*cache\\.bin|cache\\.bin')
-      OR path = concat(record_id, '.swap.db') OR path = 'out/index.db' OR path = concat('out/', record_id, '.swap.db'))""".replace("\\\\", "\\"),
+    WHERE NOT (regexp_full_match(path, 'spill-[^/][^/][.]part') OR regexp_full_match(path, concat('postings/[^./][^/]*/', record_id, '/[0-9][.]idx'))
+      OR regexp_full_match(path, concat('lock-', record_id, '-src[^5/][^/]*')))""",
 )
 def cleaned(spark, sf_dir):
     return drop_temp(temporary_manifest(spark, sf_dir), TEMPORARY)
 
 
-def temporary_manifest(spark, sf_dir):
-    """Files of each document, those of ``TEMPORARY`` among them."""
-    names = F.array(
-        F.concat("doc_id", F.lit(".txt")), F.concat("doc_id", F.lit("cache.bin")), F.concat("doc_id", F.lit(".swap.db")),
-        F.concat("doc_id", F.lit("0.swap.db")), F.lit("scratch/part.log"), F.lit("out/index.db"),
-        F.concat(F.lit("out/"), "doc_id", F.lit(".swap.db")), F.concat(F.lit("out/"), "lang", F.lit(".tmp")),
-        F.lit(".cache.bin"),
-    )
-    manifest = keyed_records(table(spark, sf_dir, "documents"), "doc_id", {"path": names})
-    return manifest.select(KEY, F.explode("path").alias("path"))
-
-
 def _strict_half(values):
     """Row function that refuses odd quantities."""
     if values["quantity"] % 2:

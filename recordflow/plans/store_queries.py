@@ -157,8 +157,9 @@ def planned_copies(spark, sf_dir):
 
 @query(
     "temp_files",
-    """SELECT CAST(doc_id AS VARCHAR) AS record_id, unnest([concat(doc_id, 'cache.bin'), concat(doc_id, '.swap.db'), 'scratch/part.log',
-      'out/index.db', concat('out/', doc_id, '.swap.db')]) AS path FROM documents""",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, concat('spill-', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0'), '.part') AS path FROM documents
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), concat('postings/x/', doc_id, '/7.idx') FROM documents
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), concat('lock-', doc_id, '-', source) FROM documents WHERE source <> 'src5'""",
 )
 def files_to_delete(spark, sf_dir):
     return temp_files(temporary_manifest(spark, sf_dir), TEMPORARY)

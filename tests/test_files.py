@@ -192,20 +192,15 @@ def test_missing_exports(ids10):
         check_exports(stepped, "S", "x")
 
 
-def test_clean_up_of_templated_globs(spark):
-    def files(i):
-        return [f"{i}.txt", f"{i}cache.bin", f"{i}.swap.db", "scratch/a/b", "out/index.db", f"out/{i}.swap.db", "out/x"]
-
-    manifest = spark.createDataFrame(
-        [(str(i), path) for i in range(10) for path in files(i)] + [("1", "10.swap.db"), ("a.c", "abc.swap.db")],
-        "record_id string, path string",
-    )
-    templates = ["scratch", "*cache.bin", "{record_id}.swap.db", "out/index.db", "out/{record_id}.swap.db"]
-    kept = drop_temp(manifest, templates)
-    assert rows(kept) == sorted(
-        [(str(i), p) for i in range(10) for p in (f"{i}.txt", "out/x")] + [("1", "10.swap.db"), ("a.c", "abc.swap.db")],
-        key=repr,
-    )
+@pytest.mark.parametrize(("glob", "gone", "kept"), [
+    ("run?.log", ["run1.log", "runé.log"], ["run.log", "run12.log", "a/run1.log"]),
+    ("shards/[!0-4]-*", ["shards/7-", "shards/x-y.z", "shards/7-a/deep/file"], ["shards/3-a", "shards/77-a", "7-a"]),
+    ("{record_id}/*/part-[ab]", ["k.1/x/part-a", "k.1/yy/part-b"], ["k.1/part-a", "kx1/x/part-a", "k.1/x/y/part-a", "k.1/x/part-c"]),
+    ("at-{record_id}-end-{record_id}", ["at-k.1-end-k.1"], ["at-k.1-end-k.2", "at-k.1-end-k.1x"]),
+])
+def test_globs_of_a_clean_up(spark, glob, gone, kept):
+    manifest = spark.createDataFrame([("k.1", p) for p in gone + kept], "record_id string, path string")
+    assert rows(drop_temp(manifest, [glob, "never/*"]), "path") == sorted((p,) for p in kept)
 
 
 def test_clean_up_of_an_id_with_regex_characters(spark):

@@ -163,26 +163,25 @@ def test_last_use_wins_without_a_rename(input_other):
     assert rows(both.where("record_id = '1'"), "Dependency.output", "input") == [("1-other-dependency", "1")]
 
 
-def test_gate_reaches_through_three_levels(ids10):
-    number = F.col("record_id").cast("int")
-
-    def three(records, gate):
-        refuses_odd = F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.raise_error("odd").cast("int"))
-        return map_step(records, "Third", declare={"id": F.col("id")}, run={"half": refuses_odd / 2}, gate=gate)
-
-    def two(records, gate):
-        return map_step(records, "Second", run={"half": F.col("Third.half")}, depends=[Dependency(three)], gate=gate)
-
-    def one(records, gate):
-        return map_step(records, "First", declare={"id": F.col("id")}, run={"half": F.col("Second.half")}, depends=[Dependency(two)], gate=gate)
-
-    stepped = map_step(ids10, "Number", declare={"id": number}, condition=F.expr(EVEN_SQL))
-    stepped = map_step(
-        stepped, "Doubled", declare={"twice": F.col("Number.id") * 2}, condition=F.expr(EVEN_SQL),
-        depends=[Dependency(one, {"Number": ["id"]})],
-    )
-    got = rows(stepped, "record_id", "Doubled.twice", "Third.id", "Third.half", "First.half", "Third_ran")
-    assert got == [(str(i), 2 * i, i, i / 2 if i % 2 == 0 else None, i / 2 if i % 2 == 0 else None, i % 2 == 0) for i in range(10)]
+@pytest.mark.parametrize("depth", [1, 4])
+def test_only_the_owners_records_reach_the_innermost_step(spark, depth):
+    """Each leg adds a letter to the text of the leg below; the lowest cannot take trips of up to 30 km."""
+    def leg(k):
+        def step(records, gate):
+            if k == 0:
+                short = F.raise_error("short trip").cast("string")
+                return map_step(records, "Leg0", declare={"far": F.col("km")}, run={"text": F.when(F.col("km") > 30, "a").otherwise(short)}, gate=gate)
+            text = F.concat(F.col(f"Leg{k - 1}.text"), F.lit("abcdef"[k]))
+            return map_step(records, f"Leg{k}", run={"text": text}, depends=[Dependency(leg(k - 1))], gate=gate)
+
+        return step
+
+    trips = spark.createDataFrame([("north", 12), ("south", 31), ("west", 400), ("east", 30)], "record_id string, km int")
+    owned = map_step(
+        trips, "Trip", run={"all": F.concat_ws("/", F.col(f"Leg{depth - 1}.text"), "record_id")}, condition=F.col("km") > 30, depends=[Dependency(leg(depth - 1))])
+    text = "abcdef"[:depth]
+    assert rows(owned, "record_id", "Trip.all", "Leg0.far", "Leg0_ran") == [
+        ("east", None, 30, False), ("north", None, 12, False), ("south", f"{text}/south", 31, True), ("west", f"{text}/west", 400, True)]
 
 
 def test_skip_reaches_dependencies(input_other):
