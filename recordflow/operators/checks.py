@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordflow.functions.text import ID_PLACEHOLDER, glob_to_regex
 from recordflow.operators.records import KEY, MissingLabel
+from recordflow.storage import sized
 
 
 class MissingOutput(RuntimeError):
@@ -52,8 +55,12 @@ def complete_ids(
 def split_complete(
     records: DataFrame, manifest: DataFrame, path_cols: Mapping[str, Column] | Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """``(done, todo)`` by :func:`complete_ids`."""
-    complete = complete_ids(records, manifest, path_cols)
+    """``(done, todo)`` by :func:`complete_ids`.
+
+    The complete ids are settled by one job, which reads the manifest once for both; while they are few, the records are
+    split where they are.
+    """
+    complete = sized(complete_ids(records, manifest, path_cols), "complete")
     return records.join(complete, KEY, "left_semi"), records.join(complete, KEY, "left_anti")
 
 
@@ -154,3 +161,41 @@ def temp_files(
 ) -> DataFrame:
     """The files that :func:`drop_temp` leaves out: those to delete."""
     return manifest.where(_is_temp(templates, path, record_id))
+
+
+def delete_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Delete files in the tasks; ``(path, deleted)`` of each, which is false for one that is not there.
+
+    Paths are plain, or URIs whose file system every executor reaches. Deleting is harmless to repeat: a task that is
+    tried again finds its files gone. Nothing happens before the result is used; using it twice deletes nothing new.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [name is not None and _delete(name) for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.bool_())], names=["path", "deleted"])
+
+    return files.select(F.col(path).cast("string").alias("path")).mapInArrow(run, "path string, deleted boolean")
+
+
+def _delete(name: str) -> bool:
+    if name.startswith("/") or name.startswith("file:"):
+        system, inside = fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+    else:
+        system, inside = fs.FileSystem.from_uri(name)
+    if system.get_file_info(inside).type != fs.FileType.File:
+        return False
+    try:
+        system.delete_file(inside)
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def delete_temp(
+    manifest: DataFrame, templates: Sequence[str], path: str = "path", record_id: str = KEY, location: str | None = None
+) -> DataFrame:
+    """Delete the files of :func:`temp_files`; ``(path, deleted)`` of each.
+
+    Globs see the column ``path``, relative to the record's folder; the file itself is at ``location``, if that is another column.
+    """
+    return delete_files(temp_files(manifest, templates, path, record_id), location or path)

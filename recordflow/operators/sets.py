@@ -64,12 +64,16 @@ def pass_through(records: DataFrame) -> DataFrame:
 def attach(records: DataFrame, name: str, out: DataFrame, skip: object = False) -> DataFrame:
     """Store the labels of ``out`` under ``name``; ids of ``out`` are the new set.
 
-    Ids missing from ``out`` are dropped and ids new in ``out`` are added.
+    Ids missing from ``out`` are dropped and ids new in ``out`` are added. An update has one row for each id: a
+    repeated one fails, found along the join's own partitioning. NULL ids are left to :func:`check_keys`.
     """
     if is_skipped(skip):
         return records
     labels = [F.col(f"`{c}`") for c in out.columns if c != KEY]
     update = out.select(KEY, F.struct(*labels).alias(name))
+    repeats = F.count(KEY).over(Window.partitionBy(KEY).orderBy(KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    problem = F.raise_error(F.concat(F.lit("repeated id in an update: "), KEY)).cast("boolean")
+    update = update.withColumn("__n", repeats).where(F.when(F.col("__n") <= 1, F.lit(True)).otherwise(problem)).drop("__n")
     return update.join(records.drop(name), KEY, "left").select(
         KEY, *[F.col(f"`{c}`") for c in records.columns if c not in (KEY, name)], F.col(f"`{name}`")
     )
@@ -146,12 +150,15 @@ def take_while(records: DataFrame, order: str | Column, predicate: Column) -> Da
 
     The order key must be unique. No global sort: one aggregate job finds the first failing
     key, a single value, and the result is a filter on a constant, which the scan uses to skip
-    what lies behind it. A NULL predicate fails.
+    what lies behind it. A NULL predicate fails. Records without an order key come last, in no order among
+    themselves: they stay if the predicate fails nowhere.
     """
     key = F.col(order) if isinstance(order, str) else order
     failing = records.where(~predicate | predicate.isNull())
-    stop = failing.agg(F.min(key).alias("stop")).first()["stop"]
-    return records if stop is None else records.where(key < F.lit(stop))
+    found = failing.agg(F.min(key).alias("stop"), F.count(F.lit(1)).alias("n")).first()
+    if found["stop"] is not None:
+        return records.where(key < F.lit(found["stop"]))
+    return records.where(key.isNotNull()) if found["n"] else records
 
 
 def every_nth(records: DataFrame, n: int, offset: int = 0, order: str | Sequence[str] = KEY) -> DataFrame:

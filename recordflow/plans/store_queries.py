@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordflow.operators.checks import missing_outputs, temp_files
+from recordflow.operators.checks import delete_temp, missing_outputs, temp_files
 from recordflow.operators.records import KEY, keyed_records
 from recordflow.operators.runlog import logged_step
 from recordflow.operators.steps import did_run, has_run, map_step, map_step_py
 from recordflow.plans.registry import cents, query, table
 from recordflow.plans.step_queries import TEMPORARY, temporary_manifest
+from recordflow.sources.files import list_files
 from recordflow.sources.loader import load_records
 from recordflow.sources.results import export_plan, load_results, purge_store, read_results, remove_from_store, write_results
 from recordflow.storage import scratch_path
@@ -66,12 +67,13 @@ def replaced_store(spark, sf_dir):
 
 @query(
     "load_results_many_labels",
-    """SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN doc_id = 0 THEN source END AS first, CASE WHEN doc_id = 7 THEN source END AS other
-    FROM documents WHERE doc_id IN (0, 7)""",
+    """SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN source IN ('src1', 'src3') THEN lang END AS odd, CASE WHEN source = 'src2' THEN lang END AS even
+    FROM documents WHERE source IN ('src1', 'src2', 'src3')""",
 )
-def one_of_many_labels(spark, sf_dir):
-    results = _by_source(spark, sf_dir).withColumns({"label": F.concat(F.lit("doc-"), F.col(KEY)), "value": F.col("step")})
-    return load_results(results, {"docs": [{"first": "doc-0"}, {"other": "doc-7"}]})
+def some_of_many_labels(spark, sf_dir):
+    """A label for each source; those asked for are shared by a part of the documents that grows with them."""
+    results = _by_source(spark, sf_dir).withColumns({"label": F.col("step"), "step": F.lit("Sort")})
+    return load_results(results, {"docs": [{"odd": "src1", "even": "src2"}, {"odd": "src3"}]})
 
 
 # Values beyond the exact range of doubles, beside NULLs.
@@ -165,6 +167,25 @@ def files_to_delete(spark, sf_dir):
     return temp_files(temporary_manifest(spark, sf_dir), TEMPORARY)
 
 
+@query(
+    "delete_temp",
+    "SELECT source, count(*) AS n_rows, 0::BIGINT AS deleted_again FROM documents WHERE NOT regexp_full_match(source, 'src1.') GROUP BY source",
+)
+def deleted_files(spark, sf_dir):
+    """A folder for each source, those of a glob deleted; a second run finds nothing to delete."""
+    path = scratch_path(spark, "folders")
+    table(spark, sf_dir, "documents").select("doc_id", "source").write.partitionBy("source").parquet(path)
+    inside = F.regexp_extract("path", "(source=[^/]*/[^/]*)$", 1)
+
+    def run():
+        manifest = list_files(spark, path, recursive=True).where("path LIKE '%.parquet'").select(F.lit("").alias(KEY), "path", inside.alias("inside"))
+        return delete_temp(manifest, ["source=src1?/part-*"], "inside", location="path").where("deleted").count()
+
+    again = [run(), run()][1]
+    left = spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return left.withColumn("deleted_again", F.lit(again).cast("long"))
+
+
 @query(
     "incremental_done_not_run",
     "SELECT CAST(event_id AS VARCHAR) AS record_id, CAST(round(value * 100) AS BIGINT) AS amount FROM events",
