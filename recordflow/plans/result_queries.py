@@ -22,9 +22,11 @@ from recordflow.sources.results import (
     load_results,
     purge_steps,
     read_results,
+    remove_from_store,
     remove_ids,
     write_results,
 )
+from recordflow.sources.store import open_store
 from recordflow.storage import scratch_path
 from recordflow.streaming.incremental import run_incremental
 
@@ -61,7 +63,7 @@ def _order_store(spark, sf_dir):
     """The same exports, written to a store and read back."""
     path = scratch_path(spark, "results")
     write_results(_order_results(spark, sf_dir), path)
-    return read_results(spark, path)
+    return open_store(spark, path)
 
 
 _ORDERS_CTE = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_orderstatus AS state, o_orderpriority AS priority,
@@ -109,19 +111,62 @@ def load_with_ids(spark, sf_dir):
     return load_results(_order_results(spark, sf_dir), {"billing": "amount"}, ids=ids)
 
 
-@query(
-    "latest_results",
-    _ORDERS_CTE + """ SELECT 'intake' AS pipeline, record_id, 'status' AS label, CASE WHEN price > 20000000 THEN 'large' ELSE state END AS value FROM o
+_LATEST = _ORDERS_CTE + """ SELECT 'intake' AS pipeline, record_id, 'status' AS label, CASE WHEN price > 20000000 THEN 'large' ELSE state END AS value FROM o
     UNION ALL SELECT 'intake', record_id, 'priority', priority FROM o
     UNION ALL SELECT 'intake', record_id, 'price', CAST(price AS VARCHAR) FROM o
     UNION ALL SELECT 'intake', record_id, 'grade', concat(state, '-L') FROM o WHERE price > 20000000
     UNION ALL SELECT 'billing', record_id, 'status', 'billed' FROM o WHERE state = 'F'
-    UNION ALL SELECT 'billing', record_id, 'amount', CAST(price * 2 AS VARCHAR) FROM o WHERE state = 'F'""",
-)
+    UNION ALL SELECT 'billing', record_id, 'amount', CAST(price * 2 AS VARCHAR) FROM o WHERE state = 'F'"""
+
+
+@query("latest_results", _LATEST)
 def last(spark, sf_dir):
     return latest(_order_results(spark, sf_dir))
 
 
+@query("latest_store", _LATEST)
+def last_stored(spark, sf_dir):
+    return latest(_order_store(spark, sf_dir))
+
+
+@query(
+    "load_results_store",
+    _ORDERS_CTE + " SELECT record_id, concat(state, '-L') AS kind FROM o WHERE price > 20000000",
+)
+def load_stored_label(spark, sf_dir):
+    """A single label of one step: a projection of its partition."""
+    return load_results(_order_store(spark, sf_dir), {"intake": {"kind": "grade"}})
+
+
+@query(
+    "store_labels",
+    _ORDERS_CTE + """ SELECT 'intake' AS pipeline, 'Read' AS step, label, count(*) AS n FROM o, (VALUES ('status'), ('priority'), ('price')) l(label) GROUP BY label
+    UNION ALL SELECT 'intake', 'Grade', label, count(*) FROM o, (VALUES ('status'), ('grade')) l(label) WHERE price > 20000000 GROUP BY label
+    UNION ALL SELECT 'billing', 'Bill', label, count(*) FROM o, (VALUES ('status'), ('amount')) l(label) WHERE state = 'F' GROUP BY label""",
+)
+def catalogue(spark, sf_dir):
+    return _order_store(spark, sf_dir).labels.select("pipeline", "step", "label", "n")
+
+
+@query(
+    "store_versions",
+    _ORDERS_CTE + """ SELECT CAST(1 AS BIGINT) AS version, record_id, state AS value FROM o
+    UNION ALL SELECT 2, record_id, lower(state) FROM o WHERE price > 20000000
+    UNION ALL SELECT 3, record_id, lower(state) FROM o WHERE price > 20000000 AND state <> 'F'""",
+)
+def versions(spark, sf_dir):
+    """What readers of each version see: the first write, a re-run, and the store after ids were removed."""
+    path = scratch_path(spark, "results")
+    read = _order_results(spark, sf_dir).where("step = 'Read' AND label = 'status'")
+    large = keyed_records(table(spark, sf_dir, "orders"), "o_orderkey", {"price": cents("o_totalprice"), "state": F.col("o_orderstatus")})
+    write_results(read, path)
+    again = read.join(large.where("price > 20000000").select(KEY), KEY, "left_semi")
+    write_results(again.withColumn("value", F.lower("value")), path, pipeline="intake")
+    remove_from_store(spark, path, large.where("state = 'F'").select(KEY))
+    seen = [read_results(spark, path, v).select(F.lit(v).cast("long").alias("version"), KEY, "value") for v in (1, 2, 3)]
+    return seen[0].union(seen[1]).union(seen[2])
+
+
 @query(
     "results_store",
     _ORDERS_CTE + """ SELECT 'Grade' AS step, label, count(*) AS n, count(DISTINCT record_id) AS n_records

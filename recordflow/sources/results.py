@@ -1,4 +1,4 @@
-"""Results store: exported labels in long form, one partition per pipeline and step.
+"""Results: exported labels in long form, kept in a versioned store with one partition per pipeline and step.
 
 ``(pipeline, step, step_no INT, record_id, label, value STRING)``
 """
@@ -6,8 +6,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
-from urllib.parse import unquote
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,9 +17,9 @@ from recordflow.functions.text import ROOT, export_name
 from recordflow.operators.checks import require_labels
 from recordflow.operators.lineage import downstream
 from recordflow.operators.records import KEY
-from recordflow.storage import Files, sized
+from recordflow.sources.store import Partition, Snapshot, StoreChanged, open_store, publish, write_batch
+from recordflow.storage import sized
 
-RESULTS_SCHEMA = "step_no int, record_id string, label string, value string, pipeline string, step string"
 ALL = "all"
 
 Request = str | Mapping[str, str] | Sequence[str | Mapping[str, str]]
@@ -63,70 +62,45 @@ def export_results(
     return export_steps(records, {step: labels}, run, step_no)
 
 
-def _partitions(store: Files) -> list[tuple[str, str]]:
-    """Folders ``(pipeline=..., step=...)`` of a store: the steps of programs, not data."""
-    return [(p, s) for p in store.folders() if p.startswith("pipeline=") for s in store.at(p).folders() if s.startswith("step=")]
+def write_results(results: DataFrame, path: str, pipeline: str | None = None, steps: Sequence[str] | None = None) -> int:
+    """Store results as a new version, whose number is returned; the written pipelines and steps are replaced as a whole.
 
+    With ``pipeline``, stored steps of that pipeline without rows in ``results`` go too: all of them, or those
+    of ``steps``. So a re-run leaves nothing of steps that no longer run.
+    """
+    new = write_batch(results, path)
+    written = {p.key for p in new}
 
-def _named(partition: tuple[str, str]) -> tuple[str | None, str | None]:
-    """Pipeline and step of a partition's folders."""
-    values = [unquote(folder.partition("=")[2]) for folder in partition]
-    return tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values)
+    def change(held: list[Partition]) -> list[Partition]:
+        stale = lambda p: pipeline is not None and p.pipeline == pipeline and (steps is None or p.step in steps)
+        return [p for p in held if p.key not in written and not stale(p)] + new
 
+    return publish(results.sparkSession, path, change)
 
-def _swap(store: Files, new: Files, drop: Sequence[tuple[str, str]] = ()) -> None:
-    """Put the partitions of ``new`` in place of the store's, and drop others.
 
-    Whole folders are renamed; what they replace is deleted last, so a failure half way loses nothing.
-    """
-    old = store.beside("replaced")
-    for p, s in _partitions(new):
-        target = store.at(p).at(s)
-        if target.exists():
-            target.move_to(old.at(p).at(s))
-        new.at(p).at(s).move_to(target)
-    for p, s in drop:
-        target = store.at(p).at(s)
-        if target.exists():
-            target.move_to(old.at(p).at(s))
-    if old.exists():
-        old.delete()
-    new.delete()
-
-
-def write_results(results: DataFrame, path: str, pipeline: str | None = None, steps: Sequence[str] | None = None) -> None:
-    """Store results; the partitions of the written pipelines and steps are replaced as a whole.
-
-    Results are written beside the store and moved into it. With ``pipeline``, stored steps of that
-    pipeline without rows in ``results`` go too: all of them, or those of ``steps``. So a re-run leaves
-    nothing of steps that no longer run.
-    """
-    spark = results.sparkSession
-    store = Files(spark, path)
-    new = store.beside("writing")
-    results.write.partitionBy("pipeline", "step").parquet(new.name)
-    written = set(_partitions(new))
-    drop = []
-    if pipeline is not None:
-        for partition in _partitions(store):
-            run, step = _named(partition)
-            if partition not in written and run == pipeline and (steps is None or step in steps):
-                drop.append(partition)
-    _swap(store, new, drop)
-
-
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The stored results; filters on pipeline and step prune partitions."""
-    return spark.read.schema(RESULTS_SCHEMA).parquet(path)
-
-
-def latest(results: DataFrame) -> DataFrame:
-    """The value of the last step for each pipeline, record and label."""
-    place = F.struct("step_no", "step")
-    return results.groupBy("pipeline", KEY, "label").agg(F.max_by("value", place).alias("value"))
+def read_results(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored results, now or at a version; filters on pipeline and step prune partitions."""
+    return open_store(spark, path, version).results
+
 
+def latest(results: DataFrame | Snapshot) -> DataFrame:
+    """The value of the last step for each pipeline, record and label.
 
-def _pairs(run: str, request: Request, present: Mapping[str, set[str]]) -> list[tuple[str, str]]:
+    In a store, labels that one step alone exports are found in the catalogue and passed on as they are.
+    """
+    place = F.struct("step_no", "step")
+    columns = ["pipeline", KEY, "label", "value"]
+    if not isinstance(results, Snapshot):
+        return results.groupBy("pipeline", KEY, "label").agg(F.max_by("value", place).alias("value"))
+    steps = results.labels.groupBy("pipeline", "label").agg(F.count_distinct("step_no", "step").alias("n"))
+    shared = sized(steps.where("n > 1").select("pipeline", "label"), "shared-labels")
+    alone = results.results.join(shared, ["pipeline", "label"], "left_anti").select(*columns)
+    if shared.isEmpty():
+        return alone
+    return alone.union(latest(results.results.join(shared, ["pipeline", "label"], "left_semi")).select(*columns))
+
+
+def _pairs(run: str, request: Request, present: Mapping[str, Iterable[str]]) -> list[tuple[str, str]]:
     """``(to, from)`` label pairs of one pipeline's request, in order."""
     if isinstance(request, str):
         return [(x, x) for x in sorted(present[run])] if request == ALL else [(request, request)]
@@ -156,34 +130,44 @@ class _Everything(dict):
         return {ALL}
 
 
-def _present(wanted: DataFrame, spec: Mapping[str, Request]) -> dict[str, set[str]]:
-    """Labels by pipeline, of those asked for."""
+# By pipeline and label, the steps that export it; none are known for results without a catalogue.
+Present = dict[str, dict[str, set[str | None]]]
+
+
+def _present(source: DataFrame | Snapshot, spec: Mapping[str, Request]) -> Present:
+    """Labels by pipeline, of those asked for, with their steps: from the catalogue, or from the rows."""
     named = F.lit(False)
     for run, request in spec.items():
         asked = _asked(run, request)
         mine = F.col("pipeline") == run
         named = named | (mine if ALL in asked else mine & F.col("label").isin(sorted(asked)))
-    present: dict[str, set[str]] = {}
-    for row in wanted.where(named).select("pipeline", "label").distinct().collect():
-        present.setdefault(row["pipeline"], set()).add(row["label"])
+    known = isinstance(source, Snapshot)
+    names = source.labels if known else source
+    present: Present = {}
+    for row in names.where(named).select("pipeline", "label", *["step"] * known).distinct().collect():
+        present.setdefault(row["pipeline"], {}).setdefault(row["label"], set()).update([row["step"]] if known else [])
     for run in spec:
         if run not in present:
-            if wanted.where(F.col("pipeline") == run).isEmpty():
+            if names.where(F.col("pipeline") == run).isEmpty():
                 raise ImproperInput(f"no results of {run}")
-            present[run] = set()
+            present[run] = {}
     return present
 
 
-def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame | None = None) -> DataFrame:
+def load_results(results: DataFrame | Snapshot, spec: Mapping[str, Request], ids: DataFrame | None = None) -> DataFrame:
     """Exported labels of other pipelines as a record set, one text column per label.
 
     ``spec`` maps a pipeline to ``"all"``, a label, ``{to: from}`` or a list of these; for one
     target requested twice the later request wins where it has a value. The name ``root`` is
-    ignored. ``ids`` adds records that exported nothing. An unknown pipeline or label is an error, found by one
-    aggregate of the names that are asked for; only ``"all"`` needs those of a whole pipeline.
+    ignored. ``ids`` adds records that exported nothing. An unknown pipeline or label is an error.
+
+    A store (:func:`open_store`) tells from its catalogue which labels there are and which steps hold them: only
+    those partitions are read, no result row is read for names, and a single label of one step is a projection.
+    For a table of results the names asked for are found by one aggregate over its rows, which computes a lazy table twice.
     """
     spec = {run: request for run, request in spec.items() if run != ROOT}
-    wanted = results.where(F.col("pipeline").isin(list(spec)))
+    known = isinstance(results, Snapshot)
+    wanted = results if known else results.where(F.col("pipeline").isin(list(spec)))
     present = _present(wanted, spec)
     place = F.struct("step_no", "step")
     targets: dict[str, list[Column]] = {}
@@ -196,12 +180,21 @@ def load_results(results: DataFrame, spec: Mapping[str, Request], ids: DataFrame
             value = F.max_by(F.when(mine, F.col("value")), F.when(mine, place))
             targets.setdefault(target, []).insert(0, value)
             sources.setdefault(run, []).append(label)
-    requested = F.lit(False)
+    requested, steps = F.lit(False), set()
     for run, labels in sources.items():
-        requested = requested | ((F.col("pipeline") == run) & F.col("label").isin(labels))
-    loaded = wanted.where(requested).groupBy(KEY).agg(
-        *[(F.coalesce(*values) if len(values) > 1 else values[0]).alias(target) for target, values in targets.items()]
-    )
+        mine = (F.col("pipeline") == run) & F.col("label").isin(labels)
+        if known:
+            holding = {s for label in labels for s in present[run][label]}
+            steps |= {(run, s) for s in holding}
+            mine = mine & (F.col("step").isin([s for s in holding if s is not None]) | F.lit(None in holding) & F.col("step").isNull())
+        requested = requested | mine
+    rows = (wanted.results if known else wanted).where(requested)
+    if known and len(targets) == 1 and len(steps) == 1 and sum(map(len, sources.values())) == 1:
+        loaded = rows.select(KEY, F.col("value").alias(*targets))
+    else:
+        loaded = rows.groupBy(KEY).agg(
+            *[(F.coalesce(*values) if len(values) > 1 else values[0]).alias(target) for target, values in targets.items()]
+        )
     if ids is None:
         return loaded
     return ids.select(KEY).distinct().join(loaded, KEY, "full_outer")
@@ -227,43 +220,43 @@ def purge_steps(results: DataFrame, edges: DataFrame, steps: DataFrame) -> DataF
 
 
 def purge_store(spark: SparkSession, path: str, edges: DataFrame, steps: DataFrame) -> list[tuple[str, str]]:
-    """Delete the results of ``steps`` (column ``node``) and of every step that requires them.
+    """Leave out the results of ``steps`` (column ``node``) and of every step that requires them from a new version.
 
-    Whole partitions go, nothing is read or written; returns the ``(pipeline, step)`` deleted.
+    Whole partitions go, nothing is read or written; returns the ``(pipeline, step)`` left out.
     """
-    store = Files(spark, path)
-    partitions = _partitions(store)
-    stored = spark.createDataFrame([(_named(p)[1],) for p in partitions], "step string")
+    now = open_store(spark, path)
+    stored = spark.createDataFrame([(p.step,) for p in now.partitions], "step string")
     stale = downstream(edges, steps).select(F.col("node").cast("string").alias("step")).distinct()
     # At most one name for each partition.
     gone = {row["step"] for row in stored.distinct().join(stale, "step", "left_semi").collect()}
-    dropped = [p for p in partitions if _named(p)[1] in gone]
-    for p, s in dropped:
-        store.at(p).at(s).delete()
-    return [_named(p) for p in dropped]
+    dropped = [p.key for p in now.partitions if p.step in gone]
+    if dropped:
+        publish(spark, path, lambda held: [p for p in held if p.step not in gone])
+    return dropped
 
 
 def remove_from_store(spark: SparkSession, path: str, ids: DataFrame) -> list[tuple[str, str]]:
-    """Remove all results of ``ids`` from the store; returns the ``(pipeline, step)`` it touched.
+    """Remove all results of ``ids`` in a new version; returns the ``(pipeline, step)`` it touched.
 
-    Only partitions with such ids are written anew; those that end up empty are dropped.
+    Only partitions with such ids are written anew; those that end up empty are left out. If another writer
+    replaces one of them meanwhile, nothing is published and :class:`StoreChanged` is raised.
     """
-    store = Files(spark, path)
+    now = open_store(spark, path)
     gone = sized(ids.select(KEY).distinct(), "removed")
-    results = read_results(spark, path)
     # One row for each partition at most.
-    touched = [tuple(r) for r in results.join(gone, KEY, "left_semi").select("pipeline", "step").distinct().collect()]
+    touched = {tuple(r) for r in now.results.join(gone, KEY, "left_semi").select("pipeline", "step").distinct().collect()}
     if not touched:
         return []
-    folders = {_named(p): p for p in _partitions(store)}
-    mine = F.lit(False)
-    for run, step in touched:
-        mine = mine | (F.col("pipeline").eqNullSafe(F.lit(run)) & F.col("step").eqNullSafe(F.lit(step)))
-    new = store.beside("writing")
-    results.where(mine).join(gone, KEY, "left_anti").write.partitionBy("pipeline", "step").parquet(new.name)
-    left = set(_partitions(new))
-    _swap(store, new, [folders[t] for t in touched if folders[t] not in left])
-    return touched
+    old = [p for p in now.partitions if p.key in touched]
+    new = write_batch(Snapshot(spark, path, now.version, old).results.join(gone, KEY, "left_anti"), path)
+
+    def change(held: list[Partition]) -> list[Partition]:
+        if any(p not in held for p in old):
+            raise StoreChanged(f"{path} was changed while ids were removed from it")
+        return [p for p in held if p.key not in touched] + new
+
+    publish(spark, path, change)
+    return sorted(touched, key=repr)
 
 
 def export_plan(records: DataFrame, step: str, labels: Sequence[str], folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +87,36 @@ class Files:
         return sorted(n for n in found if not n.startswith(("_", ".")))
 
 
+    def names(self) -> list[str]:
+        """Names of everything inside."""
+        return sorted(x.getPath().getName() for x in self.system.listStatus(self.path)) if self.exists() else []
+
+    def modified(self) -> float:
+        """Time of the last change, in seconds."""
+        return self.system.getFileStatus(self.path).getModificationTime() / 1000
+
+    def create_text(self, text: str) -> bool:
+        """Create a small file; whether it was not there."""
+        try:
+            out = self.system.create(self.path, False)
+        except Py4JJavaError as err:
+            if "AlreadyExists" in err.java_exception.getClass().getName() or self.exists():
+                return False
+            raise
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+        return True
+
+    def read_text(self) -> str:
+        stream = self.system.open(self.path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+
 def write_once(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """``write`` a table beside ``path`` and move it there, unless a whole copy is there already.
 
