@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from recordflow.operators.records import KEY, check_keys, input_ids, keyed_records, merge_records, union_ids
@@ -12,6 +14,7 @@ from recordflow.plans.registry import query, table
 from recordflow.sources.files import files_to_records, list_files, stage_input
 from recordflow.sources.loader import load_records
 from recordflow.sources.sequences import fasta_lines, fastq_lines, read_fasta, read_fastq, read_gff3, write_lines
+from recordflow.sources.user_source import load_source
 from recordflow.storage import scratch_path
 
 
@@ -230,3 +233,34 @@ def _pairs_of(part):
 def loaded(spark, sf_dir):
     parts = table(spark, sf_dir, "events").select("event_id", "props")
     return load_records(parts, _pairs_of, "record_id string, label string, number long")
+
+
+class _PricesByFolder:
+    """Loads orders that Spark wrote as text, a folder for each priority, with pyarrow."""
+
+    schema = f"{KEY} string, status string, price long"
+
+    def __init__(self, path):
+        self.path = path
+
+    def plan(self, keys):
+        system, root = fs.FileSystem.from_uri(self.path)
+        return sorted(f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.extension == "txt")
+
+    def load(self, piece, keys, labels):
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_stream(piece) as stream:
+            for line in stream.read().decode().splitlines():
+                key, status, price = line.split("\t")
+                yield {KEY: key, "status": status, "price": int(price)}
+
+
+@query(
+    "load_source",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders""",
+)
+def from_user_source(spark, sf_dir):
+    path = scratch_path(spark, "prices")
+    line = F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))
+    table(spark, sf_dir, "orders").select(line.alias("value"), "o_orderpriority").write.partitionBy("o_orderpriority").text(path)
+    return load_source(spark, _PricesByFolder(re.sub("^file:/+", "file:///", path)), labels=["price"])

@@ -5,13 +5,14 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from recordflow.operators.records import KEY
+from recordflow.storage import cut_counted, scratch_path
+from recordflow.streaming.id_index import IdIndex
 
 
 class _RowCounter(StreamingQueryListener):
@@ -57,7 +58,8 @@ def run_incremental(
     The stream's checkpoint remembers the files, so calling this again takes up only new ones, at
     most ``max_files`` in each batch. ``skip_done`` leaves out records whose id is already in ``out``
     before the steps run, which makes a repeated batch harmless; of several rows of one id in a batch
-    one is taken. Set steps look at a whole set and belong in a batch run.
+    one is taken, and records without an id always are. Ids are looked up in an index beside the output, in the buckets of the batch alone
+    (:mod:`recordflow.streaming.id_index`). Set steps look at a whole set and belong in a batch run.
     """
     reader = spark.readStream.schema(schema)
     if max_files is not None:
@@ -65,15 +67,21 @@ def run_incremental(
     stream = reader.parquet(source)
     if skip_done:
 
+        index = IdIndex(spark, out)
+        index.open()
+
         def append_new(batch: DataFrame, _: int) -> None:
-            new = _one_version(batch)
+            rows = _one_version(batch).persist()
             try:
-                done = batch.sparkSession.read.schema(f"{KEY} string").parquet(out)
-                new = new.join(done, KEY, "left_anti").select(*batch.columns)
-            except AnalysisException as err:
-                if err.getCondition() != "PATH_NOT_FOUND":
-                    raise
-            steps(new).write.mode("append").parquet(out)
+                index.begin()
+                fresh = rows.select(KEY).join(index.done(rows), KEY, "left_anti")
+                fresh, counts = cut_counted(fresh, scratch_path(spark, "new-ids"), known=F.count(KEY))
+                index.add(fresh.where(F.col(KEY).isNotNull()), counts["known"])
+                new = rows.join(fresh.withColumnRenamed(KEY, "__new"), F.col(KEY).eqNullSafe(F.col("__new")), "left_semi")
+                steps(new).write.mode("append").parquet(out)
+                index.end()
+            finally:
+                rows.unpersist()
 
         writer = stream.writeStream.foreachBatch(append_new)
     else:
