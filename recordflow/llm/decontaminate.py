@@ -274,7 +274,7 @@ def _start(words: np.ndarray, before: np.ndarray, distance: int) -> int:
 def search(index: ItemIndex, texts: pa.Array) -> list[list[tuple[int, int, int, int]]]:
     """Matches ``(item, edits, first word, word after)`` of each text, by item."""
     out: list[list] = [[] for _ in range(len(texts))]
-    for chunk in tb.chunks(texts):
+    for chunk in tb.chunks(texts, tb.WIDE_CHUNK_BYTES):
         found = tb.spans(chunk, _WORD)
         words = index.symbols(tb.word_hashes(chunk, found, lower=True))
         ends = np.cumsum(tb.counts(found.text, chunk.size)) + np.arange(chunk.size)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from recordflow.llm import textbytes as tb
 from recordflow.llm.components import components
+from recordflow.llm.tables import bound_batches
 from recordflow.storage import broadcast_if_small, cut
 
 SHINGLE = 5
@@ -181,6 +182,7 @@ class NgramJoin:
         if width != SHINGLE:
             raise ValueError(f"shingles have {SHINGLE} words")
         self.spark, self.percent = docs.sparkSession, percent
+        bound_batches(self.spark)
         self.docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
         self.docs_of_nodes, self.classes = self._run()
 

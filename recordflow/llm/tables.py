@@ -5,19 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordflow.storage import cut
 
 
+# Setting of Spark that bounds the bytes of an Arrow batch, on both sides, and its value here.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold a few megabytes of text at most, unless the session says how many."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def map_column(docs: DataFrame, column: str, keep: Sequence[str], results: dict[str, str],
                fn: Callable[[pa.Array], list[pa.Array]], key: str = "__in") -> DataFrame:
     """``keep`` columns and the arrays ``fn`` makes of each batch of ``column``, by Arrow batches.
 
     Only ``keep`` and ``column`` reach Python, each once; order and number of rows stay.
     """
+    bound_batches(docs.sparkSession)
     names = list(keep)
     own = column in names and dict(docs.dtypes)[column] == "string"
     place = names.index(column) if own else len(names)

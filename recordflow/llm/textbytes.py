@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 * 1024 * 1024
+CHUNK_BYTES = 256 * 1024
+# For work that gains from seeing many texts at once.
+WIDE_CHUNK_BYTES = 1024 * 1024
 
 _U = np.uint64
 

@@ -96,7 +96,7 @@ class _Counter:
 
     def batch(self, texts: pa.Array) -> list[pa.Array]:
         words, tokens = [], []
-        for chunk in tb.chunks(texts):
+        for chunk in tb.chunks(texts, tb.WIDE_CHUNK_BYTES):
             found = tb.words(chunk)
             hashes, first, inverse = np.unique(tb.word_hashes(chunk, found), return_index=True, return_inverse=True)
             n_tokens = self._known(chunk, found, hashes, first)[inverse] if len(hashes) else np.zeros(0, np.int64)
