@@ -1,20 +1,24 @@
 """Licence scan: ordered signature rules over the words of whole texts.
 
 Words are runs of digits, letters a-z and characters beyond ASCII, in lower case. A rule is tried only in texts
-with its keyword. Of its detections, one inside another's interval is left out; of two on one
-interval, or that overlap, the one with the lower priority number stays. The base phrases are counted apart
+with its keyword; texts without any of a few gates are done before that. Detections are ordered by start, the longer and
+then the lower priority number first, and swept once: one inside the last that was kept is left out; of two that overlap
+the one with the lower priority number stays, the first of equals. The base phrases are counted apart
 and always give their labels.
 
 NULL texts count as empty; repeated rows are scanned one by one; an empty table gives an empty result. Only
-built-in functions run, in one pass without a shuffle; texts without a keyword cost that test alone.
+built-in functions run, in one pass without a shuffle. A text with d detections of a rule takes two passes of its pattern
+and d log d steps, so texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordflow.llm.license_rules import rules
+from recordflow.llm.license_rules import GATES, rules
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -34,40 +38,63 @@ def _n_words(padded: Column) -> Column:
     return (F.length(padded) - F.length(F.replace(padded, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
+RULE = "array<struct<keyword: string, pattern: string, label: string, priority: int, weight: double>>"
+
+
 def _rule_table() -> Column:
-    return F.array(*[
-        F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"),
-                 F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
-        for r in rules()
-    ])
+    """All rules as one constant."""
+    rows = [{"keyword": r.keyword, "pattern": f"(?<= )(?:{r.pattern})(?= )", "label": r.label, "priority": r.priority, "weight": r.weight} for r in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), RULE)
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of an array up to each place, by doubling the reach of each entry."""
+    def doubled(sums: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= reach, F.get(sums, i - reach)).otherwise(0))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, sizes, doubled)
 
 
 def _detections(norm: Column, rule: Column) -> Column:
     """Intervals of one rule's matches, from the lengths of what stands between and in them."""
     gaps = F.transform(F.split(norm, rule["pattern"], -1), F.length)
     found = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.length)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, size: F.struct((gap + size).alias("step"), size.alias("size")))
+    stops = _running(F.transform(steps, lambda s: s["step"]))
 
-    def interval(size: Column, k: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), k + 1)) + total(F.slice(found, F.lit(1), k))
-        return F.struct(start.alias("start"), (start + size).alias("stop"), rule["label"].alias("label"),
-                        rule["priority"].alias("priority"), rule["weight"].alias("weight"))
+    def interval(size: Column, stop: Column) -> Column:
+        return F.struct((stop - size).alias("start"), (-stop).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["weight"].alias("weight"))
 
-    return F.transform(found, interval)
+    return F.zip_with(F.transform(steps, lambda s: s["size"]), stops, interval)
+
+
+_SWEEP = "struct<labels: array<string>, weight: double, stop: int, priority: int, label: string, own: double>"
 
 
 def _resolved(found: Column) -> Column:
-    def beaten(d: Column) -> Column:
-        def beats(e: Column) -> Column:
-            longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-            inside = (e["start"] <= d["start"]) & (e["stop"] >= d["stop"]) & longer
-            overlap = (e["start"] < d["stop"]) & (d["start"] < e["stop"])
-            holds = (d["start"] <= e["start"]) & (d["stop"] >= e["stop"]) & ~longer & ((d["stop"] - d["start"]) > (e["stop"] - e["start"]))
-            return inside | (overlap & ~holds & (e["priority"] < d["priority"]))
+    """``(labels, weight)`` of the detections that stay; the last one kept is held back, as the next may take its place."""
+    def state(labels: Column, weight: Column, d: Column) -> Column:
+        return F.struct(labels.alias("labels"), weight.alias("weight"), (-d["back"]).alias("stop"), d["priority"].alias("priority"),
+                        d["label"].alias("label"), d["weight"].alias("own")).cast(_SWEEP)
+
+    def counted(s: Column) -> tuple[Column, Column]:
+        new = s["label"].isNotNull() & ~F.array_contains(s["labels"], F.coalesce(s["label"], F.lit("")))
+        return F.when(new, F.array_append(s["labels"], s["label"])).otherwise(s["labels"]), F.greatest(s["weight"], F.coalesce(s["own"], F.lit(0.0)))
+
+    def step(s: Column, d: Column) -> Column:
+        inside, overlaps = -d["back"] <= s["stop"], d["start"] < s["stop"]
+        replaced = F.when(d["priority"] < s["priority"], state(s["labels"], s["weight"], d)).otherwise(s)
+        return F.when(inside, s).when(overlaps, replaced).otherwise(state(*counted(s), d))
+
+    start = F.from_json(F.lit('{"labels": [], "weight": 0.0, "stop": -1, "priority": 0}'), _SWEEP)
 
-        return F.exists(found, beats)
+    def end(s: Column) -> Column:
+        labels, weight = counted(s)
+        return F.struct(labels.alias("labels"), weight.alias("weight"))
 
-    return F.filter(found, lambda d: ~beaten(d))
+    return F.aggregate(F.array_sort(found), start, step, end)
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -76,29 +103,27 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     kept = [F.col(f"`{c}`") for c in keep]
     table = docs.select(*kept, normal_text(F.col(f"`{text}`")).alias("__norm"))
     norm = F.col("__norm")
-    keywords = sorted({r.keyword for r in rules()} | {"general"})
-    present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(norm, k))
-    table = table.select(*kept, norm, _n_words(norm).alias("n_words"), present.alias("__present"))
-    some = F.size("__present") > 0
+    gated = F.exists(F.array(*map(F.lit, [*GATES, *BASE])), lambda g: F.contains(norm, g))
+    table = table.select(*kept, norm, _n_words(norm).alias("n_words"), gated.alias("__some"))
+    some = F.col("__some")
     gaps, phrases = F.split(norm, _BASE, -1), F.regexp_extract_all(norm, F.lit(_BASE), F.lit(0))
     table = table.withColumn("__phrases", F.when(some, phrases).otherwise(F.array().cast("array<string>")))
     hit = F.size("__phrases") > 0
     first = _n_words(F.element_at(gaps, 1))
     last = F.col("n_words") - _n_words(F.element_at(gaps, -1)) - _words_of(F.element_at("__phrases", -1))
     base = F.array_sort(F.array_distinct(F.transform("__phrases", _base_label)))
-    open_rules = F.filter(_rule_table(), lambda r: F.array_contains(F.col("__present"), r["keyword"]))
+    open_rules = F.filter(_rule_table(), lambda r: F.contains(norm, r["keyword"]))
     found = F.flatten(F.transform(open_rules, lambda r: _detections(norm, r)))
     table = table.select(
         *kept, "n_words", F.size("__phrases").cast("long").alias("n_base"), F.when(hit, first).alias("first_word"),
         F.when(hit, last).alias("last_word"), base.alias("__base"), F.when(some, found).alias("__found"),
     )
-    table = table.withColumn("__found", F.when(F.size("__found") > 0, _resolved(F.col("__found"))))
-    own = F.coalesce(F.transform("__found", lambda d: d["label"]), F.array().cast("array<string>"))
-    weight = F.coalesce(F.array_max(F.transform("__found", lambda d: d["weight"])), F.lit(0.0))
+    table = table.withColumn("__kept", F.when(F.size("__found") > 0, _resolved(F.col("__found"))))
+    own = F.coalesce("__kept.labels", F.array().cast("array<string>"))
     return table.select(
         *kept, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(F.col("__base"), own))), ",").alias("labels"),
-        F.greatest(weight, F.when(F.size("__base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce("__kept.weight", F.lit(0.0)), F.when(F.size("__base") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 
