@@ -2,15 +2,18 @@
 
 Legal turns: at most one ``system`` turn at the start, then ``user`` and ``assistant`` in turn, an
 assistant's last. Each turn of a conversation is kept, merged into the turn before, or given another
-role, and empty turns are put in, so that the whole costs least (:data:`COSTS`; of equal costs, the
-first of keep, merge, relabel, insert, and the first state, wins). The costs of a turn are a matrix over
-the states of this automaton, and those of many turns its min-plus product. So a conversation may span
-any number of partitions: each gives the matrix of the conversations at its ends, the driver fixes
+role, and empty turns are put in, so that the whole costs least (:data:`COSTS`). Of repairs that cost the same the one
+wins whose sequence of states comes first, and for one step between two states the first of keep, merge,
+relabel, insert. The costs of a turn are a matrix over
+the states of this automaton, and those of many turns its min-plus product; beside each cost stands the place of its sequence
+among those to the other states, which makes ties the same in a product as in its factors. So a conversation may span
+any number of partitions, and its repair does not depend on them: each gives the matrix of the conversations at its ends, the driver fixes
 the states at the borders (two rows for each partition), and each partition repairs its own turns.
 
-Turns are range-sorted by conversation, turn, role and text; NULLs first. Result: one row for each
-turn, whose ``rendered`` pieces in the order of ``place`` are the formatted conversation. Roles are read in any
-case and by their usual synonyms; an unknown or NULL role is relabelled. NULL texts count as empty; ``<|``
+Turns are range-sorted by conversation, turn, role and text hash; NULLs first, so ties of ``turn`` are settled by role, then by hash.
+Result: one row for each turn, numbered by ``place`` from 0 in its conversation, whose ``rendered`` pieces in that order
+are the formatted conversation. Roles are read in any case and by their usual synonyms; an unknown or NULL role is relabelled.
+NULL texts count as empty; texts of any length are taken whole, a batch of them at a time; ``<|``
 inside a text becomes ``< |``, so that no text can end its turn. Repeated turns are turns of their own; a
 NULL ``conv_id`` is a conversation; an empty table gives an empty result. Other columns are not carried.
 """
@@ -74,20 +77,43 @@ MOVES = {role: _moves(role) for role in range(4)}
 ENDS = {state: _inserted(state)[ASSISTANT] for state in range(4)}
 
 
-def _step(costs: list[int], role: int) -> tuple[list[int], list[int]]:
+# For each state: least cost, and the place of the first sequence of that cost among those to the other states.
+Front = tuple[list[int], list[int]]
+
+
+def _from(state: int) -> Front:
+    return [0 if s == state else FOREVER for s in range(4)], list(range(4))
+
+
+def _join(front: Front, cost: dict[tuple[int, int], int], order: dict[tuple[int, int], int]) -> tuple[Front, list[int]]:
+    """Front behind one more piece with costs and orders of ``(state before, state behind)``, and the states before."""
+    costs, ranks = front
     new, back = [FOREVER] * 4, [-1] * 4
-    for (state, to), (cost, _, _) in MOVES[role].items():
-        if costs[state] + cost < new[to]:
-            new[to], back[to] = costs[state] + cost, state
-    return new, back
+    for (state, to), more in sorted(cost.items()):
+        if costs[state] < FOREVER and more < FOREVER:
+            least = (costs[state] + more, ranks[state])
+            if back[to] < 0 or least < (new[to], ranks[back[to]]):
+                new[to], back[to] = least[0], state
+    placed = sorted(range(4), key=lambda to: (new[to] >= FOREVER, ranks[back[to]] if back[to] >= 0 else 0, order.get((back[to], to), to)))
+    return (new, [placed.index(to) for to in range(4)]), back
+
+
+_STEP_COSTS = {role: {k: c for k, (c, _, _) in moves.items()} for role, moves in MOVES.items()}
+_STEP_ORDER = {(state, to): to for state in range(4) for to in range(4)}
+
+
+def _step(front: Front, role: int) -> tuple[Front, list[int]]:
+    return _join(front, _STEP_COSTS[role], _STEP_ORDER)
 
 
-def _from(state: int) -> list[int]:
-    return [0 if s == state else FOREVER for s in range(4)]
+def _last(front: Front) -> tuple[int, int]:
+    """Least whole cost and the state behind the last turn."""
+    total, _, state = min((front[0][s] + ENDS[s][0], front[1][s], s) for s in range(4))
+    return total, state
 
 
-def product(matrix: list[list[int]], role: int) -> list[list[int]]:
-    """Costs from each state at the start to each state behind one more turn."""
+def product(matrix: list[Front], role: int) -> list[Front]:
+    """Fronts from each state at the start, behind one more turn."""
     return [_step(row, role)[0] for row in matrix]
 
 
@@ -96,14 +122,11 @@ def repair(roles: list[int], entry: int = START, leave: int | None = None) -> tu
 
     ``entry`` is the state before the first turn, ``leave`` that behind the last, or NULL where the conversation ends.
     """
-    costs, backs = _from(entry), []
+    front, backs = _from(entry), []
     for role in roles:
-        costs, back = _step(costs, role)
+        front, back = _step(front, role)
         backs.append(back)
-    if leave is None:
-        total, state = min((costs[s] + ENDS[s][0], s) for s in range(4))
-    else:
-        total, state = costs[leave], leave
+    total, state = _last(front) if leave is None else (front[0][leave], leave)
     out = []
     for role, back in zip(reversed(roles), reversed(backs), strict=True):
         before = back[state]
@@ -146,49 +169,45 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, tuple]]:
 
 
 def _summary(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Matrix of the first and of the last conversation of a partition; one row if they are the same."""
-    key, roles, found = None, None, []
+    """Turns and matrix of the first and of the last conversation of a partition; one row if they are the same."""
+    key, matrix, n, found = None, None, 0, []
     for conv, (role,) in _runs(batches):
-        if roles is None or conv != key:
-            if roles is not None and not found:
-                found.append((key, roles))
-            key, roles = conv, []
-        roles.append(role_of(role))
-    if roles is not None:
-        found.append((key, roles))
-    rows = []
-    for conv, turns in found:
-        matrix = [_from(s) for s in range(4)]
-        for role in turns:
-            matrix = product(matrix, role)
-        rows.append((conv, [c for row in matrix for c in row]))
+        if matrix is None or conv != key:
+            if matrix is not None and not found:
+                found.append((key, n, matrix))
+            key, matrix, n = conv, [_from(s) for s in range(4)], 0
+        matrix, n = product(matrix, role_of(role)), n + 1
+    if matrix is not None:
+        found.append((key, n, matrix))
     part = TaskContext.get().partitionId()
+    whole = [[x for row in m for x in (*row[0], *row[1])] for _, _, m in found]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], id_type), pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()),
-         pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["conv_id", "part", "last", "costs"])
+        [pa.array([f[0] for f in found], id_type), pa.array([part] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()),
+         pa.array([f[1] for f in found], pa.int64()), pa.array(whole, pa.list_(pa.int64()))], names=["conv_id", "part", "last", "turns", "matrix"])
 
 
-def border_states(ends: list[tuple[object, int, int, list[int]]]) -> dict[tuple[int, int], int]:
-    """State at the border behind ``(part, last)`` for conversations that go on in the next part.
+def border_states(ends: list[tuple[object, int, int, int, list[int]]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """State at the border behind ``(part, last)`` and the turns up to there, of conversations that go on in the next part.
 
-    ``ends`` holds ``(conversation, part, 0 for a part's first or 1 for its last, matrix)`` in order.
+    ``ends`` holds ``(conversation, part, 0 for a part's first or 1 for its last, turns, matrix)`` in order.
     """
     chains, states = [], {}
-    for conv, part, last, costs in ends:
-        if chains and chains[-1][-1][0] == conv and chains[-1][-1][1] != part:
-            chains[-1].append((conv, part, last, costs))
+    for end in ends:
+        if chains and chains[-1][-1][0] == end[0] and chains[-1][-1][1] != end[1]:
+            chains[-1].append(end)
         else:
-            chains.append([(conv, part, last, costs)])
+            chains.append([end])
     for chain in chains:
-        costs, backs = _from(START), []
-        for _, _, _, m in chain:
-            pairs = [min((costs[s] + m[4 * s + to], s) for s in range(4)) for to in range(4)]
-            backs.append([s for _, s in pairs])
-            costs = [min(c, FOREVER) for c, _ in pairs]
-        state = min((costs[s] + ENDS[s][0], s) for s in range(4))[1]
+        front, backs = _from(START), []
+        for *_, m in chain:
+            cost = {(s, to): m[8 * s + to] for s in range(4) for to in range(4)}
+            order = {(s, to): m[8 * s + 4 + to] for s in range(4) for to in range(4)}
+            front, back = _join(front, cost, order)
+            backs.append(back)
+        state = _last(front)[1]
         for k in range(len(chain) - 1, 0, -1):
             state = backs[k][state]
-            states[chain[k - 1][1:3]] = state
+            states[chain[k - 1][1:3]] = (state, sum(end[3] for end in chain[:k]))
     return states
 
 
@@ -213,11 +232,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         if first is not None:
             yield from _summary(_with(first, batches), first.column(0).type)
 
-    ends = table.select("conv_id", "role").mapInArrow(summary, f"conv_id {id_name}, part int, last int, costs array<long>")
+    ends = table.select("conv_id", "role").mapInArrow(summary, f"conv_id {id_name}, part int, last int, turns long, matrix array<long>")
     ends = sorted((tuple(r) for r in ends.collect()), key=lambda r: (r[1], r[2]))
     states = border_states(ends)
     ends_of = {}
-    for _, part, last, _ in ends:
+    for _, part, last, *_ in ends:
         ends_of.setdefault(part, []).append(last)
     parts = sorted(ends_of)
     leave = {part: states.get((part, ends_of[part][-1])) for part in parts}
@@ -229,7 +248,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             return
         part = TaskContext.get().partitionId()
         types = (first.column(0).type, first.column(1).type)
-        place, entry, key, rows, out = part << 33, enter.get(part), None, [], []
+        entry, place = enter.get(part) or (None, 0)
+        key, rows, out = None, [], []
 
         def solved(leaving: int | None) -> Iterator[tuple]:
             nonlocal place
@@ -242,13 +262,14 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         for conv, row in _runs(_with(first, batches)):
             if rows and conv != key:
                 out += solved(None)
-                rows, entry = [], None
+                rows, entry, place = [], None, 0
                 if len(out) >= ROWS:
                     yield _batch(out, types)
                     out = []
             key = conv
             rows.append(row)
-        out += solved(leave.get(part))
+        going_on = leave.get(part)
+        out += solved(None if going_on is None else going_on[0])
         yield _batch(out, types)
 
     return table.mapInArrow(run, f"conv_id {id_name}, " + RESULT.format(turn=turn_name))

@@ -4,8 +4,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from recordflow.llm.chat import ASSISTANT, CLOSE, COSTS, NAMES, NEXT, START, SYSTEM, USER, _from, border_states, format_chats, product, repair, role_of
+from recordflow.llm.chat import (
+    ASSISTANT, CLOSE, COSTS, ENDS, MOVES, NAMES, NEXT, START, SYSTEM, USER, _from, border_states, format_chats, product, repair,
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -45,24 +48,52 @@ def test_cost_is_least_for_all_short_conversations():
             assert paid <= total
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_cut_conversations_cost_the_same(seed):
-    rng = random.Random(seed)
-    roles = [rng.randrange(4) for _ in range(60)]
-    cuts = sorted(rng.sample(range(1, 60), 4))
-    pieces = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, 60], strict=True)]
+def cut_repair(roles, cuts):
+    """Steps of the pieces between cuts, each repaired alone, as partitions do."""
+    bounds = [0, *cuts, len(roles)]
+    pieces = [roles[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
     ends = []
     for part, piece in enumerate(pieces):
         matrix = [_from(s) for s in range(4)]
         for r in piece:
             matrix = product(matrix, r)
-        ends.append(("c", part, 0, [c for row in matrix for c in row]))
-    states, entry, total = border_states(ends), START, 0
+        ends.append(("c", part, 0, len(piece), [x for row in matrix for x in (*row[0], *row[1])]))
+    states, entry, steps = border_states(ends), START, []
     for part, piece in enumerate(pieces):
-        leave = states.get((part, 0))
-        cost, _ = repair(piece, entry, leave)
-        total, entry = total + cost, leave
-    assert total == repair(roles)[0]
+        leave, n = states.get((part, 0), (None, None))
+        assert n is None or n == bounds[part + 1]
+        steps += repair(piece, entry, leave)[1]
+        entry = leave
+    return steps
+
+
+def test_cut_and_uncut_steps_are_equal_for_all_short_conversations():
+    for n in range(2, 7):
+        for roles in itertools.product(range(4), repeat=n):
+            want = repair(list(roles))[1]
+            for k in range(1, n):
+                assert cut_repair(list(roles), [k]) == want, (roles, k)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_conversations_of_many_pieces(seed):
+    rng = random.Random(seed)
+    roles = [rng.randrange(4) for _ in range(200)]
+    for n in (1, 3, 9, 60):
+        assert cut_repair(roles, sorted(rng.sample(range(1, 200), n))) == repair(roles)[1]
+
+
+def test_the_first_sequence_of_states_wins():
+    for n in range(1, 5):
+        for roles in itertools.product(range(4), repeat=n):
+            total, steps = repair(list(roles))
+            least = []
+            for path in itertools.product(range(1, 4), repeat=n):
+                pairs = list(zip((START, *path), path, strict=False))
+                if all(p in MOVES[r] for p, r in zip(pairs, roles, strict=True)):
+                    cost = sum(MOVES[r][p][0] for p, r in zip(pairs, roles, strict=True)) + ENDS[path[-1]][0]
+                    least.append((cost, path))
+            assert (total, tuple(s for s, _, _ in steps)) == min(least)
 
 
 def render(rows):
@@ -95,26 +126,37 @@ def test_rendered_conversations_are_legal(spark):
     assert format_chats(docs.limit(0)).count() == 0
 
 
-def test_one_long_conversation_over_partitions(spark):
+def test_partitions_do_not_matter(spark):
+    """One long conversation beside short ones, with ties of turns, over 1 and 50 partitions."""
     rng = random.Random(2)
-    rows = [(7, i, rng.choice(["user", "assistant", "system", "x"]), f"t{i}") for i in range(3000)] + [(k, 0, "user", "q") for k in range(100)]
-    rows = [r if r[0] != 7 or r[3] != "q" else (1007, *r[1:]) for r in rows]
+    rows = [(7, i // 2, rng.choice(["user", "assistant", "system", "x"]), f"t{i}") for i in range(3000)]
+    rows += [(k, i, rng.choice(["user", "assistant", "gpt", None]), "q" * (k % 3)) for k in [*range(6), *range(1000, 1100)] for i in range(k % 5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        for n in (1, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            out = format_chats(turns)
+            assert n == 1 or out.where("conv_id = 7").select(F.spark_partition_id().alias("p")).distinct().count() > 10
+            found[n] = sorted(map(tuple, out.collect()), key=repr)
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    long = sorted((r for r in got if r["conv_id"] == 7), key=lambda r: r["place"])
-    assert [r["turn"] for r in long] == list(range(3000)) and len({r["place"] >> 33 for r in long}) > 1
-    steps = repair([role_of(r[2]) for r in rows[:3000]])
-    text = render(long)
-    state, paid = START, 0
+    assert found[1] == found[50]
+    for conv in (7, 1004):
+        assert sorted(r[2] for r in found[1] if r[0] == conv) == list(range(3000 if conv == 7 else 4))
+    text = "".join(r[5] for r in sorted((r for r in found[1] if r[0] == 7), key=lambda r: r[2]))
+    state = START
     for name, _, _ in turns_of(text.removeprefix("<|")):
         state = next(s for s in NEXT[state] if NAMES[s] == name)
-    for r, row in zip(long, rows, strict=False):
-        paid += (COSTS["merge"] if r["action"] == "merge" else 0) + (0 if NAMES.get(role_of(row[2])) == r["role"] else COSTS["relabel"])
-    paid += COSTS["insert"] * sum(1 for _, _, body in turns_of(text.removeprefix("<|")) if not body)
-    assert state == ASSISTANT and paid == steps[0]
+    assert state == ASSISTANT
+
+
+def test_very_long_texts_stay_whole(spark):
+    text = "wörd <|x|> " * 200_000
+    got = format_chats(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).collect()
+    assert text.replace("<|", "< |") in got[0]["rendered"]
 
 
 def test_query(spark):
