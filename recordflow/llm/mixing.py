@@ -2,14 +2,15 @@
 
 Each source's documents are put in a random order that depends on their ids alone, and repeated up to
 ``max_repeats`` times. A document's virtual finish time is the number of its source's words up to
-and with it, divided by the source's target. All documents are range-sorted by that time and
+and with it, divided by the source's target. The document that its source's target ends in is cut there, so a source is
+served to the word whatever the length of its documents. All of these pieces are range-sorted by their finish time and
 the mix is cut where the budget, the size of all documents, is used up.
 
 Cumulative words come from two levels: sums by (source, bucket of the order), and running sums
 inside a bucket. A bucket holds about the square root of the number of rows, whatever the
 share of its source. Only built-in functions run.
 
-A document's size is its number of words ``[^\\x20\\x09-\\x0D]+``; NULL and empty texts have none and
+A document's size is its number of words ``[^\\x20\\x09-\\x0D]+`` in its whole text, however long; NULL and empty texts have none and
 are never taken. Sources are weighed 1, 2, 3, repeating, in code point order with NULL last. Targets
 stop at ``max_repeats`` times the source's size, the excess is shared anew. Repeated rows are
 documents of their own. An empty table gives an empty result; input columns with the names of results
@@ -69,6 +70,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     )
     table = table.withColumn("__order", F.xxhash64(F.lit(seed), "__id", "size"))
     table = table.withColumn("__bucket", F.pmod("__order", F.lit(buckets)))
+    if text not in keep:
+        table = cut(table, "sizes")  # so that words are counted once
     sums = cut(table.groupBy("__source", "__bucket").agg(F.sum("size").alias("n")), "bucket-sizes")
     sources = targets(sums.groupBy("__source").agg(F.sum("n").alias("source_size")), max_repeats)
     sources = broadcast_if_small(cut(sources, "targets"))
@@ -85,7 +88,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     if stop is not None:
         last = _key(F.lit(stop["time"]), F.lit(stop["rank"]).cast("long"), F.lit(stop["sum"]).cast("long"))
         for turn in range(max_repeats):
-            taken = taken + F.when(_key(_finish(turn), F.col("__rank"), F.col("__sum")) <= last, F.col("size")).otherwise(0)
+            for piece in _pieces(F.lit(turn)):
+                taken = taken + F.when(_key(piece["time"], F.col("__rank"), piece["sum"]) <= last, piece["words"]).otherwise(0)
         taken = F.when(F.col("size") > 0, taken).otherwise(0).cast("long")
     return placed.withColumn("taken", taken).select(*[F.col(f"`{c}`") for c in [*keep, *RESULTS]])
 
@@ -96,9 +100,12 @@ def _join_source(left: DataFrame, right: DataFrame, also: Column | None = None)
     return left.join(right, same if also is None else same & also).drop("__s")
 
 
-def _finish(turn: int | Column) -> Column:
-    turn = F.lit(turn) if isinstance(turn, int) else turn
-    return (turn * F.col("source_size") + F.col("__sum")) / F.col("target")
+def _pieces(turn: Column) -> list[dict[str, Column]]:
+    """A document in one repeat of its source, cut where the source's target ends: words, finish time and words up to there."""
+    before = turn * F.col("source_size") + F.col("__sum") - F.col("size")
+    inside = F.greatest(F.least(F.floor("target") - before, F.col("size")), F.lit(0)).cast("long")
+    ends = [(inside, before + inside), (F.col("size") - inside, before + F.col("size"))]
+    return [{"words": words, "time": total / F.col("target"), "sum": total} for words, total in ends]
 
 
 def _key(time: Column, rank: Column, total: Column) -> Column:
@@ -106,9 +113,11 @@ def _key(time: Column, rank: Column, total: Column) -> Column:
 
 
 def _stop(placed: DataFrame, max_repeats: int):
-    """Key of the last document within the budget; NULL if there is none."""
+    """Key of the last piece within the budget; NULL if there is none."""
     turns = placed.where(F.col("size") > 0).select(
         F.explode(F.array(*[F.lit(k) for k in range(max_repeats)])).alias("turn"), "size", "source_size", "target", "__rank", "__sum")
-    queue = turns.select(_finish(F.col("turn")).alias("time"), F.col("__rank").alias("rank"), F.col("__sum").alias("sum"), "size")
+    pieces = F.array(*[F.struct(*[value.alias(name) for name, value in piece.items()]) for piece in _pieces(F.col("turn"))])
+    queue = turns.select(F.col("__rank").alias("rank"), F.inline(pieces)).where("words > 0")
+    queue = queue.select("time", "rank", "sum", F.col("words").alias("size"))
     budget = placed.agg(F.sum("size").alias("b")).first()["b"] or 0
     return running_parts(queue, ["time", "rank", "sum"], "size", budget)
