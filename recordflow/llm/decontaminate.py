@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from recordflow.llm import textbytes as tb
 from recordflow.llm.tables import map_column
+from recordflow.storage import cut
 
 MAX_RATE = 0.2
 SAMPLED = 3
@@ -42,6 +43,8 @@ CLASS_RATIO = 1.15
 CLASS_ITEMS = 16
 CLASSES = 64
 BLOCK_BYTES = 4 * 1024 * 1024
+# Blocks searched in one stage, each with a worker and a broadcast of its own.
+BLOCKS_AT_ONCE = 4
 MATCHES = "array<struct<item_id: long, distance: int, start: int, end: int>>"
 
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -257,17 +260,25 @@ def edit_match(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int
 
 
 def _start(words: np.ndarray, before: np.ndarray, distance: int) -> int:
-    """Length of the shortest run at the end of ``before`` at this distance from the item."""
-    reverse = words[::-1]
-    text = before[::-1].tolist()
-    row = list(range(len(reverse) + 1))
+    """Length of the shortest run at the end of ``before`` at this distance from the item.
+
+    The words backwards, bit-parallel like :func:`edit_match`; here every word of a run counts, from its first on.
+    """
+    n, masks, text = len(words), _masks(words[::-1]), before[::-1].tolist()
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, score = full, 0, n
     for j, symbol in enumerate(text, 1):
-        new = [j]
-        for i, w in enumerate(reverse.tolist(), 1):
-            new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (w != symbol)))
-        row = new
-        if row[-1] == distance:
+        equal = masks.get(symbol, 0)
+        vertical = equal | minus
+        equal = (((equal & plus) + plus) ^ plus) | equal
+        up = minus | (~(equal | plus) & full)
+        down = plus & equal
+        score += bool(up & top) - bool(down & top)
+        if score == distance:
             return j
+        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        plus = down | (~(vertical | up) & full)
+        minus = up & vertical
     return len(text)
 
 
@@ -301,6 +312,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "matches", max
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(sorted(map(tuple, rows)), max_rate))
         more = [column] if column not in keep and block + 1 < blocks else []
         table = _search_block(table, index, column, [*keep, *more], name)
+        if (block + 1) % BLOCKS_AT_ONCE == 0 and block + 1 < blocks:
+            # What a stage holds at once stays bounded, whatever the size of the benchmark.
+            table = cut(table, "searched")
     return table
 
 

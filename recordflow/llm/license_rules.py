@@ -1,7 +1,7 @@
 """Signature rules of licences over normal text: lower-case words joined by one blank.
 
 ``WRITTEN`` holds the rules written by hand, from the notices, headers, titles and addresses of each licence: label,
-priority (lower wins), keyword, pattern. :func:`templates` adds the plain forms that names and identifiers of families have in
+priority (lower wins), keyword, pattern; every match of a pattern has its keyword, from a word's beginning on. :func:`templates` adds the plain forms that names and identifiers of families have in
 common ("licensed under the X license version n", SPDX tags). A rule is tried only where its keyword stands in the text.
 """
 
@@ -12,18 +12,20 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
-    keyword: str  # a rule is tried only where this is in the text
+    keyword: str  # a rule is tried only where a word of the text begins so
     pattern: str
     label: str
     priority: int  # lower wins
     weight: float
 
 
-# Every keyword holds one of these; texts without any are done at once.
+# Every keyword, with a blank before it, holds one of these; texts without any are done at once.
 GATES = [
-    "licen", "copyright", "copyleft", "spdx", "reserved", "public domain", "creative", " cc", "gpl", "permission", "warrant", "redistribut", "proprietary",
-    "confidential", "prohibited", "commercial", "apache", "gnu ", "bsd", "mozilla", "mpl", "asl", "expat", "x11", "x consortium", "mit no", "runtime library",
-    "eclipse", "perl", "openssl", "cryptographic", "w3c", "cecill", "watcom", "mulan", "polyform", "rail", "good not evil", "datenlizenz", "copy of the",
+    " licen", " copyright", " copyleft", " spdx", " rights reserved", " public domain", " creative", " cc", " gpl", " lgpl", " agpl", " permission", " warrant",
+    " redistribut", " proprietary", " confidential", " strictly prohibited", " noncommercial", " non commercial", " apache", " gnu ", " bsd", " mozilla",
+    " mpl", " asl", " expat", " x11", " x consortium", " mit no", " mit x11", " runtime library", " eclipse org", " terms as perl", " openssl", " cryptographic software",
+    " w3c", " cecill", " watcom", " mulan", " polyform", " openrail", " open rail", " for good not evil", " datenlizenz", " copy of the", " opensource org",
+    " 0bsd", " unlicense", " freebsd", " may be used to endorse", " advertising materials", " as a special exception", " work of the united",
 ]
 
 WRITTEN = r"""
@@ -41,7 +43,7 @@ apache-1.1 | 10 | apache software license | apache software license version 1 1
 apache-1.1 | 11 | redistribut | the end user documentation included with the redistribution if any must include the following acknowledgment
 apache-1.0 | 10 | apache | apache(?: software)? license version 1 0
 apache-1.0 | 12 | apache group | this product includes software developed by the apache group
-apache | 30 | apache license | (?:the )?apache(?: software)? license
+apache | 30 | apache | (?:the )?apache(?: software)? license
 apache | 40 | licensed to the apache | licensed to the apache software foundation(?: asf)? under one or more contributor license agreements
 mit | 10 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 12 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy
@@ -55,7 +57,8 @@ mit | 15 | opensource org licenses mit | opensource org licenses mit(?: license)
 mit | 16 | expat | expat license|license expat|expat style license
 mit | 30 | mit x11 | mit x11(?: license)?
 mit | 30 | style license | mit style license
-mit-0 | 11 | mit no attribution | mit no attribution(?: license)?|mit 0 license
+mit-0 | 11 | mit no attribution | mit no attribution(?: license)?
+mit-0 | 12 | mit 0 license | mit 0 license
 x11 | 12 | x consortium | except as contained in this notice the name of the x consortium shall not be used in advertising
 x11 | 20 | x11 license | x11 license
 isc | 10 | permission to use copy | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
@@ -63,20 +66,22 @@ isc | 11 | permission to use copy | permission to use copy modify and distribute
 isc | 15 | isc license | (?:the )?isc license
 isc | 16 | isc licen | isc licensed|isc licence
 0bsd | 9 | zero clause bsd | (?:bsd )?zero clause bsd(?: license)?
-0bsd | 10 | 0bsd | 0bsd(?: license)?|bsd 0 clause(?: license)?
+0bsd | 10 | 0bsd | 0bsd(?: license)?
+0bsd | 10 | bsd 0 clause | bsd 0 clause(?: license)?
 bsd | 25 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
 bsd | 30 | redistribution and use | redistribution and use in source and binary forms
 bsd-2-clause | 10 | bsd 2 clause | bsd 2 clause(?: simplified)?(?: license)?
-bsd-2-clause | 10 | bsd | (?:the )?(?:2|two) clause bsd(?: license)?|simplified bsd license|freebsd license
+bsd-2-clause | 10 | bsd | (?:the )?(?:2|two) clause bsd(?: license)?|simplified bsd license
+bsd-2-clause | 12 | freebsd license | freebsd license
 bsd-3-clause | 10 | bsd 3 clause | bsd 3 clause(?: new| revised)?(?: license)?
 bsd-3-clause | 10 | bsd | (?:the )?(?:3|three) clause bsd(?: license)?|(?:new|modified|revised) bsd license
-bsd-3-clause | 11 | written permission | neither the names? of (?:the )?(?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software
+bsd-3-clause | 11 | may be used to endorse | neither the names? of (?:the )?(?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software
 bsd-4-clause | 10 | bsd | (?:the )?(?:4|four) clause bsd(?: license)?|(?:original|old) bsd license
 bsd-4-clause | 10 | bsd 4 clause | bsd 4 clause(?: license)?
-bsd-4-clause | 12 | warrant | all advertising materials mentioning features or use of this software must display the following acknowledg?ement
-bsd | 30 | bsd license | (?:the )?bsd(?: style)? licen[sc]e
+bsd-4-clause | 12 | advertising materials mentioning | all advertising materials mentioning features or use of this software must display the following acknowledg?ement
+bsd | 30 | bsd | (?:the )?bsd(?: style)? licen[sc]e
 bsd | 40 | bsd style | bsd style(?: open source)?(?: licen[sc]e)?
-bsd | 30 | under the bsd | (?:licensed|released|distributed) under the (?:terms of the )?bsd
+bsd | 30 | bsd | (?:licensed|released|distributed) under the (?:terms of the )?bsd
 gpl-1 | 9 | gnu general public license | gnu general public license(?: as published by the free software foundation)? either version 1(?: of the license)?(?: or at your option any later version)?
 gpl-2 | 9 | gnu general public license | gnu general public license(?: as published by the free software foundation)? (?:either )?version 2(?: of the license)?(?: or at your option any later version)?
 gpl-3 | 9 | gnu general public license | gnu general public license(?: as published by the free software foundation)? (?:either )?version 3(?: of the license)?(?: or at your option any later version)?
@@ -91,7 +96,7 @@ gpl-3 | 14 | gpl v3 | (?:gnu )?gpl v3(?: 0)?(?: or later)?
 gpl | 30 | gnu general public license | (?:the )?gnu general public license
 gpl | 40 | gnu gpl | (?:the )?gnu gpl
 gpl | 45 | gpl licen | gpl licen[sc]e|gpl licensed
-gpl | 45 | under the gpl | (?:licensed|released|distributed) under the (?:terms of the )?gpl
+gpl | 45 | gpl | (?:licensed|released|distributed) under the (?:terms of the )?gpl
 gpl | 50 | gnu org licenses gpl | www gnu org licenses gpl(?: html| txt)?
 gpl-2 | 12 | gnu org licenses | gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?
 gpl-3 | 12 | gnu org licenses | gnu org licenses gpl 3 0(?: html| txt)?
@@ -116,7 +121,8 @@ gfdl-1.2 | 9 | free documentation license | gnu free documentation license versi
 gfdl-1.3 | 9 | free documentation license | gnu free documentation license version 1 3
 gfdl | 28 | free documentation license | (?:the )?gnu free documentation license
 gpl-exception-classpath | 7 | permission to link | as a special exception the copyright holders of this library give you permission to link this library with independent modules
-gpl-exception-font | 7 | gpl | as a special exception if you create a document which uses this font|gpl font exception
+gpl-exception-font | 7 | as a special exception | as a special exception if you create a document which uses this font
+gpl-exception-font | 8 | gpl font exception | gpl font exception
 gcc-exception | 7 | gcc runtime library exception | gcc runtime library exception(?: version 3 1)?
 mpl-1.0 | 9 | mozilla public license | mozilla public license (?:version |v )?1 0
 mpl-1.1 | 9 | mozilla public license | mozilla public license (?:version |v )?1 1
@@ -159,7 +165,8 @@ wtfpl | 20 | wtfpl licen | wtfpl licen[sc]e|wtfpl licensed
 beerware | 11 | beer ware license | beer ware license(?: revision 42)?
 beerware | 20 | beerware licen | beerware licen[sc]e
 python-2.0 | 11 | python software foundation license | python software foundation license version 2
-python | 25 | python software foundation license | (?:the )?python software foundation license|python license
+python | 25 | python software foundation license | (?:the )?python software foundation license
+python | 26 | python license | python license
 python | 25 | psf license | psf license(?: agreement)?
 postgresql | 12 | postgresql licen | (?:the )?postgresql licen[sc]e
 postgresql | 12 | permission to use copy | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
@@ -171,9 +178,11 @@ ssleay | 13 | cryptographic software | this product includes cryptographic softw
 php-3.01 | 11 | php license | php license (?:version |v )?3 01
 php-3.0 | 11 | php license | php license (?:version |v )?3 0
 php | 30 | php license | (?:the )?php license
-ruby | 25 | ruby license | (?:the )?ruby license|ruby s license
+ruby | 25 | ruby license | (?:the )?ruby license
+ruby | 26 | ruby s license | ruby s license
 vim | 25 | vim license | (?:the )?vim license
-tcl | 25 | tcl license | (?:the )?tcl(?: tk)? license
+tcl | 25 | tcl license | (?:the )?tcl license
+tcl | 25 | tcl tk license | (?:the )?tcl tk license
 curl | 20 | curl license | (?:the )?curl license
 ijg | 20 | jpeg group license | independent jpeg group license
 icu | 20 | icu license | (?:the )?icu license
@@ -210,7 +219,8 @@ elastic | 30 | elastic license | (?:the )?elastic license
 commons-clause | 12 | commons clause license | commons clause license condition
 polyform | 20 | polyform | polyform (?:noncommercial|small business|shield|strict) license(?: 1 0 0)?
 hippocratic | 20 | hippocratic license | hippocratic license(?: version)?(?: 2 1| 3 0)?
-openrail | 15 | rail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail | 15 | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: licen[sc]e)?
+openrail | 15 | open rail | (?:creativeml |bigscience )?open rail(?: m)?(?: licen[sc]e)?
 llama | 15 | community license | llama(?: 2| 3)? community license(?: agreement)?
 cc0 | 8 | creative commons | creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?(?: public domain dedication)?(?: license)?
 cc0 | 12 | creativecommons org | creativecommons org publicdomain zero 1 0(?: legalcode)?
@@ -244,7 +254,8 @@ etalab-2.0 | 15 | licence ouverte | licence ouverte (?:open licence )?(?:version
 dl-de-by-2.0 | 15 | datenlizenz | datenlizenz deutschland namensnennung (?:version )?2 0
 public-domain | 25 | public domain | (?:is |are |hereby )?(?:dedicated|placed|released|donated) (?:in|into|to|in to) the public domain
 public-domain | 40 | public domain | (?:is |are )in the public domain
-public-domain | 45 | public domain | public domain work|work of the united states government
+public-domain | 45 | public domain work | public domain work
+public-domain | 46 | work of the united states | (?:a )?work of the united states government
 copyright | 60 | copyright | copyright (?:c |© )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?(?: by)?
 copyright | 65 | copyright | copyright (?:c|©) (?:by )?[^ ]+ (?:inc|ltd|llc|corp|gmbh|corporation|limited|company)
 copyright | 70 | copyright | copyright (?:holder|owner|notice)s?
@@ -261,8 +272,10 @@ proprietary | 40 | permission | without(?: the)?(?: express)? prior written perm
 eula | 45 | license agreement | end user license agreement(?: eula)?
 eula | 60 | license agreement | (?:software|master|commercial) license agreement
 eula | 60 | licen | by (?:installing|using|downloading)(?: or [^ ]+)? (?:this|the) (?:software|product|program) you (?:agree|accept)(?: [^ ]+){0,10} licen[sc]e
-non-commercial | 55 | commercial | for non ?commercial (?:use|purposes) only|non ?commercial (?:use )?licen[sc]e
-evaluation | 55 | evaluation licen | (?:trial|evaluation) licen[sc]e
+non-commercial | 55 | noncommercial | for noncommercial (?:use|purposes) only|noncommercial (?:use )?licen[sc]e
+non-commercial | 55 | non commercial | for non commercial (?:use|purposes) only|non commercial (?:use )?licen[sc]e
+evaluation | 55 | evaluation licen | evaluation licen[sc]e
+evaluation | 55 | trial licen | trial licen[sc]e
 dual | 55 | licensed | dual licensed|(?:is )?licensed under either of
 open-source | 65 | open source licen | (?:an |osi approved )?open source licen[sc]e
 warranty-disclaimer | 80 | warrant | without(?: any)? warrant(?:y|ies) of any kind
@@ -270,10 +283,12 @@ warranty-disclaimer | 80 | warrant | without(?: even the)?(?: implied)? warranty
 warranty-disclaimer | 82 | warrant | provided as is(?: and)?(?: without)?(?: any)?(?: express or implied)? warranties
 license-notice | 90 | license for | see the (?:gnu )?(?:[^ ]+ ){0,5}license for (?:more|further|the) (?:details|specific language|information)
 license-notice | 92 | copy of the | you should have received a copy of the (?:[^ ]+ ){0,6}license
-license-notice | 94 | license file | see(?: the)?(?: accompanying)? license file|license (?:file )?in the (?:project )?root
+license-notice | 94 | license file | see(?: the)?(?: accompanying)? license file
+license-notice | 94 | license | license (?:file )?in the (?:project )?root
 license-notice | 95 | licensed under | (?:is |are )?licensed under
 license-notice | 96 | licen | (?:released|distributed|available|published) under (?:the |a |an )?(?:terms of )?(?:the )?(?:[^ ]+ ){0,3}licen[sc]e
-license-notice | 97 | license terms | license terms(?: and conditions)?|terms of (?:the |this )license
+license-notice | 97 | license terms | license terms(?: and conditions)?
+license-notice | 97 | license | terms of (?:the |this )license
 license-notice | 97 | spdx license identifier | spdx license identifier [^ ]+
 """
 
@@ -319,7 +334,7 @@ def templates() -> list[Rule]:
     for short in COMMONS:
         for version in COMMONS_VERSIONS:
             label, number, later = "cc-" + short.replace(" ", "-"), f" {version}" if version else "", 0 if version else 5
-            out.append(Rule(f" cc {short}", f"(?:licensed under (?:a |the )?)?cc {short}{number}(?: license)?", _tag(label, version), 20 + later, 0.8))
+            out.append(Rule(f"cc {short}", f"(?:licensed under (?:a |the )?)?cc {short}{number}(?: license)?", _tag(label, version), 20 + later, 0.8))
             if version:
                 out.append(Rule("creativecommons org licenses", f"creativecommons org licenses {short}{number}", _tag(label, version), 8, 1.0))
     return out

@@ -43,7 +43,7 @@ RULE = "array<struct<keyword: string, pattern: string, label: string, priority:
 
 def _rule_table() -> Column:
     """All rules as one constant."""
-    rows = [{"keyword": r.keyword, "pattern": f"(?<= )(?:{r.pattern})(?= )", "label": r.label, "priority": r.priority, "weight": r.weight} for r in rules()]
+    rows = [{"keyword": " " + r.keyword, "pattern": f"(?<= )(?:{r.pattern})(?= )", "label": r.label, "priority": r.priority, "weight": r.weight} for r in rules()]
     return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
@@ -99,7 +99,7 @@ def _resolved(found: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with word, phrase and label columns of each whole text."""
-    keep = [c for c in (keep or docs.columns) if c not in RESULTS]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in RESULTS]
     kept = [F.col(f"`{c}`") for c in keep]
     table = docs.select(*kept, normal_text(F.col(f"`{text}`")).alias("__norm"))
     norm = F.col("__norm")

@@ -61,7 +61,7 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id",
         max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """``keep`` columns of every document with ``size``, ``source_size``, ``target`` and ``taken`` words."""
-    keep = [c for c in (keep or docs.columns) if c not in RESULTS]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in RESULTS]
     n_rows = docs.count()
     buckets = max(1, n_rows // max(LEAST_BUCKET, int(n_rows**0.5)))
     table = docs.select(

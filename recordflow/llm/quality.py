@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def classify(docs: DataFrame, model: Forest, keep: list[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """``keep`` columns with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``min_score`` on)."""
-    keep = [c for c in (keep or docs.columns) if c not in RESULTS]
+    keep = [c for c in (keep or docs.columns) if c.lower() not in RESULTS]
 
     def score(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(model.scores(features(texts)))]

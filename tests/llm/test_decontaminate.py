@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import __spark_entry__ as entry_module
-from recordflow.llm.decontaminate import ItemIndex, decontaminate, edit_match, find_leaks, search, _masks
+from recordflow.llm.decontaminate import ItemIndex, decontaminate, edit_match, find_leaks, search, _masks, _start
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -110,3 +111,33 @@ def test_query_finds_every_copied_item(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     got = {r["doc_id"] for r in entry_module.queries()["op1_decontaminate"](spark, SF_DIR).collect()}
     assert got >= {i for i, t in docs.items() if any(x in t for x in items)}
+
+
+def test_start_of_a_match_against_the_full_table():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 90))
+        item = rng.integers(1, 6, n)
+        before = item.copy() if rng.random() < 0.5 else rng.integers(1, 6, int(rng.integers(1, 120)))
+        before = np.concatenate([rng.integers(1, 6, 5), np.delete(before, rng.integers(0, len(before), 2))])
+        rows = [list(range(n + 1))]
+        for symbol in before[::-1].tolist():
+            row = [rows[-1][0] + 1]
+            for i, w in enumerate(item[::-1].tolist(), 1):
+                row.append(min(rows[-1][i] + 1, row[i - 1] + 1, rows[-1][i - 1] + (w != symbol)))
+            rows.append(row)
+        for distance in {r[-1] for r in rows[1:]}:
+            assert _start(item, before, distance) == next(j for j, r in enumerate(rows) if j and r[-1] == distance)
+
+
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_many_blocks_of_items(spark, monkeypatch, at_once):
+    from recordflow.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(module, "BLOCKS_AT_ONCE", at_once)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)]
+    docs = [(i, f"some words {text} and more" if i % 2 else "nothing of it", "x") for i, text in items]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string, extra string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: [(m["item_id"], m["distance"], m["start"], m["end"]) for m in r["matches"]] for r in got} == {
+        i: [(i, 0, 2, 14)] if i % 2 else [] for i, _ in items}
