@@ -70,10 +70,9 @@ def _settle(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFra
     """Rounds that settle the nodes all of whose edges from ``front`` come from settled nodes.
 
     Every edge is followed once, in the round after its front node is settled. An edge carries how many its back node
-    waits for, so a node that gets them all in one round is settled there and then. Others leave a running
-    total in the bucket of waiting nodes, which is read only for the buckets of nodes that a round leaves
-    waiting: what a round writes are the nodes it touches. Returns ``(node, level)`` of the settled nodes and ``(node)`` of
-    the others: a cycle and what lies behind it.
+    waits for, so a node that gets them all in one round is settled there and then. For others the rounds that touched
+    them are added up, from the buckets of such nodes alone. What a round writes are the nodes it touches and
+    those that are settled late. Returns ``(node, level)`` of the settled nodes and ``(node)`` of the others: a cycle and what lies behind it.
     """
     spark = edges.sparkSession
     raw, size = cut_counted(edges.select(F.col(front).alias("front"), F.col(back).alias("back")), f"{path}/edges")
@@ -83,33 +82,36 @@ def _settle(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFra
     ready, waits = F.col("got") == F.col("need"), F.col("got") < F.col("need")
     free = raw.select(F.col("front").alias("node")).distinct().join(need.withColumnRenamed("back", "node"), "node", "left_anti")
     frontier, found = cut_observed(free, f"{path}/free", n=F.count(F.lit(1)), buckets=layout.bucket_set(F.col("node")))
-    settled, level, any_waiting = [frontier.select("node", F.lit(0).cast("long").alias("level"))], 0, False
-    waiting_schema = T.StructType().add("node", node_type).add("got", "long").add("need", "long").add("level", "integer").add("bucket", "integer")
+    settled, level, late = [frontier.select("node", F.lit(0).cast("long").alias("level"))], 0, False
+    touched_type = T.StructType().add("node", node_type).add("got", "long").add("need", "long").add("level", "long").add("bucket", "integer")
     while found["n"]:
         level += 1
         followed = layout.of(found["buckets"]).join(frontier.select(F.col("node").alias("front")), "front")
-        got = followed.groupBy(F.col("back").alias("node"), "need").agg(F.count(F.lit(1)).alias("got")).select("node", "got", "need")
+        got = followed.groupBy(F.col("back").alias("node"), "need").agg(F.count(F.lit(1)).alias("got"))
+        got = got.select("node", "got", "need", _bucket("node", layout.buckets).alias("bucket"))
         whole, part = F.when(ready, F.col("node")), F.when(waits, F.col("node"))
         touched, found = cut_observed(
-            got, f"{path}/touched/level={level}", n=F.count_if(ready), buckets=layout.bucket_set(whole), waiting=layout.bucket_set(part))
+            got, f"{path}/touched/level={level}", by="bucket" if layout.buckets > 1 else None,
+            n=F.count_if(ready), buckets=layout.bucket_set(whole), waiting=layout.bucket_set(part))
         frontier = touched.where(ready).select("node")
         if not found["waiting"]:
             continue
-        rest = touched.where(waits)
-        if any_waiting:
-            before = spark.read.schema(waiting_schema).parquet(f"{path}/waiting")
-            before = before.where(F.col("bucket").isin(sorted(found["waiting"]))).groupBy("node").agg(F.max("got").alias("before"))
-            rest = rest.join(before, "node", "left").select("node", (F.col("got") + F.coalesce("before", F.lit(0))).alias("got"), "need")
-        totals, ended = cut_observed(rest, f"{path}/totals/level={level}", n=F.count_if(ready), buckets=layout.bucket_set(F.when(ready, F.col("node"))))
-        totals.where(waits).withColumn("bucket", _bucket("node", layout.buckets)).write.partitionBy("bucket").parquet(f"{path}/waiting/level={level}")
-        any_waiting = True
-        frontier = frontier.union(totals.where(ready).select("node"))
+        rest = touched.where(waits).select("node")
+        all_rounds = spark.read.schema(touched_type).parquet(f"{path}/touched")
+        if layout.buckets > 1:
+            all_rounds = all_rounds.where(F.col("bucket").isin(sorted(found["waiting"])))
+        sums = all_rounds.where(waits).join(rest, "node", "left_semi").groupBy("node", "need").agg(F.sum("got").alias("got"))
+        more, ended = cut_observed(
+            sums.where(ready).select("node"), f"{path}/late/level={level}", n=F.count(F.lit(1)), buckets=layout.bucket_set(F.col("node")))
+        late = True
+        frontier = frontier.union(more)
         found = {"n": found["n"] + ended["n"], "buckets": [*found["buckets"], *ended["buckets"]]}
     # Every round's nodes, from the folders the rounds wrote.
-    rounds = T.StructType().add("node", node_type).add("got", "long").add("need", "long").add("level", "long")
-    for folder, there in (("touched", level > 0), ("totals", any_waiting)):
-        if there:
-            settled.append(spark.read.schema(rounds).parquet(f"{path}/{folder}").where(ready).select("node", "level"))
+    if level:
+        settled.append(spark.read.schema(touched_type).parquet(f"{path}/touched").where(ready).select("node", "level"))
+    if late:
+        late_type = T.StructType().add("node", node_type).add("level", "long")
+        settled.append(spark.read.schema(late_type).parquet(f"{path}/late").select("node", "level"))
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)

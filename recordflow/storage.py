@@ -132,22 +132,23 @@ def write_once(spark: SparkSession, path: str, write: Callable[[str], None]) ->
     side.move_to(target)
 
 
-def cut(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table.
+def cut(df: DataFrame, name: str = "cut", path: str | None = None, by: str | None = None) -> DataFrame:
+    """Write ``df`` once, in a folder for each value of its last column ``by`` if given, and return a scan of the written table.
 
     Cuts lineage like ``checkpoint()``, and gives the optimizer the exact size of the
     table, so Spark's own ``autoBroadcastJoinThreshold`` can pick the join strategy.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_observed(df: DataFrame, path: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+def cut_observed(df: DataFrame, path: str, by: str | None = None, **aggregates: Column) -> tuple[DataFrame, dict]:
     """:func:`cut`, with aggregates observed by the job that writes the table, as they are."""
     seen = Observation()
-    table = cut(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), path=path)
+    table = cut(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), path=path, by=by)
     return table, dict(seen.get)
 
 
