@@ -9,8 +9,8 @@ of the set. Two nodes link when ``100 * intersection >= percent * union``.
 2. Shingles are ordered by that count, rare first, ties by hash. Nodes that link share one of
    their first ``n - ceil(percent * n / 100) + 1`` shingles in this order, the *prefix*.
 3. A prefix shingle's nodes are its *bucket*. The smallest node leads; all others are compared with
-   it and not with one another. Length, positional and suffix filters first, then one exact
-   verification for each pair, whichever buckets it is in.
+   it and not with one another. Length and positional filters first, then one exact verification for each
+   pair, whichever buckets it is in. (The suffix filter would move more for these pairs than it saves.)
 4. Two nodes that meet in a bucket both meet its leader. So what is left to compare are nodes apart from
    their leader, each with the other nodes of that leader. First with a few of them, chosen by
    hash, for some rounds: this joins most near copies to their class. Then with all the rest that is
