@@ -13,7 +13,7 @@ text. What a task holds at once is one container of at most ``LIMIT`` turns; a c
 holds a third of all turns is folded by task, or split by Spark where it is joined.
 
 Turns stand in the order of ``turn``, NULL first, ties by the hashes; repeated turns are turns of their own. NULL roles
-and texts are empty. Turns without ``conv_id`` belong to no conversation and are left out. Texts of any length count
+and texts are empty. Conversations have whole numbers as ids; turns without ``conv_id`` belong to no conversation and are left out. Texts of any length count
 whole and only their hashes and lengths are moved. An empty table has no nodes. Other columns are not carried.
 """
 
