@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 256 * 1024
 # For work that gains from seeing many texts at once.
-WIDE_CHUNK_BYTES = 1024 * 1024
+WIDE_CHUNK_BYTES = 2 * 1024 * 1024
 
 _U = np.uint64
 
