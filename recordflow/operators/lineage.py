@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ REQUIRES, DEPENDS = "requires", "depends"
 BUCKET_EDGES, MOST_BUCKETS = 250_000, 1024
 # Rounds of one step before paths are doubled, and how far the paths of a length may outnumber the edges.
 NEAR_ROUNDS, PATH_GROWTH = 4, 2
+# Pairs that no shuffle deals out stay in the file of the task that found them, which the next level reads in pieces of this size.
+PAIR_ROW_GROUP = 4 * 1024 * 1024
 
 
 class CyclicLineage(ValueError):
@@ -66,18 +68,22 @@ class _Layout:
         return F.collect_set(F.when(node.isNotNull(), _bucket(node, self.buckets)))
 
 
-def _settle(edges: DataFrame, path: str, front: str, back: str) -> tuple[DataFrame, DataFrame]:
+def _settle(edges: DataFrame, path: str, front: str, back: str, n_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rounds that settle the nodes all of whose edges from ``front`` come from settled nodes.
 
     Every edge is followed once, in the round after its front node is settled. An edge carries how many its back node
     waits for, so a node that gets them all in one round is settled there and then. For others the rounds that touched
     them are added up, from the buckets of such nodes alone. What a round writes are the nodes it touches and
-    those that are settled late. Returns ``(node, level)`` of the settled nodes and ``(node)`` of the others: a cycle and what lies behind it.
+    those that are settled late. Returns ``(node, level)`` of the settled nodes, each once, and ``(node)`` of the others: a cycle and what
+    lies behind it. ``n_edges`` is given for edges that are a written table, which is then not written again.
     """
     spark = edges.sparkSession
-    raw, size = cut_counted(edges.select(F.col(front).alias("front"), F.col(back).alias("back")), f"{path}/edges")
+    raw = edges.select(F.col(front).alias("front"), F.col(back).alias("back"))
+    if n_edges is None:
+        raw, size = cut_counted(raw, f"{path}/edges")
+        n_edges = size["n"]
     need = cut(raw.groupBy("back").agg(F.count(F.lit(1)).alias("need")), path=f"{path}/need")
-    layout = _Layout(raw.join(need, "back").select("front", "back", "need"), size["n"], f"{path}/layout")
+    layout = _Layout(raw.join(need, "back").select("front", "back", "need"), n_edges, f"{path}/layout")
     node_type = raw.schema["front"].dataType
     ready, waits = F.col("got") == F.col("need"), F.col("got") < F.col("need")
     free = raw.select(F.col("front").alias("node")).distinct().join(need.withColumnRenamed("back", "node"), "node", "left_anti")
@@ -204,6 +210,13 @@ class _Seen:
         return self.add(ends.join(self.table(), "node", "left_anti"), **observed)
 
 
+def _ways_on(paths: DataFrame, front: str, back: str) -> int:
+    """Rows that paths joined to themselves, one's end to the other's start, would give."""
+    ends = paths.groupBy(F.col(back).alias("node")).agg(F.count(F.lit(1)).alias("ins"))
+    starts = paths.groupBy(F.col(front).alias("node")).agg(F.count(F.lit(1)).alias("outs"))
+    return ends.join(starts, "node").agg(F.sum(F.col("ins") * F.col("outs")).alias("n")).first()["n"] or 0
+
+
 def _reach_far(pairs: DataFrame, n_edges: int, frontier: DataFrame, seen: _Seen, run: str) -> None:
     """Complete ``seen``, which holds all nodes within some steps, over paths of 2, 4, 8 ... edges.
 
@@ -214,10 +227,7 @@ def _reach_far(pairs: DataFrame, n_edges: int, frontier: DataFrame, seen: _Seen,
     """
     k, paths = 0, pairs
     while True:
-        ends = paths.groupBy(F.col("back").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
-        starts = paths.groupBy(F.col("front").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
-        longer = ends.join(starts, "node").agg(F.sum(F.col("ins") * F.col("outs")).alias("n")).first()["n"] or 0
-        if longer > PATH_GROWTH * n_edges:
+        if _ways_on(paths, "front", "back") > PATH_GROWTH * n_edges:
             break
         k += 1
         first = paths.select("front", F.col("back").alias("middle"))
@@ -262,6 +272,22 @@ def mixed_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _mark_shortcuts(pairs: DataFrame, n_edges: int, run: str) -> tuple[DataFrame, int]:
+    """Edges ``(src, dst, shortcut)``, and how many are no shortcut: an edge beside which a way of two edges leads.
+
+    In a graph without cycles the longest way between two nodes takes no shortcut, so without them the same nodes are reached
+    over the same depths; with cycles that does not hold. Nothing is marked where the ways of two edges far outnumber the edges.
+    """
+    if _ways_on(pairs, "src", "dst") > PATH_GROWTH * n_edges:
+        return pairs.withColumn("shortcut", F.lit(False)), n_edges
+    first, second = pairs.select("src", F.col("dst").alias("middle")), pairs.select(F.col("src").alias("middle"), "dst")
+    around = first.join(second, "middle").select("src", "dst", F.lit(False).alias("edge"))
+    both = pairs.withColumn("edge", F.lit(True)).union(around).groupBy("src", "dst").agg(F.max("edge").alias("edge"), F.min("edge").alias("alone"))
+    marked = both.where("edge").select("src", "dst", (~F.col("alone")).alias("shortcut"))
+    marked, size = cut_counted(marked, f"{run}/marked", kept=F.count_if(~F.col("shortcut")))
+    return marked, size["kept"]
+
+
 def dependency_chain(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """``(step, dependency, depth)``: all transitive dependencies, the deepest run first.
 
@@ -270,7 +296,9 @@ def dependency_chain(edges: DataFrame, seeds: DataFrame | None = None) -> DataFr
     from the owner (``src``) to its dependency (``dst``). Depth is the longest way from the step to the dependency. Raises on a cycle.
 
     Dependencies are taken in their topological order, one level at a time: all that leads to them is settled then, so a pair is
-    written once, with its final depth. A level reads only the pairs that end where its edges begin.
+    written once, with its final depth. A level reads only the pairs that end where its edges begin. Edges that a way of
+    two edges makes needless are not followed, see :func:`_mark_shortcuts`, and where every step is left with one dependency, no pair
+    has two ways and nothing is shuffled to fold them.
     """
     spark = edges.sparkSession
     if "kind" in edges.columns:
@@ -280,31 +308,42 @@ def dependency_chain(edges: DataFrame, seeds: DataFrame | None = None) -> DataFr
     if seeds is not None:
         wanted = cut(downstream(pairs, seeds.select("node")), path=f"{run}/wanted")
         pairs = pairs.join(wanted.withColumnRenamed("node", "src"), "src", "left_semi")
-    pairs = cut(pairs, path=f"{run}/edges")
-    level = levels(pairs)
-    placed = pairs.join(level.select(F.col("node").alias("src"), F.col("level").alias("from_level")), "src").join(
-        level.select(F.col("node").alias("dst"), F.col("level").alias("level")), "dst")
+    pairs, size = cut_counted(pairs, f"{run}/edges")
+    marked, kept = _mark_shortcuts(pairs, size["n"], run)
+    followed = marked.where(~F.col("shortcut")).select("src", "dst")
+    level, _ = _settle(followed, f"{run}/levels", "src", "dst", kept)
+    placed = marked.join(level.select(F.col("node").alias("src"), F.col("level").alias("from_level")), "src", "left").join(
+        level.select(F.col("node").alias("dst"), "level"), "dst", "left")
+    # Levels that rise along every edge, shortcuts as well, are the proof that there is no cycle.
+    seen = Observation()
+    rises = F.coalesce(F.col("from_level") < F.col("level"), F.lit(False))
+    placed = placed.observe(seen, F.count_if(~rises).alias("n")).where(~F.col("shortcut"))
     placed.select("src", "dst", "from_level", "level").write.partitionBy("level").parquet(f"{run}/by-level")
+    if seen.get["n"]:
+        raise CyclicLineage("the dependencies form a cycle")
     placed = spark.read.schema(T.StructType([*pairs.schema.fields]).add("from_level", "long").add("level", "long")).parquet(f"{run}/by-level")
+    one_way = followed.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     found_schema = T.StructType().add("step", pairs.schema["src"].dataType).add("dependency", pairs.schema["dst"].dataType).add("depth", "long")
-    leveled = T.StructType([*found_schema.fields]).add("level", "long")
     # Levels and the levels that their edges come from: small numbers, a few for each level.
     froms: dict[int, list[int]] = {}
     for row in placed.select("level", "from_level").distinct().collect():
         froms.setdefault(row["level"], []).append(row["from_level"])
     for now in sorted(froms):
-        here = placed.where(F.col("level") == now).select("src", "dst")
+        # Read by folder: filtered by level, a table would count with its whole size when Spark picks the join.
+        here = spark.read.schema(pairs.schema).parquet(f"{run}/by-level/level={now}")
         direct = here
         if seeds is not None:
             direct = here.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
         ways = direct.select(F.col("src").alias("step"), F.col("dst").alias("dependency"), F.lit(1).cast("long").alias("depth"))
         before = [x for x in froms[now] if x in froms]
         if before:
-            done = spark.read.schema(leveled).parquet(f"{run}/pairs")
-            done = done.where(F.col("level").isin(before)).select("step", F.col("dependency").alias("src"), "depth")
+            done = spark.read.schema(found_schema).parquet(*[f"{run}/pairs/level={x}" for x in before])
+            done = done.select("step", F.col("dependency").alias("src"), "depth")
             longer = done.join(here, "src").select("step", F.col("dst").alias("dependency"), (F.col("depth") + 1).alias("depth"))
             ways = ways.union(longer)
-        cut_counted(ways.groupBy("step", "dependency").agg(F.max("depth").alias("depth")), f"{run}/pairs/level={now}")
+        if not one_way:
+            ways = ways.groupBy("step", "dependency").agg(F.max("depth").alias("depth"))
+        cut_counted(ways, f"{run}/pairs/level={now}", row_group=PAIR_ROW_GROUP)
     if not froms:
         return spark.createDataFrame([], found_schema)
     return spark.read.schema(found_schema).parquet(f"{run}/pairs").select("step", "dependency", "depth")

@@ -132,32 +132,35 @@ def write_once(spark: SparkSession, path: str, write: Callable[[str], None]) ->
     side.move_to(target)
 
 
-def cut(df: DataFrame, name: str = "cut", path: str | None = None, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", path: str | None = None, by: str | None = None, row_group: int | None = None) -> DataFrame:
     """Write ``df`` once, in a folder for each value of its last column ``by`` if given, and return a scan of the written table.
 
     Cuts lineage like ``checkpoint()``, and gives the optimizer the exact size of the
-    table, so Spark's own ``autoBroadcastJoinThreshold`` can pick the join strategy.
+    table, so Spark's own ``autoBroadcastJoinThreshold`` can pick the join strategy. Row groups of at most ``row_group`` bytes
+    let several tasks read a file that one task wrote.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
     writer = df.write if by is None else df.write.partitionBy(by)
+    if row_group is not None:
+        writer = writer.option("parquet.block.size", row_group)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_observed(df: DataFrame, path: str, by: str | None = None, **aggregates: Column) -> tuple[DataFrame, dict]:
+def cut_observed(df: DataFrame, path: str, by: str | None = None, row_group: int | None = None, **aggregates: Column) -> tuple[DataFrame, dict]:
     """:func:`cut`, with aggregates observed by the job that writes the table, as they are."""
     seen = Observation()
-    table = cut(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), path=path, by=by)
+    table = cut(df.observe(seen, *[value.alias(name) for name, value in aggregates.items()]), path=path, by=by, row_group=row_group)
     return table, dict(seen.get)
 
 
-def cut_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+def cut_counted(df: DataFrame, path: str, row_group: int | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """:func:`cut`, with counts observed by the job that writes the table.
 
     ``n`` counts the rows; other aggregates are named by keyword.
     """
-    table, found = cut_observed(df, path, n=F.count(F.lit(1)), **counts)
+    table, found = cut_observed(df, path, row_group=row_group, n=F.count(F.lit(1)), **counts)
     return table, {name: int(found.get(name) or 0) for name in ["n", *counts]}
 
 

@@ -14,6 +14,7 @@ from recordflow.operators.lineage import (
     unresolved,
 )
 from tests.conftest import rows
+from tests.oracle_check import plan_of
 
 EDGES = [
     ("A", "B", "requires"), ("B", "C", "requires"), ("B", "D", "requires"), ("B", "E", "requires"),
@@ -225,3 +226,31 @@ def test_chain_of_seeds_only(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("a", "d")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("unknown",)], "node string")
     assert rows(dependency_chain(edges, seeds)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
+
+
+def test_shortcuts_are_not_followed(spark, monkeypatch):
+    """A tree with an edge to each grandparent as well: a pair has one way, which no shuffle has to fold."""
+    from recordflow.operators import lineage
+
+    plans = []
+    real = lineage.cut_counted
+
+    def planned(df, path, **kwargs):
+        if "/pairs/level=" in path:
+            plans.append(plan_of(df))
+        return real(df, path, **kwargs)
+
+    monkeypatch.setattr(lineage, "cut_counted", planned)
+    tree = [(n, n // 2) for n in range(1, 32)] + [(n, n // 4) for n in range(4, 32)]
+    expected = sorted(((n, n >> k, k) for n in range(1, 32) for k in range(1, n.bit_length() + 1)), key=repr)
+    edges = spark.createDataFrame(tree, "src long, dst long")
+    assert rows(dependency_chain(edges)) == expected
+    assert plans and not any("HashAggregate" in p or "Exchange hashpartitioning" in p for p in plans)
+    monkeypatch.setattr(lineage, "PATH_GROWTH", 0)
+    assert rows(dependency_chain(edges)) == expected
+
+
+@pytest.mark.parametrize("cyclic", [[(a, b) for a in "xyz" for b in "xyz" if a != b], [("x", "x")], [("x", "y"), ("y", "y"), ("y", "z")]])
+def test_a_cycle_of_shortcuts_is_a_cycle(spark, cyclic):
+    with pytest.raises(CyclicLineage):
+        dependency_chain(spark.createDataFrame([("a", "x"), *cyclic], "src string, dst string"))
