@@ -14,13 +14,14 @@ missing or marked is made anew from the output, which always tells the truth.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordflow.operators.records import KEY
-from recordflow.storage import Files
+from recordflow.storage import Files, cut_counted, scratch_path
 
 IDS_PER_BUCKET = 200_000
 
@@ -36,7 +37,8 @@ class IdIndex:
         meta = self.folder.at("meta.json")
         self.meta = json.loads(meta.read_text()) if meta.exists() else {}
         if not self.meta or self.folder.at("pending").exists():
-            self._rebuild(self._output_ids())
+            ids, size = cut_counted(self._output_ids().where(F.col(KEY).isNotNull()).distinct(), scratch_path(self.spark, "output-ids"))
+            self._rebuild(ids, size["n"])
             self.folder.at("pending").delete()
 
     def _output_ids(self) -> DataFrame:
@@ -53,14 +55,15 @@ class IdIndex:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(KEY), F.lit(self.meta["buckets"])).cast("int")
 
-    def _rebuild(self, ids: DataFrame) -> None:
-        ids = ids.where(F.col(KEY).isNotNull()).distinct()
-        n, buckets = ids.count(), 1
+    def _rebuild(self, ids: DataFrame, n: int) -> None:
+        """A new generation of ``n`` distinct ids, none NULL."""
+        buckets = 1
         while buckets * IDS_PER_BUCKET < n:
             buckets *= 2
         old = self.meta.get("generation", 0)
         self.meta = {"generation": max([old, *(int(f.partition("=")[2]) for f in self.folder.folders())]) + 1, "buckets": buckets, "ids": n}
-        self._write(ids)
+        if n:
+            self._write(ids)
         self._save()
         for name in self.folder.folders():
             if name != f"generation={self.meta['generation']}":
@@ -78,27 +81,36 @@ class IdIndex:
             meta.delete()
         meta.create_text(json.dumps(self.meta))
 
-    def done(self, ids: DataFrame) -> DataFrame:
-        """Done ids of the buckets that ``ids`` are in."""
+    def done(self, ids: DataFrame | Iterable[int | None]) -> DataFrame:
+        """Done ids of the buckets that ``ids`` are in, or of these buckets."""
         # At most a number for each bucket.
-        buckets = sorted(r["b"] for r in ids.select(self.bucket().alias("b")).distinct().collect() if r["b"] is not None)
-        held = self.spark.read.schema(f"{KEY} string, bucket int").parquet(self._generation()) if self.meta["ids"] else None
-        if held is None:
+        if isinstance(ids, DataFrame):
+            ids = [r["b"] for r in ids.select(self.bucket().alias("b")).distinct().collect()]
+        buckets = sorted({b for b in ids if b is not None})
+        if not self.meta["ids"]:
             return self.spark.createDataFrame([], f"{KEY} string")
-        return held.where(F.col("bucket").isin(buckets)).select(KEY)
+        held = self.spark.read.schema(f"{KEY} string, bucket int").parquet(self._generation())
+        if len(buckets) < self.meta["buckets"]:
+            held = held.where(F.col("bucket").isin(buckets))
+        return held.select(KEY)
 
     def begin(self) -> None:
         """Mark that a batch is being written."""
         self.folder.at("pending").create_text("")
 
     def add(self, ids: DataFrame, n: int) -> None:
-        if n:
-            self._write(ids)
-        self.meta["ids"] += n
+        """Add ``n`` ids that are not in the index; with more buckets, if there are too many for these."""
+        held = self.meta["ids"]
+        if held + n <= 2 * self.meta["buckets"] * IDS_PER_BUCKET:
+            if n:
+                self._write(ids)
+            self.meta["ids"] += n
+            return
+        if held:
+            ids = ids.union(self.spark.read.schema(f"{KEY} string").parquet(self._generation()).select(KEY))
+        self._rebuild(ids, held + n)
 
     def end(self) -> None:
         """The batch is written: the index holds it from now on."""
         self._save()
         self.folder.at("pending").delete()
-        if self.meta["ids"] > 2 * self.meta["buckets"] * IDS_PER_BUCKET:
-            self._rebuild(self.spark.read.schema(f"{KEY} string").parquet(self._generation()))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from recordflow.operators.records import KEY
-from recordflow.storage import cut_counted, scratch_path
+from recordflow.storage import cut, cut_observed, scratch_path
 from recordflow.streaming.id_index import IdIndex
 
 
@@ -59,7 +59,8 @@ def run_incremental(
     most ``max_files`` in each batch. ``skip_done`` leaves out records whose id is already in ``out``
     before the steps run, which makes a repeated batch harmless; of several rows of one id in a batch
     one is taken, and records without an id always are. Ids are looked up in an index beside the output, in the buckets of the batch alone
-    (:mod:`recordflow.streaming.id_index`). Set steps look at a whole set and belong in a batch run.
+    (:mod:`recordflow.streaming.id_index`). A batch is read twice, for its ids and for the rows: these are shuffled only where ids come twice
+    in it, or where both the done and the new ids are too many to be broadcast. Set steps look at a whole set and belong in a batch run.
     """
     reader = spark.readStream.schema(schema)
     if max_files is not None:
@@ -69,19 +70,32 @@ def run_incremental(
 
         index = IdIndex(spark, out)
         index.open()
+        read: list[int] = []
 
         def append_new(batch: DataFrame, _: int) -> None:
-            rows = _one_version(batch).persist()
-            try:
-                index.begin()
-                fresh = rows.select(KEY).join(index.done(rows), KEY, "left_anti")
-                fresh, counts = cut_counted(fresh, scratch_path(spark, "new-ids"), known=F.count(KEY))
-                index.add(fresh.where(F.col(KEY).isNotNull()), counts["known"])
-                new = rows.join(fresh.withColumnRenamed(KEY, "__new"), F.col(KEY).eqNullSafe(F.col("__new")), "left_semi")
-                steps(new).write.mode("append").parquet(out)
-                index.end()
-            finally:
-                rows.unpersist()
+            path = scratch_path(spark, "batch-ids")
+            per_id = batch.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+            ids, found = cut_observed(
+                per_id, f"{path}/all", n=F.count(F.lit(1)), known=F.count(KEY), rows=F.sum("n"), buckets=F.collect_set(index.bucket()))
+            n, n_rows = found.get("n") or 0, found.get("rows") or 0
+            index.begin()
+            ids = ids.select(KEY)
+            fresh, n_done = ids, 0
+            if index.meta["ids"]:
+                done, held = cut_observed(ids.join(index.done(found.get("buckets") or []), KEY, "left_semi"), f"{path}/done", n=F.count(F.lit(1)))
+                n_done = held.get("n") or 0
+                fresh = ids.join(done, KEY, "left_anti")
+            new = batch if n_rows == n else _one_version(batch)
+            # Of done and new ids the fewer are looked up, so that Spark can broadcast them.
+            if 2 * n_done > n:
+                fresh = cut(fresh, path=f"{path}/new")
+                new = new.join(fresh.withColumnRenamed(KEY, "__new"), F.col(KEY).eqNullSafe(F.col("__new")), "left_semi")
+            elif n_done:
+                new = new.join(done, KEY, "left_anti")
+            index.add(fresh.where(F.col(KEY).isNotNull()), (found.get("known") or 0) - n_done)
+            steps(new).write.mode("append").parquet(out)
+            index.end()
+            read.append(n_rows)
 
         writer = stream.writeStream.foreachBatch(append_new)
     else:
@@ -95,4 +109,5 @@ def run_incremental(
         counter.ended.wait()
     finally:
         spark.streams.removeListener(counter)
-    return counter.rows
+    # Batches that skip done ids are read twice and would count twice.
+    return sum(read) if skip_done else counter.rows

@@ -69,3 +69,41 @@ def test_an_output_without_an_index_gets_one(spark, folders):
     drop(spark, source, ("1", 7), ("2", 2))
     run_incremental(spark, source, SCHEMA, lambda r: r, out, checkpoint, skip_done=True)
     assert rows(spark.read.parquet(out)) == [("1", 1), ("2", 2), ("5", 5)]
+
+
+def test_rows_of_new_ids_are_not_shuffled(spark, folders):
+    """Only ids are looked up: the rows of a batch without repeated ids go from the files to the steps."""
+    source, out, checkpoint = folders
+    plans = []
+
+    def planned(records):
+        plans.append(plan_of(records))
+        return once(records)
+
+    run = lambda: run_incremental(spark, source, SCHEMA, planned, out, checkpoint, skip_done=True)
+    for data, n in (([(str(i), i) for i in range(40)], 40), ([("7", 70), *((str(i), i) for i in range(40, 60))], 21), ([("8", 80), ("9", 90), ("60", 60)], 3)):
+        drop(spark, source, *data)
+        assert run() == n
+    assert len(plans) == 3 and not any("Exchange hashpartitioning" in p or "Aggregate" in p or "InMemoryTableScan" in p for p in plans)
+    drop(spark, source, ("61", 1), ("61", 2), ("3", 1), (None, 5), (None, 6))
+    assert run() == 5 and "Aggregate" in plans[-1]
+    got = spark.read.parquet(out)
+    assert rows(got.where("record_id <> '61'")) == sorted(((str(i), i + 1) for i in range(61)), key=repr)
+    drop(spark, source)
+    assert run() == 0 and spark.read.parquet(out).count() == 63
+    assert got.where("record_id = '61'").count() == got.where("record_id IS NULL").count() == 1
+
+
+def test_an_index_that_grows_is_written_once(spark, folders, monkeypatch):
+    """A batch that needs more buckets goes straight into them, with the ids held before."""
+    monkeypatch.setattr(id_index, "IDS_PER_BUCKET", 10)
+    source, out, checkpoint = folders
+    written, real = [], IdIndex._write
+    monkeypatch.setattr(IdIndex, "_write", lambda self, ids: (written.append(ids.count()), real(self, ids))[1])
+    for start, stop in ((0, 15), (15, 70), (70, 75)):
+        drop(spark, source, *[(str(i), i) for i in range(start, stop)])
+        run_incremental(spark, source, SCHEMA, once, out, checkpoint, skip_done=True)
+    assert written == [15, 70, 5]
+    index = IdIndex(spark, out)
+    index.open()
+    assert index.meta["ids"] == 75 and index.meta["buckets"] == 8 and index.done(range(8)).distinct().count() == 75
