@@ -258,8 +258,8 @@ class NgramJoin:
         opened = self._verify(met.where(F.col("most") >= need).select(F.col("leader").alias("x"), F.col("node").alias("y"), "ln", "n"))
         closed = met.where(F.col("most") < need).select(F.col("leader").alias("x"), F.col("node").alias("y"), "ln", "n", F.lit(None).cast("long").alias("same"), "most")
         stars = cut(opened.withColumn("most", F.col("same")).unionByName(closed), "stars")
-        judged = [stars.select("x", "y", F.expr("ln + n").alias("total"), "same")]
-        classes = components(self._linked(judged))
+        judged = [stars.select("x", "y")]
+        classes = components(self._linked(stars).select(F.col("x").alias("u"), F.col("y").alias("v")))
         apart = self._apart(stars, nodes, classes)
         last, turn = None, 0
         while True:
@@ -268,17 +268,26 @@ class NgramJoin:
             if not n_left:
                 return classes
             done = last is not None and n_left > PROBE_SHRINK * last
-            found = self._judge(self._rest(left, apart) if done else self._probes(left, apart, turn), judged)
-            if found:
-                classes = components(self._linked(judged))
+            verified = self._judge(self._rest(left, apart) if done else self._probes(left, apart, turn), judged)
+            if verified is not None:
+                classes = self._merged(classes, self._linked(verified).select(F.col("xc").alias("u"), F.col("yc").alias("v")).distinct())
             if done:
                 return classes
             apart = self._marked(apart.drop("lc", "nc"), classes)
             last, turn = n_left, turn + 1
 
-    def _linked(self, judged: list[DataFrame]) -> DataFrame:
-        linked = 100 * F.col("same") >= self.percent * (F.col("total") - F.col("same"))
-        return _union(judged).where(F.col("same").isNotNull() & linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    def _linked(self, verified: DataFrame) -> DataFrame:
+        linked = 100 * F.col("same") >= self.percent * (F.col("ln") + F.col("n") - F.col("same"))
+        return verified.where(F.col("same").isNotNull() & linked)
+
+    @staticmethod
+    def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+        """``classes`` after ``links(u, v)`` between classes; only these are searched for components."""
+        moved = cut(components(links), "moved")
+        if moved.isEmpty():
+            return classes
+        joined = classes.join(moved.toDF("v", "__to"), "v", "left").select("u", F.coalesce("__to", "v").alias("v"))
+        return cut(joined.unionByName(moved), "merged")
 
     def _marked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """``pairs`` with the class of leader and node."""
@@ -307,8 +316,10 @@ class NgramJoin:
     def _pairs(joined: DataFrame, other: str) -> DataFrame:
         o = F.col(other)
         first = F.col("node") < o["node"]
+        of = lambda name: [F.when(first, F.col(name)).otherwise(o[name]), F.when(first, o[name]).otherwise(F.col(name))]
+        (ln, n), (xc, yc) = of("n"), of("nc")
         return joined.select(F.least("node", o["node"]).alias("x"), F.greatest("node", o["node"]).alias("y"),
-                             F.when(first, F.col("n")).otherwise(o["n"]).alias("ln"), F.when(first, o["n"]).otherwise(F.col("n")).alias("n"))
+                             ln.alias("ln"), n.alias("n"), xc.alias("xc"), yc.alias("yc"))
 
     def _probes(self, left: DataFrame, apart: DataFrame, turn: int) -> DataFrame:
         """Nodes apart beside a few others of their leader: some of its own class and some that are not."""
@@ -333,14 +344,15 @@ class NgramJoin:
         once = F.col("own") | (F.col("node") < F.col("o.node"))
         return self._pairs(mine.join(others, (mine["leader"] == others["leader"]) & once & self._near("o") & enough), "o")
 
-    def _judge(self, pairs: DataFrame, judged: list[DataFrame]) -> bool:
-        """Verify new pairs ``(x, y, ln, n)`` and add them to ``judged``; whether there are any."""
+    def _judge(self, pairs: DataFrame, judged: list[DataFrame]) -> DataFrame | None:
+        """New pairs ``(x, y, ln, n, xc, yc)`` verified, and added to ``judged``; None if there are none."""
         known = _union(judged).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = cut(pairs.distinct().join(known, ["x", "y"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            return False
-        judged.append(cut(self._verify(pairs).select("x", "y", F.expr("ln + n").alias("total"), "same"), "verified"))
-        return True
+            return None
+        verified = cut(self._verify(pairs), "verified")
+        judged.append(verified.select("x", "y"))
+        return verified
 
     def _texts(self, met: DataFrame) -> DataFrame:
         """``(node, text)`` of all nodes that meet another one."""
@@ -359,16 +371,19 @@ class NgramJoin:
         return cut(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with the exact intersection ``same``, from the whole texts of their nodes."""
+        """``pairs`` with the exact intersection ``same``, from the whole texts of their nodes ``x`` and ``y``."""
+        keep = pairs.columns
+
         def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = zip(shingle_sets(batch.column(4)), shingle_sets(batch.column(5)), strict=True)
+                sets = zip(shingle_sets(batch.column(len(keep))), shingle_sets(batch.column(len(keep) + 1)), strict=True)
                 same = pa.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], same], names=["x", "y", "ln", "n", "same"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], same], names=[*keep, "same"])
 
         both = pairs.join(self.texts.withColumnsRenamed({"node": "x", "text": "xt"}), "x").join(
             self.texts.withColumnsRenamed({"node": "y", "text": "yt"}), "y")
-        return both.select("x", "y", "ln", "n", "xt", "yt").mapInArrow(intersect, "x long, y long, ln int, n int, same long")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+        return both.select(*keep, "xt", "yt").mapInArrow(intersect, f"{schema}, same long")
 
     def result(self) -> DataFrame:
         """``(doc_id, n_shingles, component_id)`` of every document, repeated rows included."""

@@ -8,6 +8,7 @@ import pytest
 from recordflow.llm import ngram_join
 from recordflow.llm.components import components
 from recordflow.llm.ngram_join import keep_first, near_duplicates
+from recordflow.storage import cut
 from tests.oracle_check import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,5 +98,52 @@ def test_components_of_paths_and_stars(spark):
     assert found == {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 160)}
 
 
+def test_a_round_of_components_is_few_tasks(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(101, 159)]
+    table = cut(spark.createDataFrame(edges, "u long, v long").coalesce(1))
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("tasks-of-components", "")
+    try:
+        found = components(table)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["u"]: r["v"] for r in found.collect()} == {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 160)}
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("tasks-of-components") for s in seen.getJobInfo(j).stageIds}
+    tasks = sum(seen.getStageInfo(s).numCompletedTasks for s in stages if seen.getStageInfo(s))
+    assert 0 < tasks < 1000, tasks
+
+
+def test_later_links_are_joined_between_classes_only(spark, monkeypatch):
+    calls = []
+
+    def recorded(edges):
+        found = components(edges)
+        calls.append(([tuple(r) for r in edges.select("u", "v").collect()], {r["u"]: r["v"] for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(ngram_join, "components", recorded)
+    # Every shingle of a base is a document too, and leads its bucket: near copies meet one another only beside it.
+    texts = []
+    for b in range(4):
+        base = [f"b{b}w{k}" for k in range(28)]
+        texts += [" ".join(base[k : k + 5]) for k in range(24)]
+        texts += [" ".join([*base[:27], f"b{b}own{k}"]) for k in range(4)]
+        # These two share words of their own, which join them at once.
+        texts += [" ".join([*base[:26], f"b{b}pair", f"b{b}pair", *[f"b{b}odd{k}"] * k]) for k in range(2)]
+    rows = [(len(texts) - k, t) for k, t in enumerate(texts)]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert calls[0][1] and any(found for _, found in calls[1:])
+    of = {}
+    for edges, found in calls:
+        assert all(u not in of and v not in of for u, v in edges)
+        of |= found
+
+
 def test_query_agrees_with_its_sql(spark):
     assert compare(spark, oracle_connection(SF_DIR), "op6_ngram_join", SF_DIR) == []
